@@ -39,6 +39,10 @@ def address_items(text: Column) -> Column:
     return F.slice(items, 1, F.greatest(F.size(items) - 1, F.lit(0)))
 
 
+def _not_starting(prefix: str):
+    return lambda word: ~word.startswith(prefix)
+
+
 def address_from_facts(
     html: Column,
     drop_prefixes: list[str] = fx.ADDRESS_DROP_PREFIXES,
@@ -50,7 +54,7 @@ def address_from_facts(
     """
     words = F.split(F.regexp_replace(html, "<[^<]+?>", ""), " ")
     for prefix in drop_prefixes:
-        words = F.filter(words, lambda w, p=prefix: ~w.startswith(p))
+        words = F.filter(words, _not_starting(prefix))
     cut = F.coalesce(
         *[F.nullif(F.array_position(words, w), F.lit(0)) for w in size_words],
         F.size(words) + F.lit(1).cast("bigint"),

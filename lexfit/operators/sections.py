@@ -44,7 +44,7 @@ def section_lookup(
 
     hits = F.transform(parts, lambda cell, i: F.coalesce(is_heading(cell, i), F.lit(False)))
     position = F.array_position(hits, F.lit(True))  # 1-based: also the next cell's index
-    cells = F.slice(parts, start + 1, 2**31 - 1) if start else parts
+    cells = F.slice(parts, F.lit(start + 1), F.size(parts)) if start else parts
     short = F.exists(cells, lambda cell: F.length(cell) < fx.HEADING_LIMIT)
     return F.when(position > 0, F.get(parts, position.cast("int"))).when(
         F.coalesce(short, F.lit(False)), F.lit(sentinel)

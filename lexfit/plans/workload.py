@@ -14,7 +14,7 @@ from lexfit.functions import text as T
 from lexfit.functions.stemming import cistem, snowball_german
 from lexfit.operators import cleaning, language, pages, ranking, scoring, sections, selection, terms
 from lexfit.plans import report
-from lexfit.session import scratch_path, stage
+from lexfit.session import deal_out, scratch_path, stage
 from lexfit.sources import store as S
 from lexfit.sources.tables import page_scan, table
 from lexfit.streaming.incremental import follow_pages
@@ -59,6 +59,14 @@ def _exploded(df: DataFrame, key: str, items: Column, name: str) -> DataFrame:
     return out.withColumn("pos", F.col("pos").cast("bigint"))
 
 
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return deal_out(table(spark, d, "documents"), "doc_id")
+
+
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    return deal_out(page_scan(spark, d), "page_id")
+
+
 def _terms(spark: SparkSession) -> DataFrame:
     rows = [(s, i, t) for s, words in TERMS.items() for i, t in enumerate(words)]
     return spark.createDataFrame(rows, "section string, pos bigint, term string")
@@ -69,17 +77,17 @@ def _query_terms(spark: SparkSession) -> DataFrame:
 
 
 def _doc_texts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", cleaning.token_text(F.col("text")).alias("text"))
+    return _docs(spark, d).select("doc_id", cleaning.token_text(F.col("text")).alias("text"))
 
 
 def _doc_parts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.split("text", "\n").alias("parts"))
+    return _docs(spark, d).select("doc_id", F.split("text", "\n").alias("parts"))
 
 
 def _doc_records(spark: SparkSession, d: str) -> DataFrame:
     url = F.format_string("https://%s.example.com/jobs--%07d-inline.html", "source", "doc_id")
     parts = F.split("text", "\n")
-    return table(spark, d, "documents").select(
+    return _docs(spark, d).select(
         url.alias("url"),
         F.get(parts, F.lit(0)).alias("title"),
         F.col("source").alias("company"),
@@ -196,7 +204,7 @@ def page_scan_all(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def page_archive(spark: SparkSession, d: str) -> DataFrame:
-    landed = page_scan(spark, d)
+    landed = _pages(spark, d)
     records = pages.page_records(
         landed, tags=["h1"], company_markers=COMPANY_MARKERS, title_markers=TITLE_MARKERS,
         address_pattern=ADDRESS_PATTERN,
@@ -239,26 +247,26 @@ def search_plan(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def extract_links(spark: SparkSession, d: str) -> DataFrame:
-    links = pages.extract_links(page_scan(spark, d), BASE)
+    links = pages.extract_links(_pages(spark, d), BASE)
     return links.select("page_id", F.col("pos").cast("bigint").alias("pos"), "link")
 
 
 @query
 def links_per_page(spark: SparkSession, d: str) -> DataFrame:
-    counts = pages.links_per_page(page_scan(spark, d), BASE)
+    counts = pages.links_per_page(_pages(spark, d), BASE)
     return counts.select("page_id", F.col("n_links").cast("bigint").alias("n_links"))
 
 
 @query
 def top_n_per_page(spark: SparkSession, d: str) -> DataFrame:
-    links = pages.top_n_per_page(page_scan(spark, d), BASE, 3)
+    links = pages.top_n_per_page(_pages(spark, d), BASE, 3)
     return links.select("page_id", F.col("pos").cast("bigint").alias("pos"), "link")
 
 
 @query
 def header_fields(spark: SparkSession, d: str) -> DataFrame:
     html = F.col("html")
-    return page_scan(spark, d).select(
+    return _pages(spark, d).select(
         "page_id",
         H.between(html, COMPANY_MARKERS).alias("company"),
         H.between(html, TITLE_MARKERS).alias("title"),
@@ -268,18 +276,18 @@ def header_fields(spark: SparkSession, d: str) -> DataFrame:
 @query
 def address_parse(spark: SparkSession, d: str) -> DataFrame:
     items = H.address_items(H.first_group(F.col("html"), ADDRESS_PATTERN))
-    return page_scan(spark, d).select("page_id", F.array_join(items, "|").alias("address"))
+    return _pages(spark, d).select("page_id", F.array_join(items, "|").alias("address"))
 
 
 @query
 def address_clean(spark: SparkSession, d: str) -> DataFrame:
     items = H.address_from_facts(F.col("html"), DROP_PREFIXES, SIZE_WORDS)
-    return page_scan(spark, d).select("page_id", F.array_join(items, "|").alias("address"))
+    return _pages(spark, d).select("page_id", F.array_join(items, "|").alias("address"))
 
 
 @query
 def address_resolve(spark: SparkSession, d: str) -> DataFrame:
-    landed = page_scan(spark, d)
+    landed = _pages(spark, d)
     # The company page behind a card link: of the pages that show the link first, the earliest.
     companies = landed.select("page_id", H.first_group(F.col("html"), CARD_PATTERN).alias("link"), "html")
     companies = cleaning.dedupe_first(companies.where("link is not null"), "link", ("page_id",))
@@ -292,24 +300,24 @@ def address_resolve(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def heading_split(spark: SparkSession, d: str) -> DataFrame:
-    return _exploded(page_scan(spark, d), "page_id", H.heading_split(F.col("html"), ["h1"]), "part")
+    return _exploded(_pages(spark, d), "page_id", H.heading_split(F.col("html"), ["h1"]), "part")
 
 
 @query
 def strip_tags(spark: SparkSession, d: str) -> DataFrame:
-    return _exploded(page_scan(spark, d), "page_id", H.page_parts(F.col("html"), ["h1"]), "part")
+    return _exploded(_pages(spark, d), "page_id", H.page_parts(F.col("html"), ["h1"]), "part")
 
 
 @query
 def drop_intro(spark: SparkSession, d: str) -> DataFrame:
     html = F.col("html")
     parts = H.drop_intro(H.page_parts(html, ["h1"]), html, "<p>")
-    return page_scan(spark, d).select("page_id", F.array_join(parts, "|").alias("parts"))
+    return _pages(spark, d).select("page_id", F.array_join(parts, "|").alias("parts"))
 
 
 @query
 def parts_to_columns(spark: SparkSession, d: str) -> DataFrame:
-    parts = page_scan(spark, d).select("page_id", H.page_parts(F.col("html"), ["p"]).alias("parts"))
+    parts = _pages(spark, d).select("page_id", H.page_parts(F.col("html"), ["p"]).alias("parts"))
     return parts.select("page_id", *H.part_columns(F.col("parts")))
 
 
@@ -326,13 +334,13 @@ def dedupe_first(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def job_id(spark: SparkSession, d: str) -> DataFrame:
-    return page_scan(spark, d).select("url", R.job_id(F.col("url")).alias("job_id"))
+    return _pages(spark, d).select("url", R.job_id(F.col("url")).alias("job_id"))
 
 
 @query
 def replace_multi(spark: SparkSession, d: str) -> DataFrame:
     html = F.col("html")
-    wide = page_scan(spark, d).select(
+    wide = _pages(spark, d).select(
         "page_id",
         H.between(html, COMPANY_MARKERS).alias("company"),
         H.between(html, TITLE_MARKERS).alias("title"),
@@ -359,14 +367,14 @@ def concat_text(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def language_detect(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
+    docs = _docs(spark, d)
     model = stage(language.language_model(docs), "model")
     return language.detect_language(docs, "doc_id", model)
 
 
 @query
 def extract_emails(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", T.extract_emails(F.col("text")).alias("emails"))
+    return _docs(spark, d).select("doc_id", T.extract_emails(F.col("text")).alias("emails"))
 
 
 # --- section lookup -------------------------------------------------------------------
@@ -386,13 +394,13 @@ for _name in ("tasks", "profile", "benefits", "contact"):
 # --- text normalisation -----------------------------------------------------------------
 @query
 def clean_text(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", T.clean_text(F.col("text")).alias("text"))
+    return _docs(spark, d).select("doc_id", T.clean_text(F.col("text")).alias("text"))
 
 
 @query
 def tokenize(spark: SparkSession, d: str) -> DataFrame:
     tokens = T.tokenize(T.clean_text(F.col("text")))
-    return _exploded(table(spark, d, "documents"), "doc_id", tokens, "token")
+    return _exploded(_docs(spark, d), "doc_id", tokens, "token")
 
 
 @query
@@ -438,7 +446,7 @@ def prepare_terms(spark: SparkSession, d: str) -> DataFrame:
 @query
 def tokens_to_text(spark: SparkSession, d: str) -> DataFrame:
     tokens = T.tokenize(T.clean_text(F.col("text")))
-    return table(spark, d, "documents").select("doc_id", T.tokens_to_text(tokens).alias("text"))
+    return _docs(spark, d).select("doc_id", T.tokens_to_text(tokens).alias("text"))
 
 
 # --- matching, scoring, ranking --------------------------------------------------------------
@@ -528,7 +536,7 @@ def safe_file_name(spark: SparkSession, d: str) -> DataFrame:
 @query
 def address_lines(spark: SparkSession, d: str) -> DataFrame:
     items = H.address_items(H.first_group(F.col("html"), OWN_ADDRESS_PATTERN))
-    return page_scan(spark, d).select("page_id", R.address_lines(items).alias("lines"))
+    return _pages(spark, d).select("page_id", R.address_lines(items).alias("lines"))
 
 
 @query
@@ -550,7 +558,7 @@ def render_prompt(spark: SparkSession, d: str) -> DataFrame:
 @query
 def tidy_text(spark: SparkSession, d: str) -> DataFrame:
     doubled = F.replace("text", F.lit("\n"), F.lit("\n\n"))
-    return table(spark, d, "documents").select("doc_id", T.tidy_text(F.concat(F.lit("\t"), doubled)).alias("text"))
+    return _docs(spark, d).select("doc_id", T.tidy_text(F.concat(F.lit("\t"), doubled)).alias("text"))
 
 
 @query
