@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lexfit import fixed_values as fx
-from lexfit.functions.text import SPACE, squeeze, strip
+from lexfit.functions.text import squeeze, strip
 
 # A Unicode noncharacter marks cut points; it cannot occur in interchanged text.
 CUT = "\ufdd0"
@@ -90,9 +90,8 @@ def page_parts(html: Column, tags: list[str] = fx.HEADING_TAGS) -> Column:
     Tags and whitespace are handled on the marked page as one string; that gives the
     same parts as handling each part by itself, and stays in generated code.
     """
-    text = F.regexp_replace(mark_headings(html, tags), TAG, " ")
-    text = F.regexp_replace(text, rf"[{SPACE}]*{CUT}[{SPACE}{CUT}]*", CUT)
-    return F.array_remove(F.split(squeeze(text), CUT), "")
+    text = squeeze(F.regexp_replace(mark_headings(html, tags), TAG, " "))
+    return F.array_remove(F.split(text, f" ?{CUT} ?"), "")
 
 
 def drop_intro(

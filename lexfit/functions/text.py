@@ -16,23 +16,20 @@ from lexfit import fixed_values as fx
 # Unicode letters, numbers and the underscore: what Python's \w covers. Java's
 # \w is ASCII by default and its Unicode form also takes in combining marks.
 WORD = r"\p{L}\p{N}_"
-# The characters Python treats as whitespace.
-SPACE = (
-    r"\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-)
+# Inside a class, with the (?U) flag: the characters Python treats as whitespace.
+SPACE = r"\s\x1c-\x1f"
 # A Unicode word boundary written out, since Java's own \b differs from \w.
 EDGE = rf"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
 
 
 def strip(text: Column) -> Column:
     """Remove whitespace of any kind from both ends."""
-    return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.regexp_replace(text, rf"(?U)^[{SPACE}]+|[{SPACE}]+\z", "")
 
 
 def squeeze(text: Column) -> Column:
     """Collapse whitespace runs to one blank and strip the ends."""
-    return F.trim(F.regexp_replace(text, rf"[{SPACE}]+", " "))
+    return F.trim(F.regexp_replace(text, rf"(?U)[{SPACE}]+", " "))
 
 
 def clean_text(text: Column, newline_as_space: bool = False) -> Column:
@@ -42,7 +39,9 @@ def clean_text(text: Column, newline_as_space: bool = False) -> Column:
     # translate() maps the punctuation in one pass and drops what has no partner.
     blanks = " " * (len(string.punctuation) + newline_as_space)
     out = F.translate(text, string.punctuation + "\n", blanks)
-    out = F.regexp_replace(out, rf"[^{WORD}{SPACE}]+", "")
+    # Only letters, digits and blanks are left of printable ASCII: the cheap first half of
+    # the class spares them the property tests.
+    out = F.regexp_replace(out, rf"(?U)[[^ -~]&&[^{WORD}{SPACE}]]+", "")
     for letter, pair in fx.UMLAUTS.items():
         out = F.replace(out, F.lit(letter), F.lit(pair))
     return F.lower(out)
@@ -50,7 +49,7 @@ def clean_text(text: Column, newline_as_space: bool = False) -> Column:
 
 def tokenize(text: Column) -> Column:
     """Split at whitespace runs; no empty tokens."""
-    return F.array_remove(F.split(text, rf"[{SPACE}]+"), "")
+    return F.array_remove(F.split(text, rf"(?U)[{SPACE}]+"), "")
 
 
 def tokens_to_text(tokens: Column) -> Column:
