@@ -73,20 +73,25 @@ def score_sections(texts: DataFrame, terms: DataFrame, key: str = "url") -> Data
     return scored.select(key, "section", "cosine", "jaccard", matched.alias("matched"))
 
 
-def rank_sections(scored: DataFrame, key: str = "url") -> DataFrame:
-    """Both ranks of each section score and their difference.
+MEASURES = ("cosine", "jaccard")
+
 
-    Both measures go through one ranking, as two groups of one long table.
+def rank_long(scored: DataFrame, key: str = "url") -> DataFrame:
+    """One row per text, section and measure, with its rank.
+
+    Both measures go through one ranking, as groups of one long table.
     """
-    measures = F.array(
-        *[F.struct(F.lit(m).alias("measure"), F.col(m).alias("score")) for m in ("cosine", "jaccard")]
-    )
-    long = scored.select(key, "section", F.inline(measures))
-    ranked = ranking.rank_average(long, ["section", "measure"], "score", [key])
-    # The three section rows of a text meet here, with numbers only.
-    pick = {m: F.max(F.when(F.col("measure") == m, F.col("rank"))) for m in ("cosine", "jaccard")}
+    measures = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("score")) for m in MEASURES])
+    rest = [c for c in scored.columns if c not in MEASURES]
+    long = scored.select(*rest, F.inline(measures))
+    return ranking.rank_average(long, ["section", "measure"], "score", [key])
+
+
+def rank_sections(scored: DataFrame, key: str = "url") -> DataFrame:
+    """Both ranks of each section score and their difference."""
+    ranked = rank_long(scored.select(key, "section", *MEASURES), key)
     wide = ranked.groupBy(key, "section").agg(
-        pick["cosine"].alias("cosine_rank"), pick["jaccard"].alias("jaccard_rank")
+        *[F.max(F.when(F.col("measure") == m, F.col("rank"))).alias(f"{m}_rank") for m in MEASURES]
     )
     return wide.withColumn("rank_diff", ranking.rank_difference("cosine_rank", "jaccard_rank"))
 
@@ -121,10 +126,28 @@ def fit_report(
     query = prepare_terms(terms, lemmas)
     texts = section_texts(prepared, key, stop_words, lemmas)
     scored = stage(score_sections(texts, query, key), "scores")
-    ranked = rank_sections(scored, key)
-    both = scored.join(ranked, [key, "section"])
-    wide = widen(both, ("cosine", "cosine_rank", "jaccard", "jaccard_rank", "rank_diff", "matched"), key)
-    return with_totals(wide).drop("benefits_matched")
+    return report_rows(rank_long(scored, key), key)
+
+
+def report_rows(ranked: DataFrame, key: str) -> DataFrame:
+    """The ranked long table to one row per text: a single shuffle, numbers and matches only."""
+
+    def pick(section: str, column: str, measure: str) -> Column:
+        here = (F.col("section") == section) & (F.col("measure") == measure)
+        return F.max(F.when(here, F.col(column)))
+
+    columns = []
+    for s in SECTIONS:
+        for m in MEASURES:
+            columns.append(pick(s, "score", m).alias(f"{s}_{m}"))
+            columns.append(pick(s, "rank", m).alias(f"{s}_{m}_rank"))
+        if s != "benefits":
+            columns.append(pick(s, "matched", MEASURES[0]).alias(f"{s}_matched"))
+    wide = ranked.groupBy(key).agg(*columns)
+    diffs = {
+        f"{s}_rank_diff": ranking.rank_difference(f"{s}_cosine_rank", f"{s}_jaccard_rank") for s in SECTIONS
+    }
+    return with_totals(wide.withColumns(diffs))
 
 
 def default_terms(spark) -> DataFrame:

@@ -11,9 +11,11 @@ from pyspark.sql import types as T
 from lexfit.operators.cleaning import new_rows
 from lexfit.schemas import STORE
 
+# A missing value is written as \N, so that it stays apart from an empty text.
 CSV_OPTIONS = {
     "header": True, "encoding": "UTF-8", "multiLine": True, "quote": '"', "escape": '"',
-    "lineSep": "\n",
+    "lineSep": "\n", "nullValue": "\\N",
+    "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
 }
 
 
@@ -74,7 +76,7 @@ def write_csv_store(df: DataFrame, path: str) -> None:
             for f in df.schema.fields
         ]
     )
-    flat.write.options(**CSV_OPTIONS, emptyValue='""', nullValue="").csv(path)
+    flat.write.options(**CSV_OPTIONS).csv(path)
 
 
 def _nested(kind: T.DataType) -> bool:
