@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexfit.functions.text import char_trigrams
-from lexfit.operators.joins import is_small, spread_left_join
+from lexfit.operators.joins import frequent, is_small, spread_left_join
 from lexfit.session import stage
 
 MODEL_ROWS = 2_000_000  # most trigrams a broadcast model may have
@@ -14,29 +14,29 @@ MAX_LANGUAGES = 200
 
 
 def language_model(labelled: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """``(gram, logs)``: per trigram the log probability under each language.
+    """One row per trigram, one column per language: its log probability there.
 
-    ``logs`` maps every language to ln((count + 1) / (total + distinct trigrams)). One
-    pass over the texts, staged as counts; each task counts its own trigrams first.
+    That is ln((count + 1) / (total + distinct trigrams)). The texts are read once; each
+    task counts its own trigrams before the shuffle, and the counts are staged.
     """
     grams = labelled.where(F.col(lang).isNotNull()).select(
         F.col(lang).alias("lang"), F.explode_outer(char_trigrams(F.col(text))).alias("gram")
     )
     grams = grams.where("gram is not null")
     counts = stage(grams.groupBy("lang", "gram").agg(F.count("*").alias("n")), "grams")
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    distinct = counts.agg(F.count_distinct("gram")).scalar()
-    sizes = totals.select("lang", (F.col("total") + distinct).alias("size"))
-    if not is_small(sizes, MAX_LANGUAGES):
+    # One total per language: a list of known, small length for the driver.
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
+    if len(totals) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    by_lang = F.map_from_entries(F.collect_list(F.struct("lang", "size")))
-    by_gram = F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("ns")
-    logs = F.transform_values(
-        "sizes",
-        lambda lang, size: F.log((F.coalesce(F.try_element_at("ns", lang), F.lit(0)) + 1) / size),
+    by_gram = stage(
+        counts.groupBy("gram").pivot("lang", [r["lang"] for r in totals]).agg(F.sum("n")), "model"
     )
-    model = counts.groupBy("gram").agg(by_gram).withColumn("sizes", sizes.agg(by_lang).scalar())
-    return model.select("gram", logs.alias("logs"))
+    distinct = by_gram.count()
+    logs = [
+        F.log((F.coalesce(F.col(f"`{r['lang']}`"), F.lit(0)) + 1) / F.lit(r["n"] + distinct)).alias(r["lang"])
+        for r in totals
+    ]
+    return by_gram.select("gram", *logs)
 
 
 def detect_language(
@@ -46,18 +46,25 @@ def detect_language(
     the text's trigrams; null for a text without a known trigram. Ties go to the name
     that sorts first.
 
-    ``model`` should be a table (see ``stage``). Trigrams are looked up where the text
-    is, and summed per text and language before anything is shuffled. A model too large
-    to broadcast is joined by shuffle, on trigrams already counted per text.
+    Trigrams are looked up where the text is, and summed per text before anything is
+    shuffled. A model too large to broadcast is joined by shuffle, on trigrams already
+    counted per text.
     """
+    languages = [c for c in model.columns if c != "gram"]
     grams = df.select(key, F.explode_outer(char_trigrams(F.col(text))).alias("gram"))
     if is_small(model, max_model_rows):
-        scored = grams.join(F.broadcast(model), "gram", "left")
-        scored = scored.select(key, F.explode_outer("logs").alias("lang", "log"), F.lit(1).alias("n"))
+        scored = grams.join(F.broadcast(model), "gram", "left").withColumn("n", F.lit(1))
     else:
         counted = grams.groupBy(key, "gram").agg(F.count("*").alias("n"))
-        scored = spread_left_join(counted, model, ["gram"], F.struct(key, "gram"))
-        scored = scored.select(key, F.explode_outer("logs").alias("lang", "log"), "n")
-    sums = scored.groupBy(key, "lang").agg(F.sum(F.col("log") * F.col("n")).alias("score"))
-    cost = F.when(F.col("lang").isNotNull(), F.struct((-F.col("score")).alias("cost"), "lang"))
-    return sums.groupBy(key).agg(F.min(cost)["lang"].alias("detected"))
+        scored = spread_left_join(counted, model, ["gram"], F.struct(key, "gram"), hot=frequent_rows(counted, model))
+    sums = scored.groupBy(key).agg(*[F.sum(F.col(f"`{c}`") * F.col("n")).alias(c) for c in languages])
+    costs = [
+        F.when(F.col(f"`{c}`").isNotNull(), F.struct((-F.col(f"`{c}`")).alias("cost"), F.lit(c).alias("lang")))
+        for c in languages
+    ]
+    return sums.select(key, F.array_min(F.array(*costs))["lang"].alias("detected"))
+
+
+def frequent_rows(counted: DataFrame, model: DataFrame) -> DataFrame:
+    """Model rows of the trigrams that more than a thousandth of all rows hold."""
+    return model.join(F.broadcast(frequent(counted, ["gram"])), "gram", "left_semi")

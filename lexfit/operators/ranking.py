@@ -7,30 +7,31 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lexfit.operators.joins import spread_left_join
+from lexfit.session import stage
 
 SCALE = 10**15  # scores become whole numbers; 15 digits keep distinct ones apart
 STEP = 10**5  # digits are taken five at a time
 HOT_SHARE = 1000
 
 
-def rank_table(scores: DataFrame, groups: list[str], code: str = "_code") -> DataFrame:
-    """Descending average rank of each distinct score code: ``(groups, code, n, rank)``.
+def rank_table(counts: DataFrame, groups: list[str], code: str = "_code") -> DataFrame:
+    """Descending average rank of each distinct score: ``(groups, code, n, rank)``.
 
-    Equal scores collapse first. Then a prefix sum over the digits of the code: how
-    many rows lie above its leading digits, above its next five, above its last five.
-    Every window partition holds at most 10^5 rows (the top one 10^5 per unit of
-    score), however many rows the table has and however they are distributed.
+    ``counts`` has one row per distinct score code and its number ``n`` of rows. The rank
+    is a prefix sum over the digits of the code: how many rows lie above its leading
+    digits, above its next five, above its last five. Every window partition holds at
+    most 10^5 rows (the top one 10^5 per unit of score), however many rows the table has
+    and however their scores are distributed.
     """
-    distinct = scores.where(F.col(code).isNotNull()).groupBy(*groups, code).agg(F.count("*").alias("n"))
-    distinct = distinct.withColumn("_mid", F.expr(f"{code} div {STEP}"))
-    distinct = distinct.withColumn("_top", F.expr(f"_mid div {STEP}"))
+    counts = counts.withColumn("_mid", F.expr(f"{code} div {STEP}"))
+    counts = counts.withColumn("_top", F.expr(f"_mid div {STEP}"))
 
     def above(df: DataFrame, within: list[str], order: str, name: str) -> DataFrame:
         w = W.partitionBy(*within).orderBy(F.desc(order)).rowsBetween(W.unboundedPreceding, -1)
         return df.withColumn(name, F.coalesce(F.sum("n").over(w), F.lit(0)))
 
-    low = above(distinct, [*groups, "_top", "_mid"], code, "_above_low")
-    mid = distinct.groupBy(*groups, "_top", "_mid").agg(F.sum("n").alias("n"))
+    low = above(counts, [*groups, "_top", "_mid"], code, "_above_low")
+    mid = counts.groupBy(*groups, "_top", "_mid").agg(F.sum("n").alias("n"))
     top = mid.groupBy(*groups, "_top").agg(F.sum("n").alias("n"))
     mid = above(mid, [*groups, "_top"], "_mid", "_above_mid").drop("n")
     top = above(top, groups, "_top", "_above_top").drop("n")
@@ -45,14 +46,15 @@ def rank_average(
     """Add the descending rank of ``score`` within ``groups``; ties get their mean rank,
     missing scores stay missing.
 
-    ``df`` is read twice: hand in a stage table or a scan, not a long plan. Scores that
-    own more than one row in a thousand of their group (zero, as a rule) are looked up
-    by broadcast; there are at most a thousand such scores per group.
+    ``df`` is read twice, once for its groups and scores only: hand in a stage table or
+    a scan, not a long plan. Equal scores collapse before anything else; what is left is
+    staged. Scores that own more than one row in a thousand of their group (zero, as a
+    rule) are looked up by broadcast; there are at most a thousand of them per group.
     """
-    code = F.round(F.col(score) * SCALE).cast("bigint")
-    coded = df.withColumn("_code", code)
-    ranks = rank_table(coded.select(*groups, "_code"), groups)
-    totals = coded.where(F.col("_code").isNotNull()).groupBy(*groups).agg(F.count("*").alias("_total"))
+    coded = df.withColumn("_code", F.round(F.col(score) * SCALE).cast("bigint"))
+    counts = coded.where("_code is not null").groupBy(*groups, "_code").agg(F.count("*").alias("n"))
+    ranks = stage(rank_table(stage(counts, "counts"), groups), "ranks")
+    totals = ranks.groupBy(*groups).agg(F.sum("n").alias("_total"))
     hot = ranks.join(F.broadcast(totals), groups).where(F.col("n") * HOT_SHARE > F.col("_total"))
     columns = [*groups, "_code", F.col("rank").alias(name)]
     out = spread_left_join(

@@ -368,8 +368,7 @@ def concat_text(spark: SparkSession, d: str) -> DataFrame:
 @query
 def language_detect(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d)
-    model = stage(language.language_model(docs), "model")
-    return language.detect_language(docs, "doc_id", model)
+    return language.detect_language(docs, "doc_id", language.language_model(docs))
 
 
 @query
