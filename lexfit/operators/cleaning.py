@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from lexfit import fixed_values as fx
 from lexfit.functions import records as R
 from lexfit.functions.text import clean_text, squeeze
-from lexfit.operators.joins import is_small
 
 
 def dedupe_first(df: DataFrame, key: str = "url", order: tuple[str, ...] = ("batch_no", "pos")) -> DataFrame:
@@ -33,20 +32,18 @@ def title_blocklist(df: DataFrame, terms: list[str] = fx.TITLE_BLOCKLIST, title:
     return df.where(~R.title_blocked(F.col(title), terms))
 
 
-def title_blocklist_table(df: DataFrame, terms: DataFrame, title: str = "title") -> DataFrame:
-    """The same with the terms in a table ``(term)``: one pattern per block of terms,
-    matched against distinct titles, so work does not grow with terms x rows.
+def title_blocklist_table(
+    df: DataFrame, terms: DataFrame, title: str = "title", max_terms: int = 20_000
+) -> DataFrame:
+    """The same with the terms in a table ``(term)``.
 
-    The list is user input; more than a broadcast can hold is refused.
+    The list is user input of bounded size: it becomes one pattern in the plan, so the
+    filter stays narrow. More than ``max_terms`` are refused, not cut.
     """
-    if not is_small(terms, 20_000):
-        raise ValueError("title blocklist has more than 20,000 terms")
-    patterns = terms.groupBy(F.pmod(F.xxhash64("term"), F.lit(16)).alias("block")).agg(
-        F.concat(F.lit("(?iu)"), F.array_join(F.collect_set("term"), "|")).alias("pattern")
-    )
-    titles = df.select(F.col(title).alias("_title")).where(F.col(title).isNotNull()).distinct()
-    blocked = titles.join(F.broadcast(patterns), F.expr("_title rlike pattern"), "left_semi")
-    return df.join(blocked, df[title] == blocked["_title"], "left_anti")
+    words = [r["term"] for r in terms.select("term").limit(max_terms + 1).collect()]
+    if len(words) > max_terms:
+        raise ValueError(f"more than {max_terms} blocklist terms")
+    return title_blocklist(df, words, title) if words else df
 
 
 def replace_columns(df: DataFrame, rules: list[tuple[str, str, list[str]]] = fx.REPLACEMENTS) -> DataFrame:

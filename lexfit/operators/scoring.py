@@ -62,9 +62,16 @@ def term_profiles(terms: DataFrame) -> DataFrame:
 def score_features(df: DataFrame, keys: list[str], profiles: DataFrame, text: str = "text") -> DataFrame:
     """Per text and section: dot product, squared length, overlap sizes, terms found.
 
-    ``text`` holds blank-joined tokens. ``profiles`` is bounded by ``MAX_TERMS``.
+    ``text`` holds blank-joined tokens. ``profiles`` is bounded by ``MAX_TERMS``. A section
+    without terms keeps its rows and scores 0.
     """
-    joined = df.select(*keys, "section", text).join(F.broadcast(profiles), "section")
+    joined = df.select(*keys, "section", text).join(F.broadcast(profiles), "section", "left")
+    joined = joined.withColumns(
+        {
+            "terms": F.coalesce("terms", F.array().cast("array<string>")),
+            "query": F.coalesce("query", F.create_map().cast("map<string,bigint>")),
+        }
+    )
     joined = _with_counts(joined, text)
     joined = joined.withColumn("_tokens", F.array_remove(F.split(text, " "), ""))
     zero = F.lit(0).cast("bigint")
@@ -129,7 +136,7 @@ def matched(scored: DataFrame, profiles: DataFrame, score: str = "cosine") -> Da
     the score is not 0."""
     words = F.filter("terms", lambda t: F.array_contains("common", t))
     text = F.when(F.col(score) != 0, F.array_join(words, " "))
-    with_terms = scored.join(F.broadcast(profiles.select("section", "terms")), "section")
+    with_terms = scored.join(F.broadcast(profiles.select("section", "terms")), "section", "left")
     return with_terms.withColumn("matched", text).drop("terms")
 
 

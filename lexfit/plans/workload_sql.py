@@ -52,7 +52,8 @@ def fill(template: str, **fields: str) -> str:
 
 def file_name(*fields: str, prefix: str = "") -> str:
     joined = " || '_' || ".join(f"coalesce({f}, '')" for f in fields)
-    return rf"regexp_replace({q(prefix)} || {joined}, '[/:<>*?""\\|]', '_', 'g')".replace('""', '"')
+    forbidden = r"""'[/:<>*?"\\|]'"""
+    return f"regexp_replace({q(prefix)} || {joined}, {forbidden}, '_', 'g')"
 
 
 def parts(html: str, tag: str) -> str:

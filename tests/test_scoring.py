@@ -88,6 +88,15 @@ def test_term_counts_and_vocabulary(spark, corpus):
     assert sorted(r.term for r in known if r.section == "tasks") == ["daten", "daten", "sql"]
 
 
+def test_section_without_terms_keeps_its_rows(spark, corpus):
+    texts, terms = frames(spark, corpus)
+    profiles = scoring.term_profiles(terms.where("section = 'tasks'"))
+    out = scoring.jaccard(scoring.cosine(scoring.score_features(texts, ["id"], profiles), profiles))
+    rows = [r for r in scoring.matched(out, profiles).collect() if r.section == "profile"]
+    assert len(rows) == len(corpus)
+    assert all(r.cosine == 0 and r.jaccard in (0, None) and r.matched is None for r in rows)
+
+
 def test_too_many_terms_are_refused(spark):
     many = spark.range(scoring.MAX_TERMS + 1).selectExpr("'tasks' AS section", "id AS pos", "0 AS sub_pos", "string(id) AS term")
     with pytest.raises(ValueError):
