@@ -7,21 +7,14 @@ from pyspark.sql import functions as F
 
 from lexfit import fixed_values as fx
 from lexfit.functions import records as R
+from lexfit.functions.stemming import cistem, snowball_german
 from lexfit.functions.text import extract_emails, remove_stopwords, tokens_to_text
 from lexfit.operators import cleaning, ranking, scoring, sections
-from lexfit.operators.terms import lemmatize, prepare_terms, stem_text
-from lexfit.schemas import SECTIONS
+from lexfit.operators.language import detect_language
+from lexfit.operators.terms import lemmatize, prepare_terms
+from lexfit.schemas import SECTIONS, TOKEN_STEPS
 from lexfit.session import stage
-
-
-def normalise(text: Column, stop_words: list[str] | None = None, stem: bool = True) -> Column:
-    """Text to blank-joined tokens: clean, split, stem twice, drop stop words."""
-    out = cleaning.token_text(text)
-    if stem:
-        out = stem_text(out)
-    if stop_words:
-        out = tokens_to_text(remove_stopwords(F.split(out, " "), stop_words))
-    return out
+from lexfit.sources.store import conform
 
 
 def prepare_records(records: DataFrame, extra_keywords: dict | None = None) -> DataFrame:
@@ -40,34 +33,44 @@ def prepare_records(records: DataFrame, extra_keywords: dict | None = None) -> D
     )
 
 
-def section_texts(
+def token_steps(
     prepared: DataFrame,
     key: str = "url",
     stop_words: list[str] | None = None,
     lemmas: DataFrame | None = None,
     stem: bool = True,
 ) -> DataFrame:
-    """``(key, section, text)``: the three scored sections as normalised texts."""
-    cells = F.array(*[F.struct(F.lit(s).alias("section"), F.col(s).alias("text")) for s in SECTIONS])
+    """``(key, section, clean, lemma, stem1, stem2, no_stop)``: each scored section as a
+    blank-joined text after each step. Narrow unless a lemma table is given; columns that
+    are not used further cost nothing.
+    """
+    cells = F.array(*[F.struct(F.lit(s).alias("section"), F.col(s).alias("clean")) for s in SECTIONS])
     long = prepared.select(key, F.inline(cells))
+    long = long.withColumn("clean", cleaning.token_text(F.col("clean")))
     if lemmas is None:
-        return long.select(key, "section", normalise(F.col("text"), stop_words, stem).alias("text"))
-    cleaned = long.select(
-        F.struct(key, "section").alias("_id"), cleaning.token_text(F.col("text")).alias("text")
-    )
-    text = stem_text(F.col("text")) if stem else F.col("text")
+        long = long.withColumn("lemma", F.col("clean"))
+    else:
+        ids = long.select(F.struct(key, "section").alias("_id"), F.col("clean").alias("lemma"))
+        found = lemmatize(ids, "_id", "lemma", lemmas).select("_id.*", "lemma")
+        long = long.join(found, [key, "section"])
+    long = long.withColumn("stem1", snowball_german(F.col("lemma")) if stem else F.col("lemma"))
+    long = long.withColumn("stem2", cistem(F.col("stem1")) if stem else F.col("stem1"))
+    kept = F.col("stem2")
     if stop_words:
-        text = tokens_to_text(remove_stopwords(F.split(text, " "), stop_words))
-    return lemmatize(cleaned, "_id", "text", lemmas).select("_id.*", text.alias("text"))
+        kept = tokens_to_text(remove_stopwords(F.split("stem2", " "), stop_words))
+    return long.withColumn("no_stop", kept).select(key, "section", *TOKEN_STEPS)
+
 
+def section_features(texts: DataFrame, terms: DataFrame, key: str = "url") -> DataFrame:
+    """A few numbers per text and section. Kept as a table and appended to with each
+    batch, they are all that rescoring needs when the corpus grows."""
+    return scoring.score_features(texts, [key], scoring.term_profiles(terms))
 
-def score_sections(texts: DataFrame, terms: DataFrame, key: str = "url") -> DataFrame:
-    """``(key, section, cosine, jaccard, matched, ...)``. The texts are read once; what
-    the corpus-wide steps need is staged as a few numbers per text."""
+
+def scores(features: DataFrame, terms: DataFrame, key: str = "url") -> DataFrame:
+    """``(key, section, cosine, jaccard, matched)`` from a feature table."""
     profiles = scoring.term_profiles(terms)
-    features = stage(scoring.score_features(texts, [key], profiles), "features")
-    scored = scoring.jaccard(scoring.cosine(features, profiles))
-    scored = scoring.matched(scored, profiles)
+    scored = scoring.matched(scoring.jaccard(scoring.cosine(features, profiles)), profiles)
     # Benefits have no list of matches.
     matched = F.when(F.col("section") != "benefits", F.col("matched"))
     return scored.select(key, "section", "cosine", "jaccard", matched.alias("matched"))
@@ -123,12 +126,50 @@ def fit_report(
 ) -> DataFrame:
     """Records to one row per ad with scores, ranks, matches and totals."""
     prepared = prepare_records(records, extra_keywords)
-    query = prepare_terms(terms, lemmas)
-    texts = section_texts(prepared, key, stop_words, lemmas)
-    scored = stage(score_sections(texts, query, key), "scores")
+    texts = token_steps(prepared, key, stop_words, lemmas).select(key, "section", F.col("no_stop").alias("text"))
+    return report_from_texts(texts, prepare_terms(terms, lemmas), key)
+
+
+def report_from_texts(texts: DataFrame, query: DataFrame, key: str = "url") -> DataFrame:
+    features = stage(section_features(texts, query, key), "features")
+    scored = stage(scores(features, query, key), "scores")
     return report_rows(rank_long(scored, key), key)
 
 
+def full_store(
+    records: DataFrame,
+    terms: DataFrame,
+    stop_words: list[str] | None = None,
+    lemmas: DataFrame | None = None,
+    extra_keywords: dict | None = None,
+    language_model: DataFrame | None = None,
+) -> DataFrame:
+    """Records to store rows with every column a run fills: found values, sections, the
+    tokens after each step, scores, ranks, matches and totals. ``url`` is unique.
+
+    Pages and texts are gone through once; prepared rows and tokens are staged.
+    """
+    prepared = stage(prepare_records(records, extra_keywords), "prepared")
+    steps = stage(token_steps(prepared, "url", stop_words, lemmas), "tokens")
+    texts = steps.select("url", "section", F.col("no_stop").alias("text"))
+    report = report_from_texts(texts, prepare_terms(terms, lemmas))
+
+    columns = []
+    for s in SECTIONS:
+        for step in TOKEN_STEPS:
+            text = F.max(F.when(F.col("section") == s, F.col(step)))
+            columns.append(F.array_remove(F.split(text, " "), "").alias(f"{s}_{step}"))
+        columns.append(F.max(F.when(F.col("section") == s, F.col("no_stop"))).alias(f"{s}_joined"))
+    wide = steps.groupBy("url").agg(*columns)
+
+    rows = prepared.join(report, "url").join(wide, "url")
+    if language_model is not None:
+        spoken = prepared.select("url", cleaning.language_text(F.col("parts")).alias("text"))
+        found = detect_language(spoken, "url", language_model)
+        rows = rows.drop("lang").join(found.withColumnRenamed("detected", "lang"), "url")
+    return conform(rows)
+
+
 def report_rows(ranked: DataFrame, key: str) -> DataFrame:
     """The ranked long table to one row per text: a single shuffle, numbers and matches only."""
 

@@ -162,3 +162,38 @@ def test_report_with_lemmas(spark):
     terms = spark.createDataFrame([("tasks", 0, "report")] + [(s, 0, "x") for s in ("profile", "benefits")], "section string, pos bigint, term string")
     rows = {r.url: r for r in report.fit_report(records, terms, lemmas=lemmas).collect()}
     assert rows["u1"].tasks_cosine > 0 and rows["u2"].tasks_cosine == 0
+
+
+def test_rescoring_from_features_equals_a_full_run(spark, corpus):
+    """Features of two batches, put together, give the scores of one run over both."""
+    rows = [(str(i), s, t) for i, t in enumerate(corpus) for s in TERMS]
+    texts = spark.createDataFrame(rows, "url string, section string, text string")
+    _, terms = frames(spark, [])
+    first, second = texts.where("int(url) < 20"), texts.where("int(url) >= 20")
+    parts = report.section_features(first, terms).union(report.section_features(second, terms))
+    at_once = report.scores(report.section_features(texts, terms), terms)
+    assert sorted(map(tuple, report.scores(parts, terms).collect()), key=str) == sorted(map(tuple, at_once.collect()), key=str)
+
+
+def test_full_store(spark):
+    from lexfit.operators.language import language_model
+    from lexfit.operators.selection import mark_done, eligible
+    from lexfit.schemas import STORE
+
+    rows = [
+        ("https://x/1234567-inline.html", "Analyst (m/w/d)", "Fa", ["Weg 1"], ["Aufgaben", "Die Daten und Berichte", "Profil", "SQL"], 0, 1),
+        ("https://x/7654321-inline.html", "Cook", "Fb", None, ["Tasks", "the cooking and the food"], 0, 2),
+    ]
+    records = spark.createDataFrame(rows, "url string, title string, company string, address array<string>, parts array<string>, batch_no bigint, pos bigint")
+    model = language_model(spark.createDataFrame([("de", "die aufgaben und berichte"), ("en", "the tasks and cooking")], "lang string, text string"))
+    store = report.full_store(records, report.default_terms(spark), ["und"], language_model=model)
+    assert store.schema.names == STORE.names
+    got = {r.company: r for r in mark_done(store, eligible()).collect()}
+    a, b = got["Fa"], got["Fb"]
+    assert a.tasks == "Die Daten und Berichte" and a.tasks_clean == ["die", "daten", "und", "berichte"]
+    assert a.tasks_stem1 == [plain.snowball(w) for w in a.tasks_clean]
+    assert a.tasks_stem2 == [plain.cistem(w) for w in a.tasks_stem1]
+    assert a.tasks_no_stop == [w for w in a.tasks_stem2 if w != "und"] and a.tasks_joined == " ".join(a.tasks_no_stop)
+    assert (a.lang, b.lang) == ("de", "en") and a.tasks_matched.split()[0] == "dat"
+    assert a.letter_done == "Ja" and b.letter_done is None and b.profile == "leer"
+    assert a.tasks_jaccard_rank == 1 and b.tasks_jaccard_rank == 2 and a.tasks_rank_diff == 0
