@@ -43,12 +43,17 @@ def section_lookup(
         return (F.length(cell) < fx.HEADING_LIMIT) & (i >= start) & F.coalesce(hit, F.lit(False))
 
     hits = F.transform(parts, lambda cell, i: F.coalesce(is_heading(cell, i), F.lit(False)))
-    position = F.array_position(hits, F.lit(True))  # 1-based: also the next cell's index
     cells = F.slice(parts, F.lit(start + 1), F.size(parts)) if start else parts
     short = F.exists(cells, lambda cell: F.length(cell) < fx.HEADING_LIMIT)
-    return F.when(position > 0, F.get(parts, position.cast("int"))).when(
-        F.coalesce(short, F.lit(False)), F.lit(sentinel)
-    )
+
+    def value(position: Column) -> Column:
+        # 1-based position of the heading: also the next cell's 0-based index.
+        return F.when(position > 0, F.get(parts, position.cast("int"))).when(
+            F.coalesce(short, F.lit(False)), F.lit(sentinel)
+        )
+
+    # A one-item array binds the position, so that the walk is evaluated once.
+    return F.get(F.transform(F.array(F.array_position(hits, F.lit(True))), value), F.lit(0))
 
 
 def _list(section: str, number: int, extra: dict | None) -> list[str]:

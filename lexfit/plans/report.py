@@ -15,6 +15,7 @@ from lexfit.operators.terms import lemmatize, prepare_terms
 from lexfit.schemas import SECTIONS, TOKEN_STEPS
 from lexfit.session import stage
 from lexfit.sources.store import conform
+from lexfit.sources.tables import term_table
 
 
 def prepare_records(records: DataFrame, extra_keywords: dict | None = None) -> DataFrame:
@@ -61,15 +62,14 @@ def token_steps(
     return long.withColumn("no_stop", kept).select(key, "section", *TOKEN_STEPS)
 
 
-def section_features(texts: DataFrame, terms: DataFrame, key: str = "url") -> DataFrame:
+def section_features(texts: DataFrame, profiles: DataFrame, key: str = "url") -> DataFrame:
     """A few numbers per text and section. Kept as a table and appended to with each
     batch, they are all that rescoring needs when the corpus grows."""
-    return scoring.score_features(texts, [key], scoring.term_profiles(terms))
+    return scoring.score_features(texts, [key], profiles)
 
 
-def scores(features: DataFrame, terms: DataFrame, key: str = "url") -> DataFrame:
+def scores(features: DataFrame, profiles: DataFrame, key: str = "url") -> DataFrame:
     """``(key, section, cosine, jaccard, matched)`` from a feature table."""
-    profiles = scoring.term_profiles(terms)
     scored = scoring.matched(scoring.jaccard(scoring.cosine(features, profiles)), profiles)
     # Benefits have no list of matches.
     matched = F.when(F.col("section") != "benefits", F.col("matched"))
@@ -131,8 +131,9 @@ def fit_report(
 
 
 def report_from_texts(texts: DataFrame, query: DataFrame, key: str = "url") -> DataFrame:
-    features = stage(section_features(texts, query, key), "features")
-    scored = stage(scores(features, query, key), "scores")
+    profiles = stage(scoring.term_profiles(query), "profiles")
+    features = stage(section_features(texts, profiles, key), "features")
+    scored = stage(scores(features, profiles, key), "scores")
     return report_rows(rank_long(scored, key), key)
 
 
@@ -193,5 +194,4 @@ def report_rows(ranked: DataFrame, key: str) -> DataFrame:
 
 def default_terms(spark) -> DataFrame:
     """The default term lists as a table."""
-    rows = [(s, i, t) for s, words in fx.PROFILE_TERMS.items() for i, t in enumerate(words)]
-    return spark.createDataFrame(rows, "section string, pos bigint, term string")
+    return term_table(spark, fx.PROFILE_TERMS)

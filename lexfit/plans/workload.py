@@ -16,7 +16,7 @@ from lexfit.operators import cleaning, language, pages, ranking, scoring, sectio
 from lexfit.plans import report
 from lexfit.session import deal_out, scratch_path, stage
 from lexfit.sources import store as S
-from lexfit.sources.tables import page_scan, table
+from lexfit.sources.tables import page_scan, table, term_table
 from lexfit.streaming.incremental import follow_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,8 +68,7 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _terms(spark: SparkSession) -> DataFrame:
-    rows = [(s, i, t) for s, words in TERMS.items() for i, t in enumerate(words)]
-    return spark.createDataFrame(rows, "section string, pos bigint, term string")
+    return term_table(spark, TERMS)
 
 
 def _query_terms(spark: SparkSession) -> DataFrame:

@@ -168,11 +168,11 @@ def test_rescoring_from_features_equals_a_full_run(spark, corpus):
     """Features of two batches, put together, give the scores of one run over both."""
     rows = [(str(i), s, t) for i, t in enumerate(corpus) for s in TERMS]
     texts = spark.createDataFrame(rows, "url string, section string, text string")
-    _, terms = frames(spark, [])
+    profiles = scoring.term_profiles(frames(spark, [])[1])
     first, second = texts.where("int(url) < 20"), texts.where("int(url) >= 20")
-    parts = report.section_features(first, terms).union(report.section_features(second, terms))
-    at_once = report.scores(report.section_features(texts, terms), terms)
-    assert sorted(map(tuple, report.scores(parts, terms).collect()), key=str) == sorted(map(tuple, at_once.collect()), key=str)
+    parts = report.section_features(first, profiles).union(report.section_features(second, profiles))
+    at_once = report.scores(report.section_features(texts, profiles), profiles)
+    assert sorted(map(tuple, report.scores(parts, profiles).collect()), key=str) == sorted(map(tuple, at_once.collect()), key=str)
 
 
 def test_full_store(spark):
