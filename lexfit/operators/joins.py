@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPREAD = 1024  # buckets that rows without a join partner are spread over
-BROADCAST_ROWS = 200_000  # most rows a lookup side may have to be broadcast
+BROADCAST_ROWS = 500_000  # most rows a lookup side may have to be broadcast
 
 
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:

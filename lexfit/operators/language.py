@@ -9,7 +9,7 @@ from lexfit.functions.text import char_trigrams
 from lexfit.operators.joins import frequent, is_small, spread_left_join
 from lexfit.session import stage
 
-MODEL_ROWS = 2_000_000  # most trigrams a broadcast model may have
+MODEL_CELLS = 4_000_000  # most trigrams x languages a broadcast model may have
 MAX_LANGUAGES = 200
 
 
@@ -40,7 +40,7 @@ def language_model(labelled: DataFrame, text: str = "text", lang: str = "lang")
 
 
 def detect_language(
-    df: DataFrame, key: str, model: DataFrame, text: str = "text", max_model_rows: int = MODEL_ROWS
+    df: DataFrame, key: str, model: DataFrame, text: str = "text", max_cells: int = MODEL_CELLS
 ) -> DataFrame:
     """``(key, detected)``: the language with the highest sum of log probabilities over
     the text's trigrams; null for a text without a known trigram. Ties go to the name
@@ -52,7 +52,7 @@ def detect_language(
     """
     languages = [c for c in model.columns if c != "gram"]
     grams = df.select(key, F.explode_outer(char_trigrams(F.col(text))).alias("gram"))
-    if is_small(model, max_model_rows):
+    if is_small(model, max_cells // max(len(languages), 1)):
         scored = grams.join(F.broadcast(model), "gram", "left").withColumn("n", F.lit(1))
     else:
         counted = grams.groupBy(key, "gram").agg(F.count("*").alias("n"))

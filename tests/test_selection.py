@@ -91,7 +91,7 @@ def test_language_on_both_join_paths(spark):
     model = language.language_model(df).cache()
     docs = spark.createDataFrame(list(enumerate(texts)) + [(99, None)], "id bigint, text string")
     for bound in (10_000, 1):
-        got = {r.id: r.detected for r in language.detect_language(docs, "id", model, max_model_rows=bound).collect()}
+        got = {r.id: r.detected for r in language.detect_language(docs, "id", model, max_cells=bound).collect()}
         assert [got[i] for i in range(len(texts))] == brute_language(train, texts)
         assert got[99] is None
 
