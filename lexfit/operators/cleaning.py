@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lexfit import fixed_values as fx
 from lexfit.functions import records as R
 from lexfit.functions.text import clean_text, squeeze
+from lexfit.operators.joins import is_small
+from lexfit.session import stage
 
 
 def dedupe_first(df: DataFrame, key: str = "url", order: tuple[str, ...] = ("batch_no", "pos")) -> DataFrame:
@@ -22,6 +24,30 @@ def dedupe_first(df: DataFrame, key: str = "url", order: tuple[str, ...] = ("bat
     return out.select(*[F.col(key) if c == key else F.col(f"_first.{c}").alias(c) for c in df.columns])
 
 
+def dedupe_first_table(
+    df: DataFrame, key: str = "url", order: tuple[str, ...] = ("batch_no", "pos")
+) -> DataFrame:
+    """``dedupe_first`` for a stored table: same rows, without shuffling whole rows where
+    few keys have copies.
+
+    Key and order columns are read first (column pruning leaves the texts alone). If the
+    keys with copies fit a broadcast and no two first copies tie, later copies are filtered
+    out where they are; otherwise the rows go through the aggregate.
+    """
+    keys = df.select(key, F.struct(*order).alias("_order"))
+    firsts = keys.groupBy(key).agg(F.min("_order").alias("_first"), F.count("*").alias("_n"))
+    firsts = stage(firsts.where("_n > 1").select(F.col(key).alias("_key"), "_first"), "copies")
+    if not is_small(firsts):
+        return dedupe_first(df, key, order)
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    winners = keys.join(F.broadcast(firsts), same & (F.col("_order") == F.col("_first")))
+    if not winners.groupBy(key).count().where("count > 1").isEmpty():
+        return dedupe_first(df, key, order)
+    marked = df.join(F.broadcast(firsts), same, "left")
+    first_or_only = F.col("_first").isNull() | (F.struct(*order) == F.col("_first"))
+    return marked.where(first_or_only).select(*df.columns)
+
+
 def new_rows(batch: DataFrame, store: DataFrame, key: str = "url") -> DataFrame:
     """First row per key of the batch, without keys the store has."""
     return dedupe_first(batch, key).join(store.select(key), key, "left_anti")

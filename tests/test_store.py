@@ -33,6 +33,19 @@ def test_dedupe_keeps_first_seen_and_is_idempotent(spark):
     assert sorted(map(str, cleaning.dedupe_first(once).collect())) == sorted(map(str, once.collect()))
 
 
+def test_dedupe_of_a_table_keeps_the_same_rows(spark):
+    rows = [(f"u{i % 40}" if i % 3 else "hot", f"t{i}", i % 4, i) for i in range(200)]
+    rows += [(None, "n1", 0, 1), (None, "n0", 0, 0), ("alone", "x", None, None)]
+    df = spark.createDataFrame(rows, ROW)
+    want = sorted(map(tuple, cleaning.dedupe_first(df).collect()), key=str)
+    assert sorted(map(tuple, cleaning.dedupe_first_table(df).collect()), key=str) == want
+    plan = cleaning.dedupe_first_table(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan
+    # Tied first copies: one of them stays.
+    tied = df.union(spark.createDataFrame([("hot", "tie", 0, 0)], ROW))
+    assert cleaning.dedupe_first_table(tied).groupBy("url").count().where("count > 1").isEmpty()
+
+
 def test_csv_round_trip(spark, tmp_path):
     rows = [
         ("u1", 'say "hi", ok\\', "Firma; & Co", ["Weg 1", 'a "b"'], ["line\nbreak", "x,y", ""], 0, 1),
