@@ -31,7 +31,7 @@ def scratch_dir(spark: SparkSession) -> str:
     """
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    folder = folder or sc._jsc.sc().getCheckpointDir().getOrElse(None)
+    folder = folder or sc.getCheckpointDir()
     if folder:
         return folder
     if not sc.master.startswith("local"):

@@ -74,3 +74,31 @@ def test_columns_are_pruned(spark):
 
 def test_entry(spark):
     assert entry_point.entry(spark).count() == 200
+
+
+def test_scratch_folder_falls_back_for_a_local_session_only():
+    """Without spark.checkpoint.dir a local session takes a folder of its own."""
+    from types import SimpleNamespace
+
+    from lexfit.session import scratch_dir
+
+    class Context:
+        def __init__(self, master):
+            self.master, self.folder = master, None
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return self.folder
+
+        def setCheckpointDir(self, folder):
+            self.folder = folder
+
+    local = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=Context("local[2]"))
+    assert scratch_dir(local) == scratch_dir(local)
+    named = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: "/shared"), sparkContext=Context("yarn"))
+    assert scratch_dir(named) == "/shared"
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=Context("yarn"))
+    with pytest.raises(RuntimeError):
+        scratch_dir(cluster)
