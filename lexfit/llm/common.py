@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +36,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def grouped(batches: Iterator[pa.RecordBatch], size: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Slices of the batches of about ``size`` bytes of text or one row, with the texts."""
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy().astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            base = sizes[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(sizes, base + size, "right")))
+            part = batch.slice(at, end - at)
+            yield part, part.column("text").to_pylist()
+            at = end
+
+
 def measured_bytes(df: DataFrame) -> int:
     """Bytes of a staged table's cells: 16 a cell, and the length of strings and binaries."""
     parts = [F.lit(16 * len(df.columns))]
