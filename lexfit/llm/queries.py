@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexfit.llm import langid, mixing, packing, quality_gam, quality_rules
+from lexfit.llm import langid, mixing, packing, pii, quality_gam, quality_rules
 from lexfit.llm.common import table
 
 
@@ -23,6 +24,12 @@ def op5_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.apply(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.apply(docs, pii.train(docs))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.apply(table(spark, sf_dir, "documents"))
 
@@ -38,6 +45,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mix_sources": op4_mix_sources,
     "op5_quality_gam": op5_quality_gam,
+    "op7_personal_data": op7_personal_data,
     "op8_language_id": op8_language_id,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_quality_rules": op10_quality_rules,
