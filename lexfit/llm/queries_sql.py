@@ -47,6 +47,19 @@ sized AS (
 )
 """
 
+WARC = """
+WITH keyed AS (
+    SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), firsts AS (
+    SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS first FROM keyed
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM firsts
+"""
+
 SQL: dict[str, str] = {
+    "op1_warc_round_trip": WARC,
     "op4_mix_sources": "WITH " + MIX.format(words=WORDS_OF, docs="documents") + "SELECT doc_id, size, source_size, target, taken FROM mixed",
 }
