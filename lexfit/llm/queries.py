@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexfit.llm import jaccard_join, langid, mixing, packing, pii, quality_gam, quality_rules, warc
+from lexfit.llm import hamming_search, jaccard_join, langid, mixing, packing, pii, quality_gam, quality_rules, warc
 from lexfit.llm.common import table
 
 
@@ -21,6 +21,11 @@ def op1_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return hamming_search.search(rows, rows.where("id % 50 = 0"))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
@@ -53,6 +58,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_round_trip": op1_warc_round_trip,
+    "op2_hamming_search": op2_hamming_search,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_mix_sources": op4_mix_sources,
     "op5_quality_gam": op5_quality_gam,

@@ -59,7 +59,21 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM firsts
 """
 
+HAMMING = """
+WITH codes AS (
+    SELECT vec_id, list_sum(list_transform(embedding, lambda x, i: CASE WHEN x > 0 THEN 1::UBIGINT << (i - 1) ELSE 0::UBIGINT END))::UBIGINT AS code
+    FROM embeddings
+), pairs AS (
+    SELECT q.vec_id AS query_id, x.vec_id AS neighbour_id, bit_count(xor(q.code, x.code))::INTEGER AS distance
+    FROM codes q, codes x WHERE q.vec_id % 50 = 0
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id)::INTEGER AS rank FROM pairs
+)
+SELECT query_id, neighbour_id, distance, rank FROM ranked WHERE rank <= 10
+"""
+
 SQL: dict[str, str] = {
+    "op2_hamming_search": HAMMING,
     "op1_warc_round_trip": WARC,
     "op4_mix_sources": "WITH " + MIX.format(words=WORDS_OF, docs="documents") + "SELECT doc_id, size, source_size, target, taken FROM mixed",
 }
