@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexfit.llm import hamming_search, jaccard_join, langid, mixing, packing, pii, quality_gam, quality_rules, warc
+from lexfit.llm import hamming_search, jaccard_join, langid, mixing, packing, pii, quality_gam, quality_rules, suffix_dedup, warc
 from lexfit.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op5_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.apply(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = pii.apply(docs, pii.train(docs))
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_jaccard_join": op3_jaccard_join,
     "op4_mix_sources": op4_mix_sources,
     "op5_quality_gam": op5_quality_gam,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_personal_data": op7_personal_data,
     "op8_language_id": op8_language_id,
     "op9_best_fit_packing": op9_best_fit_packing,
