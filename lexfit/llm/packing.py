@@ -68,7 +68,7 @@ class Encoder:
             plain = core.decode()
             if plain.isalpha() and max(plain) < "ƀ":
                 split[word] = (plain.lower().encode(), word[len(core) :])
-        new = list({core for core, _ in split.values()} - self.parts.keys())
+        new = list({core for core, _ in split.values() if core not in self.parts})
         if new:
             ids = np.array(self.tokenizer.encode(b"\n".join(new).decode(), add_special_tokens=False).ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
@@ -84,14 +84,14 @@ class Encoder:
                 self.cache[word] = self.whole(word)
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        for text in texts:
-            words = (text or "").encode("utf-8", "replace").split()
-            if missing := set(words) - self.cache.keys():
-                if len(self.cache) + len(missing) > CACHE_WORDS:
-                    self.cache, self.parts = {}, {}
-                    missing = set(words)
-                self.learn(missing)
-            yield b"".join(map(self.cache.__getitem__, words))
+        split = [(text or "").encode("utf-8", "replace").split() for text in texts]
+        words = set().union(*split)
+        missing = {w for w in words if w not in self.cache}
+        if len(self.cache) + len(missing) > CACHE_WORDS:
+            self.cache, self.parts, missing = {}, {}, words
+        self.learn(missing)
+        for part in split:
+            yield b"".join(map(self.cache.__getitem__, part))
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
