@@ -1,15 +1,66 @@
-"""The corpus pipeline: five stages from documents to packed sequences."""
+"""The corpus pipeline: five stages from documents to packed sequences.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all
+but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexfit.llm import jaccard_join, mixing, packing, pii, quality_gam
+from lexfit.llm.common import ship, table
+from lexfit.llm.queries import tokenizer_path
+from lexfit.session import stage
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, fitted on those of them that have labels, does not reject."""
+    ship(spark)
+    model = quality_gam.train(docs, table(spark, sf_dir, "labels"))
+    return docs.where(quality_gam.quality_score(F.col("text"), model) >= quality_gam.THRESHOLD)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of near duplicates."""
+    ship(spark)
+    return jaccard_join.keep_first(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their personal data replaced by the name of its kind, n_chars in line."""
+    ship(spark)
+    return pii.redact_column(docs, pii.train(docs))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it."""
+    ship(spark)
+    return mixing.mixed_rows(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, each with its sequence and place."""
+    ship(spark)
+    return packing.apply(docs, tokenizer_path())
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("personal_data", personal_data),
+    ("mixture", mixture),
+    ("packed", packed),
+]
 
-STAGES: list = []
+#: Shingle components and token ids are beyond SQL; tests hold the stages against plain Python.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, step in STAGES:
-        docs = step(spark, docs, sf_dir)
+    """All stages over ``documents``; what each keeps is written in the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, step in STAGES:
+        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
     return docs

@@ -139,22 +139,16 @@ def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """node (a doc_id), f and shingles of the documents whose id is in ``ids`` (node), and of a few more."""
 
-    def hashed(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        yield batch.column("h").to_numpy().view(np.uint64)
-
-    wanted = sketch.count(ids.select(F.xxhash64("node").alias("h")), hashed, ID_BITS) > 0
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+    wanted = sketch.membership(ids.select(F.xxhash64("node")), ID_BITS)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch = batch.filter(pa.array(shared.value[sketch.slots(batch.column("h").to_numpy().view(np.uint64), ID_BITS)]))
-            for part, texts in grouped(iter([batch])):
-                sets = [shingles(t) for t in texts]
-                prints = pa.array([fingerprint(s)[0] for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), prints, lists_of(sets)], ["node", "f", "shingles"])
+        for part, texts in grouped(batches):
+            sets = [shingles(t) for t in texts]
+            prints = pa.array([fingerprint(s)[0] for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), prints, lists_of(sets)], ["node", "f", "shingles"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
+    rows = docs.where("doc_id is not null").where(wanted(F.xxhash64("doc_id"))).select("doc_id", "text")
     return rows.mapInArrow(pick, f"node {kind}, f long, shingles array<long>")
 
 
@@ -228,3 +222,15 @@ def join(docs: DataFrame) -> DataFrame:
     done = rows.select("doc_id", "n", "f", "g").join(stage(named, "join-named"), ["f", "g", "n"], "left")
     alone = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return done.select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"))
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """``docs`` with the document of the smallest id of each component; rows that repeat an id share its fate.
+
+    Only rows whose id may be among those to go meet them in a join; the others stay in place.
+    """
+    found = stage(join(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "join-gone")
+    doubtful = F.coalesce(sketch.membership(found.select(F.xxhash64("_gone")), ID_BITS)(F.xxhash64("doc_id")), F.lit(False))
+    marked = docs.withColumn("_doubtful", doubtful)
+    rest = marked.where("_doubtful").join(found, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return marked.where("not _doubtful").unionByName(rest).drop("_doubtful")

@@ -72,45 +72,34 @@ def with_targets(sources: DataFrame, max_repeat: int = MAX_REPEAT) -> DataFrame:
     return sources.withColumn("target", F.when(is_capped, cap.cast("double")).otherwise(share))
 
 
-def mix(docs: DataFrame, size: Column | None = None, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = MAX_REPEAT) -> DataFrame:
-    """How many words of each document a mix takes.
+def named(docs: DataFrame) -> DataFrame:
+    """Adds a key for the source that is never null, and the mixing key."""
+    return docs.withColumns({"_null": F.col("source").isNull(), "_name": F.coalesce("source", F.lit("")), "_key": mixing_key(F.col("doc_id"))})
 
-    ``docs`` has doc_id, source and text (for ``size``, by default the number of words);
-    other columns, whatever their names, are not looked at. Returns doc_id, source, size,
-    source_size, target and taken, a row per row of ``docs``; taken is a multiple of size.
 
-    * null text or a text without words: size 0, taken 0; null source: a source of its own, last in order
-    * null doc_id: all such rows share one key; equal ids share a key and are taken together
-    * a source without words: target 0; no rows: no rows
-    * a tie, where the boundary document brings the sum as near from above as leaving it
-      out does from below, leaves it out; so a source misses its target by at most half of
-      the documents with one key, and reruns agree
-    """
-    spark = docs.sparkSession
-    sized = stage(
-        docs.select("doc_id", "source", (word_count(F.col("text")) if size is None else size).alias("size"), mixing_key(F.col("doc_id")).alias("key"))
-        .withColumns({"_null": F.col("source").isNull(), "_name": F.coalesce("source", F.lit(""))}),
-        "mix-sizes",
-    )
-    sums = sized.groupBy("_null", "_name", "source").agg(F.sum("size").alias("source_size"))
+NAME = ["_null", "_name"]
+
+
+def plan(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = MAX_REPEAT) -> DataFrame:
+    """Per source: source_size, target, whole copies and the threshold for one more; ``sized`` is staged."""
+    sums = sized.groupBy(*NAME, "source").agg(F.sum("size").alias("source_size"))
     places = stage(ranked(sums), "mix-places")
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))
     goals = with_targets(stage(places.withColumn("weight", weight.cast("long")), "mix-sources"), max_repeat)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     goals = stage(goals.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")), "mix-goals")
 
-    name = ["_null", "_name"]
-    state = goals.where("source_size > 0").select(*name, "rest", F.lit(0).cast("long").alias("below"), F.lit(0).cast("long").alias("prefix"))
+    state = goals.where("source_size > 0").select(*NAME, "rest", F.lit(0).cast("long").alias("below"), F.lit(0).cast("long").alias("prefix"))
     thresholds, inside, shift = [], sized, KEY_BITS
     while shift > 0:
         shift -= LEVEL_BITS
         buckets = (
-            inside.groupBy(*name, F.shiftright("key", shift).alias("bucket"))
-            .agg(F.sum("size").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"))
+            inside.groupBy(*NAME, F.shiftright("_key", shift).alias("bucket"))
+            .agg(F.sum("size").alias("n"), F.min("_key").alias("low"), F.max("_key").alias("high"))
         )
-        running = Window.partitionBy(*name).orderBy("bucket")
+        running = Window.partitionBy(*NAME).orderBy("bucket")
         edge = stage(
-            buckets.join(state.drop("prefix"), name)
+            buckets.join(state.drop("prefix"), NAME)
             .withColumn("upto", F.col("below") + F.sum("n").over(running))
             .where("upto > rest and upto - n <= rest")
             .withColumn("below", F.col("upto") - F.col("n")),
@@ -118,15 +107,45 @@ def mix(docs: DataFrame, size: Column | None = None, weights: tuple[int, ...] =
         )
         done = F.col("low") == F.col("high")
         extra = (F.col("upto") - F.col("rest")) < (F.col("rest") - F.col("below"))
-        thresholds.append(edge.where(done).select(*name, (F.col("low") + extra.cast("long")).alias("threshold")))
-        state = edge.where(~done).select(*name, "rest", "below", F.col("bucket").alias("prefix"))
+        thresholds.append(edge.where(done).select(*NAME, (F.col("low") + extra.cast("long")).alias("threshold")))
+        state = edge.where(~done).select(*NAME, "rest", "below", F.col("bucket").alias("prefix"))
         if state.isEmpty():
             break
-        refined = stage(state.select(*name, "prefix"), "mix-refine")
-        inside = lookup(inside.withColumn("prefix", F.shiftright("key", shift)), refined, [*name, "prefix"], spread=["key"]).drop("prefix")
+        refined = stage(state.select(*NAME, "prefix"), "mix-refine")
+        inside = lookup(inside.withColumn("prefix", F.shiftright("_key", shift)), refined, [*NAME, "prefix"], spread=["_key"]).drop("prefix")
     cut = reduce(DataFrame.unionByName, thresholds)
-    plan = stage(goals.join(cut, name, "left").select(*name, "source_size", "target", "whole", "threshold"), "mix-plan")
-    copies = F.col("whole") + F.coalesce((F.col("key") < F.col("threshold")).cast("long"), F.lit(0))
-    return lookup(sized, plan, name, spread=["key"]).select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("size") * copies).alias("taken")
-    )
+    return stage(goals.join(cut, NAME, "left").select(*NAME, "source_size", "target", "whole", "threshold"), "mix-plan")
+
+
+def copies() -> Column:
+    return F.col("whole") + F.coalesce((F.col("_key") < F.col("threshold")).cast("long"), F.lit(0))
+
+
+def sizes(docs: DataFrame, size: Column | None = None) -> DataFrame:
+    count = word_count(F.col("text")) if size is None else size
+    return stage(named(docs.select("doc_id", "source", count.alias("size"))), "mix-sizes")
+
+
+def mix(docs: DataFrame, size: Column | None = None, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = MAX_REPEAT) -> DataFrame:
+    """How many words of each document a mix takes.
+
+    ``docs`` has doc_id, source and text (for ``size``, by default the number of words);
+    other columns, whatever their names, are not looked at. Returns doc_id, source, size,
+    source_size, target and taken, a row per row of ``docs``; taken is a multiple of size.
+
+    * null text or a text without words: size 0, taken 0; null source: a source of its own, last in order
+    * null doc_id: all such rows share one key; equal ids share a key and are taken together
+    * a source without words: target 0; no rows: no rows
+    * a tie, where the boundary document brings the sum as near from above as leaving it
+      out does from below, leaves it out; so a source misses its target by at most half of
+      the documents with one key, and reruns agree
+    """
+    sized = sizes(docs, size)
+    joined = lookup(sized, plan(sized, weights, max_repeat), NAME, spread=["_key"])
+    return joined.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * copies()).alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, size: Column | None = None, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = MAX_REPEAT) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, with their columns; rows taken no time go."""
+    joined = lookup(named(docs), plan(sizes(docs, size), weights, max_repeat), NAME, spread=["_key"])
+    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies().cast("int")))).select(*docs.columns)

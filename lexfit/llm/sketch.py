@@ -10,7 +10,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 BLOCK_BITS = 16
 #: A task hands on what it has counted after so many hashes, and at its end.
@@ -54,3 +55,22 @@ def count(df: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarr
     for block, raw in rows:
         total[block] = np.frombuffer(zlib.decompress(raw), "<u4")
     return total.reshape(-1)
+
+
+def membership(keys: DataFrame, bits: int) -> Callable[[Column], Column]:
+    """A test for long hashes: false surely not in ``keys`` (one long column), true in it or one of a few others.
+
+    Its size is 2**bits flags, so a large table can be cut down in place before it is joined.
+    """
+
+    def hashed(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        yield batch.column(0).to_numpy().view(np.uint64)
+
+    shared = keys.sparkSession.sparkContext.broadcast(np.packbits(count(keys, hashed, bits) > 0))
+
+    @F.arrow_udf("boolean")
+    def held(hashes: pa.Array) -> pa.Array:
+        at = slots(hashes.to_numpy(zero_copy_only=False).view(np.uint64), bits)
+        return pa.array((shared.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool))
+
+    return held

@@ -143,25 +143,6 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def with_key_in(docs: DataFrame, keys: DataFrame, inside: bool | None = True) -> DataFrame:
-    """Rows of ``docs`` (with f) whose key may be in ``keys`` - or, with inside=False, surely isn't - by a sketch of fixed size."""
-
-    def hashed(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        yield mix(batch.column("f").to_numpy().view(np.uint64))
-
-    held = sketch.count(keys.select("f"), hashed, ID_BITS) > 0
-    shared = docs.sparkSession.sparkContext.broadcast(held)
-    names = docs.columns
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = shared.value[sketch.slots(mix(batch.column("f").to_numpy().view(np.uint64)), ID_BITS)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*names, "_in"])
-
-    fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.schema.fields)
-    return docs.mapInArrow(keep, f"{fields}, _in boolean")
-
-
 def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_max: int = GROUP_MAX) -> DataFrame:
     """f, g, start and end of repeated stretches; they may overlap."""
     keyed = docs.select("text", *content_key())
@@ -179,7 +160,7 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_max: in
     needed = stage(needed.select("anchor", "segment", "sure", "at.*"), "dedup-needed")
     large = stage(needed.groupBy("anchor").count().where(F.col("count") > group_max).select("anchor", F.lit(True).alias("large")), "dedup-large")
     needed = needed.join(large, "anchor", "left").withColumn("large", F.coalesce("large", F.lit(False)))
-    texts = with_key_in(keyed, needed.select("f").distinct()).where("_in").groupBy("f", "g").agg(F.any_value("text").alias("text"))
+    texts = keyed.where(sketch.membership(needed.select("f").distinct(), ID_BITS)(F.col("f"))).groupBy("f", "g").agg(F.any_value("text").alias("text"))
     cut = needed.join(texts, ["f", "g"]).select("anchor", "sure", "large", "f", "g", "start", "size", "text")
 
     def slice_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +227,8 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_max: i
     docs = docs.select("doc_id", "text")
     found = spans(docs, length, gram, group_max).distinct()
     lists = stage(found.groupBy("f", "g").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "dedup-spans")
-    keyed = with_key_in(docs.select("doc_id", "text", *content_key()), lists)
+    keyed = docs.select("doc_id", "text", *content_key())
+    keyed = keyed.withColumn("_in", sketch.membership(lists.select("f"), ID_BITS)(F.col("f")))
     hit = keyed.where("_in").join(lists, ["f", "g"], "left").select("doc_id", "text", "spans")
     rest = keyed.where("not _in").select("doc_id", "text", F.lit(None).cast(lists.schema["spans"].dataType).alias("spans"))
 
