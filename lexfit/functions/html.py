@@ -103,5 +103,8 @@ def drop_intro(
 
 
 def part_columns(parts: Column, k: int = fx.WIDE_PARTS) -> list[Column]:
-    """Columns part_1..part_k, '' where the list is shorter."""
-    return [F.coalesce(F.get(parts, F.lit(i)), F.lit("")).alias(f"part_{i + 1}") for i in range(k)]
+    """Columns part_1..part_k, '' where the list is shorter, then n_parts and part_rest,
+    an array of all parts after the k-th."""
+    columns = [F.coalesce(F.get(parts, F.lit(i)), F.lit("")).alias(f"part_{i + 1}") for i in range(k)]
+    rest = F.slice(parts, F.lit(k + 1), F.greatest(F.size(parts), F.lit(0)))
+    return [*columns, F.greatest(F.size(parts), F.lit(0)).cast("bigint").alias("n_parts"), rest.alias("part_rest")]

@@ -45,6 +45,19 @@ def replace_multi(column: str, rules: list[tuple[str, str, list[str]]] = fx.REPL
     return out.alias(column)
 
 
+def replace_parts(parts: Column, rules: list[tuple[str, str, list[str]]] = fx.REPLACEMENTS) -> Column:
+    """The rules for part_1, part_2 ... on an array of parts, of which all are kept."""
+
+    def replaced(part: Column, i: Column) -> Column:
+        for pattern, replacement, columns in rules:
+            places = [int(c[5:]) - 1 for c in columns if c.startswith("part_")]
+            if places:
+                part = F.when(i.isin(places), F.regexp_replace(part, pattern, replacement)).otherwise(part)
+        return part
+
+    return F.transform(parts, replaced)
+
+
 def safe_file_name(*fields: Column, prefix: str = "") -> Column:
     """Fields joined by '_', characters that file systems forbid replaced by '_'."""
     name = F.concat(F.lit(prefix), F.concat_ws("_", *fields))
@@ -52,8 +65,8 @@ def safe_file_name(*fields: Column, prefix: str = "") -> Column:
 
 
 def address_lines(address: Column) -> Column:
-    """One line per address item; two newlines if there is no address."""
-    lines = F.transform(address, lambda a: F.concat(strip(a), F.lit("\n")))
+    """One line per address item; two newlines if there is no address or no item."""
+    lines = F.transform(F.when(F.size(address) > 0, address), lambda a: F.concat(strip(a), F.lit("\n")))
     return F.coalesce(F.array_join(lines, ""), F.lit("\n\n"))
 
 

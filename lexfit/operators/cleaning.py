@@ -58,20 +58,6 @@ def title_blocklist(df: DataFrame, terms: list[str] = fx.TITLE_BLOCKLIST, title:
     return df.where(~R.title_blocked(F.col(title), terms))
 
 
-def title_blocklist_table(
-    df: DataFrame, terms: DataFrame, title: str = "title", max_terms: int = 20_000
-) -> DataFrame:
-    """The same with the terms in a table ``(term)``.
-
-    The list is user input of bounded size: it becomes one pattern in the plan, so the
-    filter stays narrow. More than ``max_terms`` are refused, not cut.
-    """
-    words = [r["term"] for r in terms.select("term").limit(max_terms + 1).collect()]
-    if len(words) > max_terms:
-        raise ValueError(f"more than {max_terms} blocklist terms")
-    return title_blocklist(df, words, title) if words else df
-
-
 def replace_columns(df: DataFrame, rules: list[tuple[str, str, list[str]]] = fx.REPLACEMENTS) -> DataFrame:
     """All replacement rules in one projection."""
     named = {c for _, _, columns in rules for c in columns}

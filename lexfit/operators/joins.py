@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SPREAD = 1024  # buckets that rows without a join partner are spread over
 BROADCAST_ROWS = 500_000  # most rows a lookup side may have to be broadcast
 
 
@@ -18,35 +17,32 @@ def spread_left_join(
     left: DataFrame,
     right: DataFrame,
     on: list[str],
-    row_key: Column,
     needed: Column | None = None,
     hot: DataFrame | None = None,
 ) -> DataFrame:
     """Left join with a ``right`` that is unique on ``on``.
 
     ``hot`` holds the right rows of keys that own many left rows; the caller bounds
-    its size, so it is broadcast and those left rows never move. Left rows that are
-    resolved that way, or that need no partner (``needed`` false or a null key),
-    get a salt that no right row has: they are spread evenly instead of meeting in
-    one task, and an outer join keeps them.
+    its size, so it is broadcast. Left rows that are resolved that way, or that need no
+    partner (``needed`` false or a null key), are a narrow branch and never move; only
+    the rest is shuffled, and no key of it owns many rows. ``left`` is read by both
+    branches: hand in a stage table.
     """
     values = [c for c in right.columns if c not in on]
+    names = list(left.columns)
     need = F.lit(True) if needed is None else F.coalesce(needed, F.lit(False))
     for key in on:
         need = need & F.col(key).isNotNull()
+    found = right.select(*on, F.struct(*values).alias("_found"))
+    none = F.lit(None).cast(found.schema["_found"].dataType)
     if hot is not None:
-        tagged = hot.select(*on, F.struct(*values).alias("_hot"))
-        left = left.join(F.broadcast(tagged), on, "left")
-        need = need & F.col("_hot").isNull()
-    salt = F.when(need, F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(row_key), F.lit(SPREAD)))
-    left = left.withColumn("_salt", salt.cast("int"))
-    cold = right.select(*on, F.lit(0).alias("_salt"), F.struct(*values).alias("_cold"))
-    joined = left.join(cold, [*on, "_salt"], "left")
-    found = F.coalesce("_hot", "_cold") if hot is not None else F.col("_cold")
-    keep = [c for c in left.columns if c not in ("_salt", "_hot")]
-    return joined.withColumn("_found", found).select(
-        *keep, *[F.col(f"_found.{v}").alias(v) for v in values]
-    )
+        left = left.join(F.broadcast(hot.select(*on, F.struct(*values).alias("_hot"))), on, "left")
+        need, settled = need & F.col("_hot").isNull(), F.col("_hot").cast(found.schema["_found"].dataType)
+    else:
+        settled = none
+    stays = left.where(~need).select(*names, settled.alias("_found"))
+    moves = left.where(need).select(*names).join(found, on, "left").select(*names, "_found")
+    return stays.unionByName(moves).select(*names, *[F.col(f"_found.{v}").alias(v) for v in values])
 
 
 def frequent(df: DataFrame, keys: list[str], share: int = 1000) -> DataFrame:

@@ -10,7 +10,6 @@ from lexfit.operators.joins import frequent, is_small, spread_left_join
 from lexfit.session import stage
 
 MODEL_CELLS = 4_000_000  # most trigrams x languages a broadcast model may have
-MAX_LANGUAGES = 200
 
 
 def language_model(labelled: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -24,10 +23,8 @@ def language_model(labelled: DataFrame, text: str = "text", lang: str = "lang")
     )
     grams = grams.where("gram is not null")
     counts = stage(grams.groupBy("lang", "gram").agg(F.count("*").alias("n")), "grams")
-    # One total per language: a list of known, small length for the driver.
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
-    if len(totals) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    # One total per language becomes a column of the model.
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy("lang").collect()
     by_gram = stage(
         counts.groupBy("gram").pivot("lang", [r["lang"] for r in totals]).agg(F.sum("n")), "model"
     )
@@ -55,8 +52,8 @@ def detect_language(
     if is_small(model, max_cells // max(len(languages), 1)):
         scored = grams.join(F.broadcast(model), "gram", "left").withColumn("n", F.lit(1))
     else:
-        counted = grams.groupBy(key, "gram").agg(F.count("*").alias("n"))
-        scored = spread_left_join(counted, model, ["gram"], F.struct(key, "gram"), hot=frequent_rows(counted, model))
+        counted = stage(grams.groupBy(key, "gram").agg(F.count("*").alias("n")), "text-grams")
+        scored = spread_left_join(counted, model, ["gram"], hot=frequent_rows(counted, model))
     sums = scored.groupBy(key).agg(*[F.sum(F.col(f"`{c}`") * F.col("n")).alias(c) for c in languages])
     costs = [
         F.when(F.col(f"`{c}`").isNotNull(), F.struct((-F.col(f"`{c}`")).alias("cost"), F.lit(c).alias("lang")))

@@ -75,7 +75,7 @@ def address_resolve(
     needed = F.col("own_address").isNull()
     hot_links = frequent(left.where(needed & F.col("link").isNotNull()), ["link"])
     hot = right.join(F.broadcast(hot_links), "link", "left_semi")
-    joined = spread_left_join(left, right, ["link"], F.col("page_id"), needed, hot)
+    joined = spread_left_join(left, right, ["link"], needed, hot)
     address = F.coalesce("own_address", "facts_address", F.array().cast("array<string>"))
     return joined.select("page_id", address.alias("address"))
 

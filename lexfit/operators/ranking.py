@@ -58,7 +58,7 @@ def rank_average(
     hot = ranks.join(F.broadcast(totals), groups).where(F.col("n") * HOT_SHARE > F.col("_total"))
     columns = [*groups, "_code", F.col("rank").alias(name)]
     out = spread_left_join(
-        coded, ranks.select(*columns), [*groups, "_code"], F.struct(*row_key), hot=hot.select(*columns)
+        coded, ranks.select(*columns), [*groups, "_code"], hot=hot.select(*columns)
     )
     return out.drop("_code")
 

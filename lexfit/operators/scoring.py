@@ -1,7 +1,6 @@
 """Term counts, cosine, Jaccard and matched terms.
 
-A text is one row, so everything that depends on one text alone is worked out
-inside that row. ``score_features`` reads the texts once and leaves a few numbers
+A text is one row, whose tokens are counted inside it and looked up by a hash join. ``score_features`` reads the texts once and leaves a few numbers
 per text; the only corpus-wide fact, which query terms occur anywhere, is then an
 aggregate over those. Adding texts later means rescoring from features, not texts.
 """
@@ -13,9 +12,7 @@ from pyspark.sql import functions as F
 
 from lexfit import fixed_values as fx
 from lexfit.functions.text import vectorizer_tokens
-from lexfit.operators.joins import is_small
 
-MAX_TERMS = 20_000
 DIGITS = 12  # scores are rounded so that equal texts tie exactly
 
 
@@ -49,47 +46,49 @@ def term_counts(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def term_profiles(terms: DataFrame) -> DataFrame:
-    """One row per section: terms in order, and their counts as the vectoriser sees them."""
-    if not is_small(terms, MAX_TERMS):
-        raise ValueError(f"more than {MAX_TERMS} query terms")
-    ordered = F.sort_array(F.collect_list(F.struct("pos", "sub_pos", "term")))
-    grouped = terms.groupBy("section").agg(F.transform(ordered, lambda t: t["term"]).alias("terms"))
-    grouped = grouped.withColumn("_joined", F.array_join("terms", " "))
-    query = F.map_from_entries("counts").alias("query")
-    return _with_counts(grouped, "_joined").select("section", "terms", query)
+    """The query terms as a dictionary ``(section, kind, token, weight, places)``, of any length.
+
+    Kind 0 are the tokens as the vectoriser sees them, with their counts; kind 1 are the
+    terms as they are, with the places they have in the query.
+    """
+    tokens = terms.select("section", F.explode(vectorizer_tokens(F.col("term"))).alias("token"))
+    counted = tokens.groupBy("section", "token").agg(F.count("*").alias("weight"))
+    place = F.struct("pos", "sub_pos")
+    listed = terms.groupBy("section", F.col("term").alias("token")).agg(F.count("*").alias("weight"), F.collect_list(place).alias("places"))
+    no_place = F.lit(None).cast(listed.schema["places"].dataType).alias("places")
+    counted = counted.select("section", F.lit(0).alias("kind"), "token", "weight", no_place)
+    return counted.unionByName(listed.select("section", F.lit(1).alias("kind"), "token", "weight", "places"))
 
 
 def score_features(df: DataFrame, keys: list[str], profiles: DataFrame, text: str = "text") -> DataFrame:
     """Per text and section: dot product, squared length, overlap sizes, terms found.
 
-    ``text`` holds blank-joined tokens. ``profiles`` is bounded by ``MAX_TERMS``. A section
-    without terms keeps its rows and scores 0.
+    ``text`` holds blank-joined tokens; ``keys`` and section name a text. A text's tokens
+    meet the dictionary in a hash join and are summed up again where they are, so the work
+    grows with the tokens and not with the length of the query. A section without terms
+    keeps its rows and scores 0.
     """
-    joined = df.select(*keys, "section", text).join(F.broadcast(profiles), "section", "left")
-    joined = joined.withColumns(
-        {
-            "terms": F.coalesce("terms", F.array().cast("array<string>")),
-            "query": F.coalesce("query", F.create_map().cast("map<string,bigint>")),
-        }
-    )
-    joined = _with_counts(joined, text)
-    joined = joined.withColumn("_tokens", F.array_remove(F.split(text, " "), ""))
-    zero = F.lit(0).cast("bigint")
-    dot = F.aggregate(
-        "counts",
-        zero,
-        lambda acc, c: acc + c["tf"] * F.coalesce(F.try_element_at("query", c["token"]), zero),
-    )
-    square = F.aggregate("counts", zero, lambda acc, c: acc + c["tf"] * c["tf"])
-    return joined.select(
-        *keys,
-        "section",
-        dot.alias("dot"),
-        square.alias("square"),
-        F.array_intersect(F.map_keys("query"), F.col("counts.token")).alias("found"),
-        F.array_intersect("terms", "_tokens").alias("common"),
-        F.size(F.array_union("_tokens", "terms")).cast("bigint").alias("n_union"),
+    counted = _with_counts(df.select(*keys, "section", text), text)
+    one = F.lit(1).cast("bigint")
+    words = F.array_distinct(F.array_remove(F.split(text, " "), ""))
+    vector = F.transform("counts", lambda c: F.struct(F.lit(0).alias("kind"), c["token"].alias("token"), c["tf"].alias("tf")))
+    whole = F.transform(words, lambda w: F.struct(F.lit(1).alias("kind"), w.alias("token"), one.alias("tf")))
+    long = counted.select(*keys, "section", F.inline_outer(F.concat(vector, whole)))
+    met = long.join(profiles, ["section", "kind", "token"], "left")
+    zero, is_vector, is_term = F.lit(0).cast("bigint"), F.col("kind") == 0, (F.col("kind") == 1) & F.col("weight").isNotNull()
+    places = F.transform("places", lambda p: F.struct(p["pos"].alias("pos"), p["sub_pos"].alias("sub_pos"), F.col("token").alias("term")))
+    summed = met.groupBy(*keys, "section").agg(
+        F.coalesce(F.sum(F.when(is_vector, F.col("tf") * F.col("weight"))), zero).alias("dot"),
+        F.coalesce(F.sum(F.when(is_vector, F.col("tf") * F.col("tf"))), zero).alias("square"),
+        F.collect_list(F.when(is_vector & F.col("weight").isNotNull(), F.col("token"))).alias("found"),
+        F.flatten(F.collect_list(F.when(is_term, places))).alias("common"),
+        F.count(F.when(is_term, one)).alias("n_common"),
+        F.count(F.when(F.col("kind") == 1, one)).alias("_n_tokens"),
     )
+    sizes = profiles.where("kind = 1").groupBy("section").agg(F.count("*").alias("_n_terms"))
+    summed = summed.join(F.broadcast(sizes), "section", "left")  # one row per section
+    n_union = F.col("_n_tokens") + F.coalesce("_n_terms", zero) - F.col("n_common")
+    return summed.select(*keys, "section", "dot", "square", "found", "common", "n_common", n_union.alias("n_union"))
 
 
 def found_terms(features: DataFrame) -> DataFrame:
@@ -99,17 +98,15 @@ def found_terms(features: DataFrame) -> DataFrame:
 
 def corpus_vocabulary(df: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
     """The query terms that the corpus knows, in query order."""
-    profiles = F.broadcast(term_profiles(terms))
-    seen = df.select("section", vectorizer_tokens(F.col(text)).alias("_tokens")).join(profiles, "section")
-    common = F.array_intersect("_tokens", F.map_keys("query"))
-    seen = seen.select("section", F.explode_outer(common).alias("term")).where("term is not null")
-    return terms.join(F.broadcast(seen.distinct()), ["section", "term"], "left_semi")
+    tokens = df.select("section", F.explode_outer(F.array_distinct(vectorizer_tokens(F.col(text)))).alias("term")).where("term is not null")
+    known = tokens.join(terms.select("section", "term").distinct(), ["section", "term"], "left_semi").distinct()
+    return terms.join(known, ["section", "term"], "left_semi")
 
 
 def query_lengths(features: DataFrame, profiles: DataFrame) -> DataFrame:
     """Squared query length per section over the terms the corpus knows."""
-    weights = profiles.select("section", F.explode("query").alias("term", "weight"))
-    known = found_terms(features).join(F.broadcast(weights), ["section", "term"])
+    weights = profiles.where("kind = 0").select("section", F.col("token").alias("term"), "weight")
+    known = found_terms(features).join(weights, ["section", "term"])
     return known.groupBy("section").agg(F.sum(F.col("weight") * F.col("weight")).alias("query_square"))
 
 
@@ -128,16 +125,14 @@ def jaccard_score(n_common: Column, n_union: Column) -> Column:
 
 def jaccard(features: DataFrame) -> DataFrame:
     """Add ``jaccard``."""
-    return features.withColumn("jaccard", jaccard_score(F.size("common"), F.col("n_union")))
+    return features.withColumn("jaccard", jaccard_score(F.col("n_common"), F.col("n_union")))
 
 
-def matched(scored: DataFrame, profiles: DataFrame, score: str = "cosine") -> DataFrame:
+def matched(scored: DataFrame, score: str = "cosine") -> DataFrame:
     """Add ``matched``: query terms found in the text, in query order with repeats, where
     the score is not 0."""
-    words = F.filter("terms", lambda t: F.array_contains("common", t))
-    text = F.when(F.col(score) != 0, F.array_join(words, " "))
-    with_terms = scored.join(F.broadcast(profiles.select("section", "terms")), "section", "left")
-    return with_terms.withColumn("matched", text).drop("terms")
+    words = F.transform(F.sort_array("common"), lambda c: c["term"])
+    return scored.withColumn("matched", F.when(F.col(score) != 0, F.array_join(words, " ")))
 
 
 def total_score(prefix: str = "", suffix: str = "", weights: dict[str, float] = fx.TOTAL_WEIGHTS) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexfit.functions.stemming import cistem, snowball_german
 from lexfit.functions.text import clean_text, first_word, remove_stopwords
 from lexfit.operators.joins import BROADCAST_ROWS, frequent, is_small, spread_left_join
+from lexfit.session import stage
 
 
 def stem_text(text: Column) -> Column:
@@ -39,8 +40,9 @@ def _by_dictionary(
     if small:
         found = tokens.join(F.broadcast(entries), "token", "left")
     else:
+        tokens = stage(tokens, "tokens")
         hot = entries.join(F.broadcast(frequent(tokens, ["token"])), "token", "left_semi")
-        found = spread_left_join(tokens, entries, ["token"], F.struct(key, "pos"), hot=hot)
+        found = spread_left_join(tokens, entries, ["token"], hot=hot)
     words = F.sort_array(F.collect_list(F.struct("pos", "token", "value", "listed")))
     return found.groupBy(key).agg(words.alias("words"))
 

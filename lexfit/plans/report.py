@@ -19,8 +19,9 @@ from lexfit.sources.tables import term_table
 
 
 def prepare_records(records: DataFrame, extra_keywords: dict | None = None) -> DataFrame:
-    """Title cleaning and filter, job id, mail addresses, the four sections. Narrow."""
+    """Replacements, title cleaning and filter, job id, mail addresses, the four sections. Narrow."""
     parts = F.col("parts")
+    records = cleaning.replace_columns(records).withColumn("parts", R.replace_parts(parts))
     return cleaning.title_blocklist(
         records.withColumn("title", R.title_clean(F.col("title")))
     ).select(
@@ -70,7 +71,7 @@ def section_features(texts: DataFrame, profiles: DataFrame, key: str = "url") ->
 
 def scores(features: DataFrame, profiles: DataFrame, key: str = "url") -> DataFrame:
     """``(key, section, cosine, jaccard, matched)`` from a feature table."""
-    scored = scoring.matched(scoring.jaccard(scoring.cosine(features, profiles)), profiles)
+    scored = scoring.matched(scoring.jaccard(scoring.cosine(features, profiles)))
     # Benefits have no list of matches.
     matched = F.when(F.col("section") != "benefits", F.col("matched"))
     return scored.select(key, "section", "cosine", "jaccard", matched.alias("matched"))

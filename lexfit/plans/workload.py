@@ -14,7 +14,7 @@ from lexfit.functions import text as T
 from lexfit.functions.stemming import cistem, snowball_german
 from lexfit.operators import cleaning, language, pages, ranking, scoring, sections, selection, terms
 from lexfit.plans import report
-from lexfit.session import deal_out, scratch_path, stage
+from lexfit.session import scratch_path, stage
 from lexfit.sources import store as S
 from lexfit.sources.tables import page_scan, table, term_table
 from lexfit.streaming.incremental import follow_pages
@@ -60,11 +60,11 @@ def _exploded(df: DataFrame, key: str, items: Column, name: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return deal_out(table(spark, d, "documents"), "doc_id")
+    return table(spark, d, "documents")
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
-    return deal_out(page_scan(spark, d), "page_id")
+    return page_scan(spark, d)
 
 
 def _terms(spark: SparkSession) -> DataFrame:
@@ -314,10 +314,14 @@ def drop_intro(spark: SparkSession, d: str) -> DataFrame:
     return _pages(spark, d).select("page_id", F.array_join(parts, "|").alias("parts"))
 
 
+def _joined_rest(wide: DataFrame) -> DataFrame:
+    return wide.withColumn("part_rest", F.array_join("part_rest", "\x1f"))
+
+
 @query
 def parts_to_columns(spark: SparkSession, d: str) -> DataFrame:
     parts = _pages(spark, d).select("page_id", H.page_parts(F.col("html"), ["p"]).alias("parts"))
-    return parts.select("page_id", *H.part_columns(F.col("parts")))
+    return _joined_rest(parts.select("page_id", *H.part_columns(F.col("parts"))))
 
 
 # --- row cleaning -------------------------------------------------------------------
@@ -345,7 +349,7 @@ def replace_multi(spark: SparkSession, d: str) -> DataFrame:
         H.between(html, TITLE_MARKERS).alias("title"),
         *H.part_columns(H.heading_split(html, ["p"])),
     )
-    return cleaning.replace_columns(wide)
+    return _joined_rest(cleaning.replace_columns(wide))
 
 
 @query
@@ -471,7 +475,7 @@ def _cosine(name: str) -> Query:
 def _matched(name: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         features, profiles = _features(spark, d, name)
-        scored = scoring.matched(scoring.cosine(stage(features, "features"), profiles), profiles)
+        scored = scoring.matched(scoring.cosine(stage(features, "features"), profiles))
         return scored.select("doc_id", "matched")
 
     return run
@@ -547,7 +551,7 @@ def render_text(spark: SparkSession, d: str) -> DataFrame:
 @query
 def render_prompt(spark: SparkSession, d: str) -> DataFrame:
     features, profiles = _features(spark, d, "tasks")
-    scored = scoring.matched(scoring.cosine(stage(features, "features"), profiles), profiles)
+    scored = scoring.matched(scoring.cosine(stage(features, "features"), profiles))
     docs = table(spark, d, "documents").select("doc_id", "source", "lang")
     prompt = selection.prompt_text(F.col("lang"), F.col("source"), F.col("matched"))
     return scored.join(docs, "doc_id").select("doc_id", prompt.alias("prompt"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from lexfit import fixed_values as fx
 from lexfit.plans import workload as w
-from lexfit.schemas import STORE
 
 WORD = r"\p{L}\p{N}_"
 SPACE = (
@@ -225,7 +224,7 @@ SQL["store_write"] = f"""SELECT {DOC_URL} AS url, string_split(text, chr(10))[1]
   text AS body, 0::BIGINT AS batch_no, doc_id AS pos FROM documents"""
 # Six columns of the store are filled: url, title, company, parts, batch_no, pos.
 SQL["store_init"] = f"""SELECT {DOC_URL} AS url, source AS company, len(string_split(text, chr(10)))::BIGINT AS n_parts,
-  doc_id AS pos, ({len(STORE)} - 6)::BIGINT AS n_missing FROM documents"""
+  doc_id AS pos, 49::BIGINT AS n_missing FROM documents"""
 SQL["store_append"] = """
 SELECT 'doc-' || doc_id AS url, text, lang, 0::BIGINT AS batch_no, NULL::VARCHAR AS role FROM documents
 UNION ALL
@@ -280,7 +279,8 @@ FROM (SELECT page_id, html, {parts("html", "h1")} AS t FROM pages)"""
 
 
 def wide_parts(items: str) -> str:
-    return ", ".join(f"coalesce({items}[{i}], '') AS part_{i}" for i in range(1, 12))
+    columns = ", ".join(f"coalesce({items}[{i}], '') AS part_{i}" for i in range(1, 12))
+    return f"{columns}, len({items})::BIGINT AS n_parts, array_to_string({items}[12:], chr(31)) AS part_rest"
 
 
 SQL["parts_to_columns"] = f"SELECT page_id, {wide_parts('t')} FROM (SELECT page_id, {parts('html', 'p')} AS t FROM pages)"
@@ -305,7 +305,7 @@ def replaced(column: str) -> str:
 
 
 SQL["replace_multi"] = f"""SELECT page_id, {replaced("company")}, {replaced("title")},
-  {", ".join(replaced(f"part_{i}") for i in range(1, 12))}
+  {", ".join(replaced(f"part_{i}") for i in range(1, 12))}, n_parts, part_rest
 FROM (SELECT page_id, {PAGE_COMPANY} AS company, {PAGE_TITLE} AS title, {wide_parts("t")}
   FROM (SELECT page_id, html, {raw_parts("html", "p")} AS t FROM pages))"""
 MARKER = f"{word_list(fx.GENDER_MARKERS + [''])}[p_size % {len(fx.GENDER_MARKERS) + 1} + 1]"
@@ -419,7 +419,7 @@ SQL["outbox"] = f"""{LETTERS} SELECT 'doc-' || doc_id AS url, email AS recipient
   'cv.pdf' AS cv_path, 'references.pdf' AS references_path
 FROM after WHERE email IS NOT NULL AND letter_done = 'Ja'"""
 SQL["safe_file_name"] = f"SELECT p_partkey, {file_name('p_brand', MARKED, prefix=fx.LETTER_PREFIX)} AS file_name FROM part"
-SQL["address_lines"] = f"""SELECT page_id, coalesce(array_to_string(list_transform(items, lambda a: a || chr(10)), ''),
+SQL["address_lines"] = f"""SELECT page_id, coalesce(array_to_string(list_transform(CASE WHEN len(items) > 0 THEN items END, lambda a: a || chr(10)), ''),
   chr(10) || chr(10)) AS lines
 FROM (SELECT page_id, {address_items(group1("html", w.OWN_ADDRESS_PATTERN))} AS items FROM pages)"""
 SQL["render_text"] = f"""SELECT p_partkey, {q("Hamburg, den 02.01.2025")} AS place_date,

@@ -57,18 +57,3 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-SPLIT_BYTES = 128 * 1024 * 1024
-
-
-def deal_out(df: DataFrame, key: str) -> DataFrame:
-    """Spread an input that has less than one read split per core over all cores.
-
-    Text work is bound by CPU, and a small file is read by one task. The size comes from
-    the plan's statistics; an input large enough to occupy the cores is left as it is,
-    so nothing is shuffled at scale.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return df.repartition(cores, key) if int(str(size)) < cores * SPLIT_BYTES else df

@@ -12,50 +12,39 @@ def one(spark, html, expression, name="html"):
     return df.repartition(1).select(expression.alias("y")).first().y
 
 
-def plain_parts(html):
-    if "<h4" in html:
-        parts = re.split(r"(<h4.*?>.*?</h4>)", html)
-    elif "<h2" in html:
-        parts = re.split(r"(<h2.*?>.*?</h2>)", html)
-    else:
-        parts = [html]
-    parts = [" ".join(re.sub("<[^<]+?>", " ", p).split()) for p in parts]
-    return [p for p in parts if p]
-
-
-LAYOUTS = [
-    "intro<h4 class=x>A</h4><p>text <b>bold</b></p><h4>B</h4>  <h4>C</h4>end",
-    "<h2>A</h2>one two<h2>B</h2>",
-    "<p>no heading</p> at all",
-    "<h4>broken\nline</h4>x<h4>ok</h4>y",
-    "a < b <h4>x</h4> c > d",
-    "<h2>two</h2><h4>four</h4>rest",
-    "",
-]
+#: Pages and the parts that a reader sees in them.
+LAYOUTS = {
+    "intro<h4 class=x>A</h4><p>text <b>bold</b></p><h4>B</h4>  <h4>C</h4>end": ["intro", "A", "text bold", "B", "C", "end"],
+    "<h2>A</h2>one two<h2>B</h2>": ["A", "one two", "B"],
+    "<p>no heading</p> at all": ["no heading at all"],
+    "<h4>broken\nline</h4>x<h4>ok</h4>y": ["broken line x", "ok", "y"],
+    "a < b <h4>x</h4> c > d": ["a < b", "x", "c > d"],
+    "<h2>two</h2><h4>four</h4>rest": ["two", "four", "rest"],
+    "": [],
+}
 
 
 def test_parts(spark):
-    for html in LAYOUTS:
-        assert one(spark, html, H.page_parts(F.col("html"))) == plain_parts(html), html
+    for html, want in LAYOUTS.items():
+        assert one(spark, html, H.page_parts(F.col("html"))) == want, html
 
 
 def test_heading_split_keeps_headings(spark):
-    html = LAYOUTS[0]
-    assert one(spark, html, H.heading_split(F.col("html"))) == re.split(r"(<h4.*?>.*?</h4>)", html)
+    got = one(spark, "a<h4 class=x>A</h4>b<h4>B</h4>", H.heading_split(F.col("html")))
+    assert got == ["a", "<h4 class=x>A</h4>", "b", "<h4>B</h4>", ""]
 
 
 def test_drop_intro(spark):
     many = "intro" + "<h4>x</h4>y" * 5
     few = "intro" + "<h4>x</h4>y" * 4
-    for html in (many, few):
-        got = one(spark, html, H.drop_intro(H.page_parts(F.col("html")), F.col("html")))
-        want = plain_parts(html)
-        assert got == (want[1:] if html.count("h4") > 8 else want)
+    for html, want in ((many, ["x", "y"] * 5), (few, ["intro"] + ["x", "y"] * 4)):
+        assert one(spark, html, H.drop_intro(H.page_parts(F.col("html")), F.col("html"))) == want
 
 
 def test_part_columns(spark):
     df = spark.createDataFrame([(["a", "b"],)], "parts array<string>")
-    assert tuple(df.select(*H.part_columns(F.col("parts"), 4)).first()) == ("a", "b", "", "")
+    assert tuple(df.select(*H.part_columns(F.col("parts"), 4)).first()) == ("a", "b", "", "", 2, [])
+    assert tuple(df.select(*H.part_columns(F.col("parts"), 1)).first()) == ("a", 2, ["b"])
 
 
 def test_links(spark):
@@ -70,24 +59,15 @@ def test_between_is_split_element_one(spark):
         assert one(spark, html, H.between(F.col("html"), ("<t>", "</t>"))) == want
 
 
-def plain_facts(html):
-    words = re.sub("<[^<]+?>", "", html).split(" ")
-    words = [w for w in words if not w.startswith("Fakten") and not w.startswith("http")]
-    for size in ("DEUnternehmensgröße:", "Unternehmensgröße:"):
-        if size in words:
-            words = words[: words.index(size)]
-            break
-    return [s.strip() for s in " ".join(words).split(",") if s.strip()]
-
-
 def test_address_from_facts(spark):
-    for html in (
-        "<b>Fakten</b> Musterweg 1, 20095 Hamburg, Unternehmensgröße: 50 , x",
-        "Weg 2, Unternehmensgröße: a DEUnternehmensgröße: b",
-        "FaktenX https://a.de Weg 3,, Ort , ",
-        "",
-    ):
-        assert one(spark, html, H.address_from_facts(F.col("html"))) == plain_facts(html), html
+    facts = {
+        "<b>Fakten</b> Musterweg 1, 20095 Hamburg, Unternehmensgröße: 50 , x": ["Musterweg 1", "20095 Hamburg"],
+        "Weg 2, Unternehmensgröße: a DEUnternehmensgröße: b": ["Weg 2", "Unternehmensgröße: a"],
+        "FaktenX https://a.de Weg 3,, Ort , ": ["Weg 3", "Ort"],
+        "": [],
+    }
+    for html, want in facts.items():
+        assert one(spark, html, H.address_from_facts(F.col("html"))) == want, html
 
 
 def test_address_items_and_lines(spark):
@@ -96,6 +76,14 @@ def test_address_items_and_lines(spark):
     lines = R.address_lines(F.split("html", ","))
     assert one(spark, "Weg 1, Ort", lines) == "Weg 1\nOrt\n"
     assert one(spark, None, lines) == "\n\n"
+    assert one(spark, "Deutschland", R.address_lines(H.address_items(F.col("html")))) == "\n\n"
+
+
+def test_replacements_by_place_keep_all_parts(spark):
+    parts = ["a&nbsp;amp;b\n"] * 12
+    df = spark.createDataFrame([(parts,)], "parts array<string>")
+    got = df.select(R.replace_parts(F.col("parts"))).first()[0]
+    assert len(got) == 12 and got[2] == "a b " and got[1] == parts[1] and got[8] == "a b\n" and got[11] == parts[11]
 
 
 def test_address_resolve(spark):

@@ -54,7 +54,8 @@ def test_spread_left_join(spark, use_hot):
     left = spark.createDataFrame(list(enumerate(keys)), "id bigint, k string")
     right = spark.createDataFrame([("hot", 1), ("k1", 2), ("k2", None), ("other", 4)], "k string, v int")
     hot = right.join(frequent(left, ["k"], 10), "k", "left_semi") if use_hot else None
-    out = spread_left_join(left, right, ["k"], F.col("id"), F.col("id") < 750, hot).collect()
+    joined = spread_left_join(left, right, ["k"], F.col("id") < 750, hot)
+    out = joined.collect()
     table = {"hot": 1, "k1": 2}
     assert len(out) == len(keys)
     for r in out:
@@ -62,6 +63,23 @@ def test_spread_left_join(spark, use_hot):
         assert r.v == table.get(keys[r.id])
 
 
+def test_hot_and_missing_keys_stay_in_place(spark):
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        key = F.when(F.col("id") % 10 < 5, "hot").when(F.col("id") % 10 < 9, None).otherwise(F.concat(F.lit("k"), "id"))
+        left = spark.range(0, 20000, 1, 8).select("id", key.alias("k"))
+        right = left.where("k is not null").select("k").distinct().withColumn("v", F.lit(1)).repartition(3)
+        hot = right.join(F.broadcast(frequent(left.where("k is not null"), ["k"], 10)), "k", "left_semi")
+        sizes = spread_left_join(left, right, ["k"], hot=hot).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    assert sum(r["count"] for r in sizes) == 20000
+    assert max(r["count"] for r in sizes) <= 3 * 20000 / len(sizes)
+
+
 def test_frequent_and_small(spark):
     df = spark.createDataFrame([("a",)] * 90 + [("b",)] * 9 + [("c",)], "k string")
     assert [r.k for r in frequent(df, ["k"], 10).collect()] == ["a"]

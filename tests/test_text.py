@@ -28,9 +28,9 @@ def column(spark, rows, expression, kind="string"):
 
 
 def test_clean_text_and_tokens(spark):
-    assert column(spark, TEXTS[:6], T.clean_text(F.col("x"))) == [plain.clean(t) for t in TEXTS[:6]]
+    assert column(spark, TEXTS, T.clean_text(F.col("x"))) == [plain.clean(t) for t in TEXTS]
     got = column(spark, TEXTS, T.tokenize(T.clean_text(F.col("x"))))
-    assert got[:6] == [plain.clean(t).split() for t in TEXTS[:6]]
+    assert got == [plain.clean(t).split() for t in TEXTS]
     assert column(spark, [None], T.clean_text(F.col("x"))) == [None]
 
 
