@@ -30,7 +30,7 @@ ROWS_PER_TASK = 100_000
 FAN_IN = 8
 #: A bin with no more room than this is done.
 NEARLY_FULL = 8
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 TAIL = b".,;:!?*&%$#|"
 
 
@@ -62,26 +62,25 @@ class Encoder:
         return ids
 
     def learn(self, words: set[bytes]) -> None:
-        split = {}
+        split, parts = [], self.parts
         for word in words:
             core = word.rstrip(TAIL)
-            plain = core.decode()
-            if plain.isalpha() and max(plain) < "ƀ":
-                split[word] = (plain.lower().encode(), word[len(core) :])
-        new = list({core for core, _ in split.values() if core not in self.parts})
+            if core.isalpha():  # of bytes: ASCII letters alone
+                split.append((word, core.lower(), word[len(core) :]))
+            elif (plain := core.decode()).isalpha() and max(plain) < "ƀ":
+                split.append((word, plain.lower().encode(), word[len(core) :]))
+            else:
+                self.cache[word] = self.whole(word)
+        new = list({core for _, core, _ in split if core not in parts})
         if new:
-            ids = np.array(self.tokenizer.encode(b"\n".join(new).decode(), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([b"\n".join(new).decode()], add_special_tokens=False)[0].ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(new):
-                raw = ids.tobytes()
-                at = [0, *(4 * stops).tolist()]
-                self.parts.update((w, raw[a:b]) for w, a, b in zip(new, at, at[1:], strict=False))
-        for word in words:
-            if word in split:
-                core, tail = split[word]
-                self.cache[word] = self.part(core) + (self.part(tail) if tail else b"")
-            else:
-                self.cache[word] = self.whole(word)
+                raw, at = ids.tobytes(), (4 * stops).tolist()
+                parts.update(zip(new, [raw[a:b] for a, b in zip([0, *at], at, strict=False)], strict=True))
+        for word, core, tail in split:
+            ids = parts.get(core) or self.part(core)
+            self.cache[word] = ids + (parts.get(tail) or self.part(tail)) if tail else ids
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         split = [(text or "").encode("utf-8", "replace").split() for text in texts]
@@ -94,6 +93,16 @@ class Encoder:
             yield b"".join(map(self.cache.__getitem__, part))
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The encoder of this worker process, which serves all its tasks."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32, and ids (binary) if asked for.
 
@@ -102,7 +111,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         for batch, texts in grouped(batches):
             rows, cols = [], ([], [], [], [], [])
             for row, ids in enumerate(encoder.encode(texts)):
