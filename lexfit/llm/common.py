@@ -31,6 +31,8 @@ def ship(spark: SparkSession) -> None:
         root = Path(__file__).resolve().parents[2]
         sc.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='lexfit-')}/lexfit", "zip", root, "lexfit"))
         _shipped.add(sc.applicationId)
+    # stage tables are read again, not shuffles: their files may go as soon as a table is written
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
