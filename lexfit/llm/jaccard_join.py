@@ -9,8 +9,9 @@ candidates through, and the pick is the cheapest by the estimated lengths of the
 it touches. A pair is verified if it shares as many prefix shingles as the smaller ``l``.
 
 Documents with equal sets are one class, so copies are never paired. Classes are linked
-in two steps: first each with the lowest and highest class of its lists, which ties
-groups of near copies together without pairing their members; then every pair of classes
+in two steps: first each with the class of its lists that has the most entries in lists,
+and with the lowest, which ties groups of near copies together without pairing their
+members (the least edited copy shares most with the others); then every pair of classes
 of different components that a list holds. A list inside one component is left out, so
 no group is expanded into all its pairs, and no link between components is lost.
 """
@@ -35,9 +36,9 @@ PERCENT = 80
 SKETCH_BITS = 22
 ID_BITS = 22
 #: What may be picked for ``l``.
-MATCHES = np.array([1, 2, 3, 4, 6, 8])
-#: Cost of an index entry and of a verification, in probes of a list.
-ENTRY_COST, VERIFY_COST = 0.2, 20.0
+MATCHES = np.array([1, 2, 3, 4])
+#: Cost of an index entry and of a verification, in probes of a list; length of a list too short for the sketch to tell.
+ENTRY_COST, VERIFY_COST, SHORT_LIST = 0.2, 20.0, 0.5
 
 U = np.uint64
 IS_SPACE = np.zeros(256, bool)
@@ -98,7 +99,7 @@ def prefix(found: np.ndarray, counts: np.ndarray, background: float) -> tuple[in
     need = -(-PERCENT * n // 100)
     often = counts[sketch.slots(found, int(np.log2(len(counts))))]
     order = np.lexsort((found, often))
-    lists = np.cumsum(np.maximum(often[order] - background, 0))
+    lists = np.cumsum(np.maximum(often[order] - background, SHORT_LIST))
     allowed = MATCHES[MATCHES <= need]
     sizes = n - need + allowed
     probes = lists[sizes - 1]
@@ -152,8 +153,11 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.mapInArrow(pick, f"node {kind}, f long, shingles array<long>")
 
 
-def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are similar."""
+def links(pairs: DataFrame, docs: DataFrame, facts: DataFrame) -> DataFrame:
+    """Those of the staged pairs (a, b) whose sets are similar; only their documents are read again."""
+    nodes = stage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "join-nodes")
+    sets = sets_of(docs, nodes).join(facts.join(nodes, "node", "left_semi").select("node", "f"), ["node", "f"], "left_semi")
+    sets = stage(sets, "join-sets")
     first = sets.select(F.col("node").alias("a"), F.col("shingles").alias("s"))
     second = sets.select(F.col("node").alias("b"), F.col("shingles").alias("t"))
     both = F.size(F.array_intersect("s", "t"))
@@ -190,18 +194,18 @@ def join(docs: DataFrame) -> DataFrame:
     held = stage(entries.groupBy("shingle").count().where("count > 1").select("shingle"), "join-shared")
     lists = stage(entries.join(held, "shingle"), "join-lists")
     facts = stage(usable.select("row", "n", "l").join(classes.select("row", "node", "f"), "row").select("node", "f", "n", "l"), "join-facts")
-    some = stage(lists.select("node").distinct(), "join-nodes")
-    sets = sets_of(docs, some).join(facts.join(some, "node", "left_semi").select("node", "f"), ["node", "f"], "left_semi")
-    sets = stage(sets, "join-sets")
-
     size_of = facts.select("node", "n")
-    ends = lists.groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-    near = lists.join(ends, "shingle").select("node", F.explode(F.array("low", "high")).alias("hub")).where("node <> hub")
+    degrees = stage(lists.groupBy("node").agg(F.count("*").alias("degree")), "join-degrees")
+    held_by = lists.join(degrees, "node")
+    ends = held_by.groupBy("shingle").agg(F.max(F.struct("degree", "node"))["node"].alias("most"), F.min("node").alias("low"))
+    near = lists.join(ends, "shingle").select("node", F.explode(F.array("most", "low")).alias("hub")).where("node <> hub")
     near = near.groupBy("node", "hub").count()
     best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("count"), "hub"))
-    near = near.withColumn("place", best).where("place <= 2").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    near = near.join(size_of.toDF("a", "n"), "a").join(size_of.toDF("b", "m"), "b").where(similar_size("n", "m")).select("a", "b")
-    first = stage(links(near, sets), "join-links")
+    near = near.withColumn("place", best).where("place <= 2").select(F.col("node").alias("a"), F.col("hub").alias("b"), "count")
+    near = near.join(size_of.toDF("a", "n"), "a").join(size_of.toDF("b", "m"), "b").where(similar_size("n", "m"))
+    # pairs that share almost nothing of their prefixes are left to the second step
+    near = stage(near.where("100 * count >= n").select("a", "b"), "join-near")
+    first = stage(links(near, docs, facts), "join-links")
     tied = components(first)
 
     lists = lists.join(tied, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -215,7 +219,7 @@ def join(docs: DataFrame) -> DataFrame:
     right = members.select("shingle", F.col("component").alias("d"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("l").alias("k"))
     candidates = cross.join(left, ["shingle", "c"]).join(right, ["shingle", "d"]).where(similar_size("n", "m"))
     candidates = candidates.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min(F.least("l", "k")).alias("least")).where("shared >= least").select("a", "b")
-    more = stage(links(stage(candidates, "join-candidates"), sets), "join-more")
+    more = stage(links(stage(candidates, "join-candidates"), docs, facts), "join-more")
     tied = components(first.unionByName(more)) if not more.isEmpty() else tied
 
     named = classes.join(tied, "node", "left").select("f", "g", "n", F.coalesce("component", "node").alias("component_id"))
