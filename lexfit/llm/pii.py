@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexfit.llm.common import grouped
+from lexfit.llm.common import first_by_hash, grouped
+from lexfit.session import stage
 
 KINDS = ("email", "ip", "card", "phone")
 TRAIN_ROWS = 20_000
@@ -237,7 +238,7 @@ def train(docs: DataFrame, most: int = TRAIN_ROWS) -> Boosted | None:
                 yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in got], pa.list_(pa.float64())), pa.array([c[1] for c in got])], ["x", "y"])
 
     rows = docs.select("text").where(F.col("text").rlike("[0-9]{3}|@")).mapInArrow(traced, "x array<double>, y double")
-    got = rows.orderBy(F.xxhash64("x", "y"), "y").limit(most).collect()
+    got = first_by_hash(stage(rows, "pii-candidates"), most, ["x", "y"]).collect()
     return fit(np.array([r.x for r in got]), np.array([r.y for r in got])) if got else None
 
 
