@@ -20,9 +20,11 @@ from pyspark.sql import functions as F
 from lexfit.session import stage
 
 
-def segment_bits(rows: int) -> int:
-    """About the logarithm of the number of rows, so that a list holds a few codes."""
-    return 8 if rows < 1 << 12 else 16 if rows < 1 << 24 else 32
+def segment_bits(rows: int, width: int) -> int:
+    """About the logarithm of the number of rows, so that a list holds a few codes, and the
+    same for all segments of a code: one short segment would have long lists."""
+    bits = min(32, max(4, rows.bit_length() - 1))
+    return -(-width // -(-width // bits))
 
 
 def binary_code(vector: Column, width: int, bits: int) -> Column:
@@ -54,9 +56,10 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     * fewer than k rows: all of them; no rows: no rows
     """
     width, count = rows.agg(F.max(F.size("vector")), F.count("*")).first()
-    bits = segment_bits(count)
-    usable = F.col("id").isNotNull() & F.col("vector").isNotNull() & (F.size("vector") == (width or 0))
-    code = binary_code(F.col("vector"), max(width or 0, 1), bits)
+    width = max(width or 0, 1)
+    bits = segment_bits(count, width)
+    usable = F.col("id").isNotNull() & F.col("vector").isNotNull() & (F.size("vector") == width)
+    code = binary_code(F.col("vector"), width, bits)
     codes = rows.where(usable).select("id", code.alias("code"))
     asked = stage(queries.where(usable).select(F.col("id").alias("query_id"), code.alias("query")), "mih-queries")
     first = F.row_number().over(Window.partitionBy("code").orderBy("id"))
@@ -64,15 +67,19 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     entries = stage(ids.groupBy("code").agg(F.max("place").alias("held")), "mih-entries")
     total = entries.agg(F.coalesce(F.sum("held"), F.lit(0))).first()[0]
     index = stage(entries.select("code", "held", F.posexplode("code").alias("segment", "value")), "mih-index")
-    segments = max(1, -(-(width or 0) // bits))
+    segments = -(-width // bits)
 
-    open_queries = stage(asked.select("query").distinct(), "mih-open")
+    # a query carries the distance of its k-th code so far; what lies beyond needs no further look
+    open_queries = stage(asked.select("query", F.lit(segments * bits).alias("bound")).distinct(), "mih-open")
     best, done, radius = None, [], 0
     while radius <= bits and not open_queries.isEmpty():
-        probes = open_queries.select("query", F.posexplode("query").alias("segment", "at"))
-        probes = probes.select("query", "segment", "at", F.explode(masks(bits, radius)).alias("mask"))
-        probes = probes.select("query", "segment", F.col("at").bitwiseXOR(F.col("mask")).alias("value"))
-        met = probes.join(index, ["segment", "value"]).select("query", "code", "held", distance(F.col("query"), F.col("code")).alias("distance"))
+        probes = open_queries.select("query", "bound", F.posexplode("query").alias("segment", "at"))
+        probes = probes.select("query", "bound", "segment", "at", F.explode(masks(bits, radius)).alias("mask"))
+        probes = probes.select("query", "bound", "segment", F.col("at").bitwiseXOR(F.col("mask")).alias("value"))
+        # the planner takes the probes to be as few as the queries, and would broadcast them
+        met = probes.hint("merge").join(index, ["segment", "value"])
+        met = met.select("query", "bound", "code", "held", distance(F.col("query"), F.col("code")).alias("distance"))
+        met = met.where("distance <= bound").drop("bound")
         if best is not None:
             met = met.unionByName(best)
         met = met.distinct()
@@ -85,10 +92,12 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         upto = Window.partitionBy("query").orderBy("distance").rangeBetween(Window.unboundedPreceding, 0)
         kth = best.withColumn("upto", F.sum("held").over(upto)).where(F.col("upto") >= min(k, total)).groupBy("query").agg(F.min("distance").alias("kth"))
         covered = segments * (radius + 1) - 1
+        kth = stage(kth, "mih-kth")
         finished = stage(kth.where((F.col("kth") <= covered) | F.lit(total <= k)).select("query"), "mih-finished")
         done.append(best.join(finished, "query", "left_semi"))
-        open_queries = stage(open_queries.join(finished, "query", "left_anti"), "mih-open")
-        best = best.join(open_queries, "query", "left_semi")
+        left = open_queries.join(finished, "query", "left_anti").withColumnRenamed("bound", "was").join(kth, "query", "left")
+        open_queries = stage(left.select("query", F.coalesce("kth", "was").alias("bound")), "mih-open")
+        best = best.join(open_queries.select("query"), "query", "left_semi")
         radius += 1
     if not done:
         return asked.select("query_id", F.lit(None).cast(rows.schema["id"].dataType).alias("neighbour_id"), F.lit(0).alias("distance"), F.lit(0).alias("rank")).limit(0)
