@@ -31,7 +31,9 @@ from lexfit.session import stage
 
 LENGTH = 400
 GRAM = 100
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 19
+#: Blocks that stand for all strings of an anchor start at multiples of this before it.
+BLOCK_STEP = 50
 GROUP_MAX = 10_000
 ID_BITS = 22
 PLACE_BITS = 30
@@ -77,7 +79,7 @@ def content_key() -> list[Column]:
 
 
 def all_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """f, g, start and size of the segment, the anchor's hash and the segment's hash, for every anchor."""
+    """f, g, start and size of the segment, the anchor's place in it, its hash and the segment's hash, for every anchor."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in grouped(batches):
@@ -91,12 +93,32 @@ def all_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 at = anchors(raw, hashes, length, gram)
                 low, high = bounds(at, len(raw), length, gram)
                 seg = mix(hashes.of(low, high - low) + (high - low).astype(np.uint64))
-                parts.append((np.full(len(at), f[row]), np.full(len(at), g[row]), low, high - low, mix(hashes.of(at, gram)).view(np.int64), seg.view(np.int64)))
+                parts.append((np.full(len(at), f[row]), np.full(len(at), g[row]), low, high - low, at - low, mix(hashes.of(at, gram)).view(np.int64), seg.view(np.int64)))
             if parts:
                 cols = [pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)]
-                yield pa.RecordBatch.from_arrays(cols, ["f", "g", "start", "size", "anchor", "segment"])
+                yield pa.RecordBatch.from_arrays(cols, ["f", "g", "start", "size", "lead", "anchor", "segment"])
 
-    return docs.mapInArrow(cut, "f long, g long, start long, size long, anchor long, segment long")
+    return docs.mapInArrow(cut, "f long, g long, start long, size long, lead long, anchor long, segment long")
+
+
+def may_repeat(groups: np.ndarray, segments: list[bytes], leads: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """False for segments of which no string can occur in another segment of the same group.
+
+    A string that starts between two multiples of the step before the anchor holds the
+    block of ``length - step`` bytes from the nearer one; so one of a few blocks must be
+    in another segment, at the same distance from the anchor.
+    """
+    sizes = np.array([len(x) for x in segments])
+    starts = np.concatenate([[0], np.cumsum(sizes[:-1])]).astype(np.int64)
+    hashes = hashes_of(np.frombuffer(b"".join(segments), np.uint8))
+    step = min(BLOCK_STEP, max(1, length - gram))
+    keep = np.zeros(len(segments), bool)
+    for before in range(0, length - gram + 1, step):
+        inside = np.flatnonzero((leads >= before) & (leads - before + length - step <= sizes))
+        block = mix(hashes.of(starts[inside] + leads[inside] - before, length - step)) ^ groups[inside].view(np.uint64)
+        _, which, times = np.unique(block, return_inverse=True, return_counts=True)
+        keep[inside[times[which] > 1]] = True
+    return keep
 
 
 def repeated_starts(segments: list[bytes], places: np.ndarray, sure: np.ndarray, length: int) -> list[np.ndarray]:
@@ -155,21 +177,21 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_max: in
     whole = again.where(F.col("size") >= length).join(equal, ["anchor", "segment"], "left_semi")
     whole = whole.select("f", "g", "start", (F.col("start") + F.col("size")).alias("end")).distinct()
 
-    one = F.min(F.struct("f", "g", "start", "size")).alias("at")
+    one = F.min(F.struct("f", "g", "start", "size", "lead")).alias("at")
     needed = again.where("differ").groupBy("anchor", "segment").agg(one, (F.count("*") > 1).alias("sure"))
     needed = stage(needed.select("anchor", "segment", "sure", "at.*"), "dedup-needed")
     large = stage(needed.groupBy("anchor").count().where(F.col("count") > group_max).select("anchor", F.lit(True).alias("large")), "dedup-large")
     needed = needed.join(large, "anchor", "left").withColumn("large", F.coalesce("large", F.lit(False)))
     texts = keyed.where(sketch.membership(needed.select("f").distinct(), ID_BITS)(F.col("f"))).groupBy("f", "g").agg(F.any_value("text").alias("text"))
-    cut = needed.join(texts, ["f", "g"]).select("anchor", "sure", "large", "f", "g", "start", "size", "text")
+    cut = needed.join(texts, ["f", "g"]).select("anchor", "sure", "large", "f", "g", "start", "lead", "size", "text")
 
     def slice_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, parts in grouped(batches):
             start, size = batch.column("start").to_pylist(), batch.column("size").to_pylist()
             part = pa.array([(t or "").encode("utf-8", "replace")[a : a + n] for t, a, n in zip(parts, start, size, strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:6], part], ["anchor", "sure", "large", "f", "g", "start", "bytes"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:7], part], ["anchor", "sure", "large", "f", "g", "start", "lead", "bytes"])
 
-    cut = stage(cut.mapInArrow(slice_text, "anchor long, sure boolean, large boolean, f long, g long, start long, bytes binary"), "dedup-segments")
+    cut = stage(cut.mapInArrow(slice_text, "anchor long, sure boolean, large boolean, f long, g long, start long, lead long, bytes binary"), "dedup-segments")
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -180,21 +202,25 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_max: in
                     yield from sorted_shard(held)
                     held, weight = [], 0
                 held.append(row)
-                weight += len(row[5])
+                weight += len(row[6])
                 last = row[0]
         if held:
             yield from sorted_shard(held)
 
     def sorted_shard(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        may = may_repeat(np.array([r[0] for r in held]), [r[6] for r in held], np.array([r[5] for r in held]), length, gram)
+        held = [r for r, m in zip(held, may, strict=True) if m]
+        if not held:
+            return
         documents = {key: k for k, key in enumerate(dict.fromkeys((r[2], r[3]) for r in held))}
         places = np.array([(documents[r[2], r[3]] << 40) + r[4] for r in held])
-        marks = repeated_starts([r[5] for r in held], places, np.array([r[1] for r in held]), length)
+        marks = repeated_starts([r[6] for r in held], places, np.array([r[1] for r in held]), length)
         out = [(r[2], r[3], r[4] + a, r[4] + b - 1 + length) for r, m in zip(held, marks, strict=True) if not r[1] for a, b in runs(m)]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["f", "g", "start", "end"])
 
     span = "f long, g long, start long, end long"
-    small = cut.where("not large").select("anchor", "sure", "f", "g", "start", "bytes")
+    small = cut.where("not large").select("anchor", "sure", "f", "g", "start", "lead", "bytes")
     sorted_spans = small.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(shard, span)
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
