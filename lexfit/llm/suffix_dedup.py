@@ -34,7 +34,7 @@ GRAM = 100
 SHARD_BYTES = 1 << 19
 #: Blocks that stand for all strings of an anchor start at multiples of this before it.
 BLOCK_STEP = 50
-GROUP_MAX = 10_000
+GROUP_MAX = 1_000
 ID_BITS = 22
 PLACE_BITS = 30
 
