@@ -67,19 +67,6 @@ def grouped(batches: Iterator[pa.RecordBatch], size: int = 1 << 21) -> Iterator[
             at = end
 
 
-def first_by_hash(staged: DataFrame, most: int, keys: list[str]) -> DataFrame:
-    """At most ``most`` rows of a staged table, chosen by a hash of ``keys``.
-
-    The hash first thins the table to about twice as many, so that what meets in the
-    last sort doesn't grow with the table.
-    """
-    place = F.pmod(F.xxhash64(*keys), F.lit(1 << 40))
-    rows = staged.count()
-    if rows > 2 * most:
-        staged = staged.where(place < (2 * most << 40) // rows)
-    return staged.orderBy(place, *keys).limit(most)
-
-
 def measured_bytes(df: DataFrame) -> int:
     """Bytes of a staged table's cells: 16 a cell, and the length of strings and binaries."""
     parts = [F.lit(16 * len(df.columns))]

@@ -8,12 +8,15 @@ candidate is added only if it overlaps none of them and no better candidate.
 
 No table marks personal data, so the trees learn from what the texts themselves settle:
 base spans and respelt copies of them against candidates that fail the base checks and
-copies with a digit or sign broken, at most TRAIN_ROWS candidates, the first by a hash.
+copies with a digit or sign broken. All candidates of the corpus count: equal ones are
+one row with a weight, so that neither hot forms nor the corpus's size limit the fit.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -22,11 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexfit.llm.common import first_by_hash, grouped
+from lexfit.llm.common import grouped
 from lexfit.session import stage
 
 KINDS = ("email", "ip", "card", "phone")
-TRAIN_ROWS = 20_000
 PRECISION = 0.98
 #: No candidate below this probability is added, whatever the calibration says.
 LEAST = 0.8
@@ -160,14 +162,19 @@ class Boosted:
     shift: float = 0.0
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        cells = np.stack([np.searchsorted(e, x[:, f], "right") for f, e in enumerate(self.edges)], 1)
-        total = np.full(len(x), self.start)
+        return self.raw_of(cells_of(x, self.edges))
+
+    def raw_of(self, cells: np.ndarray) -> np.ndarray:
+        total = np.full(len(cells), self.start)
         for feature, cut, leaf in self.trees:
             total += leaf[route(cells, feature, cut) - len(feature)]
         return total
 
+    def calibrated(self, raw: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * raw + self.shift, -30, 30)))
+
     def probability(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.raw(x) + self.shift, -30, 30)))
+        return self.calibrated(self.raw(x))
 
 
 DEPTH = 3
@@ -181,65 +188,121 @@ def route(cells: np.ndarray, feature: np.ndarray, cut: np.ndarray) -> np.ndarray
     return node
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 80, rate: float = 0.15, bins: int = 16, ridge: float = 2.0) -> Boosted:
-    """Boost on four fifths of the rows; calibrate by a logistic fit and per-kind thresholds on the rest."""
-    test = np.arange(len(y)) % 5 == 0
-    edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(x.shape[1])]
-    p0 = (y.sum() + 1) / (len(y) + 2)
+def quantiles(values: np.ndarray, counts: np.ndarray, bins: int) -> np.ndarray:
+    """``np.quantile`` of the values repeated by their counts; every value but the first if they are few."""
+    order = np.argsort(values)
+    values, ends = values[order], counts[order].cumsum()
+    if len(values) <= bins:
+        return values[1:]
+    place = np.linspace(0, 1, bins + 1)[1:-1] * (ends[-1] - 1)
+    low, high = (values[np.searchsorted(ends, at, "right")] for at in (np.floor(place), np.ceil(place)))
+    return np.unique(low + (high - low) * (place - np.floor(place)))
+
+
+def bin_edges(shares: list[tuple[int, int, float, int]], bins: int = 16) -> list[np.ndarray]:
+    """Edges of each feature from its (kind, feature, value, count) rows.
+
+    Each kind has quantiles of its own, so that a kind with few candidates is told apart as finely as any.
+    """
+    kinds, fields, values, counts = (np.array(c) for c in zip(*shares, strict=True))
+    edges = []
+    for f in range(fields.max() + 1):
+        mine = fields == f
+        known, at = np.unique(values[mine], return_inverse=True)
+        whole = quantiles(known, np.bincount(at, counts[mine]), bins)
+        parts = [quantiles(values[mine & (kinds == k)], counts[mine & (kinds == k)], bins) for k in range(len(KINDS))]
+        edges.append(whole if len(known) <= bins else np.unique(np.concatenate([whole, *parts])))
+    return edges
+
+
+def cells_of(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
+    return np.stack([np.searchsorted(e, x[:, f], "right") for f, e in enumerate(edges)], 1)
+
+
+def fit(edges: list[np.ndarray], cells: np.ndarray, y: np.ndarray, n: np.ndarray, rounds: int = 80, rate: float = 0.15, ridge: float = 2.0) -> Boosted:
+    """Boost on four fifths of the candidates; calibrate by a logistic fit and per-kind thresholds on the rest.
+
+    A row stands for ``n`` candidates of equal cells and label, of which a fifth, rounded
+    up or down by a hash of the row, are for calibration.
+    """
+    up = np.array([zlib.crc32(c.astype(np.uint8).tobytes() + bytes([int(v)])) % 5 for c, v in zip(cells, y, strict=True)])
+    held = (n + up) // 5
+    p0 = (n @ y + 1) / (n.sum() + 2)
     model = Boosted(edges, float(np.log(p0 / (1 - p0))))
-    cells = np.stack([np.searchsorted(e, x[~test, f], "right") for f, e in enumerate(edges)], 1)
-    target, total, width = y[~test], np.full((~test).sum(), model.start), bins + 1
+    all_cells, all_y = cells, y
+    cells, target, weight = cells[n > held], y[n > held], (n - held)[n > held].astype(np.float64)
+    total, width = np.full(len(target), model.start), max(map(len, edges)) + 1
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-total))
-        g, h = target - p, p * (1 - p)
+        g, h = weight * (target - p), weight * p * (1 - p)
         feature, cut = np.zeros(2**DEPTH, np.int64), np.full(2**DEPTH, width)
         node = np.ones(len(target), np.int64)
         for _ in range(DEPTH):
-            for n in np.unique(node):
-                here = node == n
+            for at in np.unique(node):
+                here = node == at
+                part, g_here, h_here = cells[here], g[here], h[here]
                 best = 1e-6
                 for f in range(cells.shape[1]):
-                    gs, hs = np.bincount(cells[here, f], g[here], width).cumsum(), np.bincount(cells[here, f], h[here], width).cumsum()
+                    gs, hs = np.bincount(part[:, f], g_here, width).cumsum(), np.bincount(part[:, f], h_here, width).cumsum()
                     gain = gs**2 / (hs + ridge) + (gs[-1] - gs) ** 2 / (hs[-1] - hs + ridge) - gs[-1] ** 2 / (hs[-1] + ridge)
                     if gain.max() > best:
-                        best, feature[n], cut[n] = float(gain.max()), f, int(gain.argmax())
+                        best, feature[at], cut[at] = float(gain.max()), f, int(gain.argmax())
             node = 2 * node + (cells[np.arange(len(cells)), feature[node]] > cut[node])
-        at = node - 2**DEPTH
-        leaf = rate * np.bincount(at, g, 2**DEPTH) / (np.bincount(at, h, 2**DEPTH) + ridge)
+        leaf_of = node - 2**DEPTH
+        leaf = rate * np.bincount(leaf_of, g, 2**DEPTH) / (np.bincount(leaf_of, h, 2**DEPTH) + ridge)
         model.trees.append((feature, cut, leaf))
-        total += leaf[at]
-    raw, truth = model.raw(x[test]), y[test]
+        total += leaf[leaf_of]
+    test, weight = all_cells[held > 0], held[held > 0].astype(np.float64)
+    raw, truth = model.raw_of(test), all_y[held > 0]
     for _ in range(50):  # Newton steps of the logistic calibration, held to a mild prior
         p = 1 / (1 + np.exp(-np.clip(model.slope * raw + model.shift, -30, 30)))
-        g = np.array([((truth - p) * raw).sum() - 0.1 * (model.slope - 1), (truth - p).sum() - 0.1 * model.shift])
-        h = p * (1 - p)
+        off, h = weight * (truth - p), weight * p * (1 - p)
+        g = np.array([(off * raw).sum() - 0.1 * (model.slope - 1), off.sum() - 0.1 * model.shift])
         hess = np.array([[(h * raw * raw).sum() + 0.1, (h * raw).sum()], [(h * raw).sum(), h.sum() + 0.1]])
         step = np.linalg.solve(hess, g)
         model.slope, model.shift = model.slope + float(step[0]), model.shift + float(step[1])
         if abs(step).max() < 1e-8:
             break
-    p = model.probability(x[test])
+    p = model.calibrated(raw)
     for k in range(len(KINDS)):
-        mine = x[test][:, k] == 1
-        order = np.argsort(-p[mine])
-        precise = np.cumsum(truth[mine][order]) >= PRECISION * np.arange(1, mine.sum() + 1)
-        if precise.any():
-            model.thresholds[k] = max(LEAST, float(p[mine][order][np.flatnonzero(precise)[-1]]))
+        mine = test[:, k] == 1
+        sure, at = np.unique(-p[mine], return_inverse=True)  # candidates of equal probability pass or fail together
+        good, seen = np.bincount(at, (weight * truth)[mine], len(sure)).cumsum(), np.bincount(at, weight[mine], len(sure)).cumsum()
+        precise = np.flatnonzero(good >= PRECISION * seen)
+        if len(precise):
+            model.thresholds[k] = max(LEAST, float(-sure[precise[-1]]))
     return model
 
 
-def train(docs: DataFrame, most: int = TRAIN_ROWS) -> Boosted | None:
-    """Fit on at most ``most`` candidates of the whole corpus, the first by a hash of their features; None without any."""
+def train(docs: DataFrame) -> Boosted | None:
+    """Fit on all candidates of the whole corpus, equal ones as one row with their count; None without any."""
 
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in grouped(batches):
-            got = [c for t in texts for c in trace(t)]
+            got = Counter((tuple(x), y) for t in texts for x, y in trace(t))
             if got:
-                yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in got], pa.list_(pa.float64())), pa.array([c[1] for c in got])], ["x", "y"])
-
-    rows = docs.select("text").where(F.col("text").rlike("[0-9]{3}|@")).mapInArrow(traced, "x array<double>, y double")
-    got = first_by_hash(stage(rows, "pii-candidates"), most, ["x", "y"]).collect()
-    return fit(np.array([r.x for r in got]), np.array([r.y for r in got])) if got else None
+                cols = [pa.array([list(x) for x, _ in got], pa.list_(pa.float64())), pa.array([y for _, y in got]), pa.array(list(got.values()), pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, ["x", "y", "n"])
+
+    rows = docs.select("text").where(F.col("text").rlike("[0-9]{3}|@")).mapInArrow(traced, "x array<double>, y double, n long")
+    counted = stage(rows.groupBy("x", "y").agg(F.sum("n").alias("n")), "pii-candidates")
+    kind = F.array_position(F.slice("x", 1, len(KINDS)), F.lit(1.0)) - 1
+    shares = counted.select(kind.alias("k"), F.posexplode("x").alias("f", "v"), "n").groupBy("k", "f", "v").agg(F.sum("n").alias("n")).collect()
+    if not shares:
+        return None
+    edges = bin_edges([tuple(r) for r in shares])
+
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1)
+                cells = pa.array([c.tobytes() for c in cells_of(x, edges).astype(np.uint8)], pa.binary())
+                yield pa.RecordBatch.from_arrays([cells, batch.column("y"), batch.column("n")], ["cells", "y", "n"])
+
+    # trees see cells only, so candidates of equal cells are one row to them, too
+    got = counted.mapInArrow(binned, "cells binary, y double, n long").groupBy("cells", "y").agg(F.sum("n").alias("n")).toArrow().sort_by([("cells", "ascending"), ("y", "ascending")])
+    cells = np.frombuffer(b"".join(got["cells"].to_pylist()), np.uint8).reshape(got.num_rows, -1)
+    return fit(edges, cells.astype(np.int64), got["y"].to_numpy(), got["n"].to_numpy())
 
 
 def find(text: str | None, model: Boosted | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

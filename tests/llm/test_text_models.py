@@ -148,3 +148,14 @@ def test_personal_data_added_and_redacted(make, awkward):
     new = {r.doc_id: r for r in pii.redact_column(docs, model).collect()}
     assert all(r.text == rows[i].redacted and r.n_chars == (None if r.text is None else len(r.text)) for i, r in new.items())
     assert pii.train(make(["no data", None])) is None and pii.apply(make([]), None).count() == 0
+
+
+def test_personal_data_learns_beside_hot_forms(make):
+    """A form with hundreds of thousands of equal candidates neither crowds out the others nor gets lost."""
+    rng = random.Random(10)
+    texts = [" ".join(["bob@web.example.com x"] * 400) for _ in range(160)]
+    texts += [f"{prose(rng, n=8)} tel +1 ({i:03d}) 555-{1000 + i}; {prose(rng, n=3)} 10.{i}.3.{i} and 300.1.2.{i}" for i in range(100, 180)]
+    model = pii.train(make(texts))
+    text = "mail joe (at) web.example.com or tel (212) 555-1234"
+    assert [k for _, k, _ in pii.find(text, model)[1]] == [0, 3]
+    assert pii.find("see 300.1.2.7 now", model)[1] == []
