@@ -16,11 +16,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexfit.llm.common import WORD, let
+from lexfit.llm.common import WORD, let, lookup
+from lexfit.session import stage
 
 BUCKETS = 10_007
-#: The trusted multinomial is fitted on at most so many labelled documents, the first by a hash of their id.
-TRUSTED_MAX = 20_000
 #: Added to each bucket's count.
 SMOOTHING = 1.0
 #: The least mean log ratio of a kept document.
@@ -84,20 +83,18 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words(text), lambda w: F.xxhash64(w))
 
 
-def trusted_ids(labels: DataFrame, most: int = TRUSTED_MAX) -> DataFrame:
-    """Ids that every label calls good and none toxic, at most ``most`` of them, by a hash of the id."""
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Ids that every label calls good and none toxic."""
     by_id = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
-    good = by_id.where("q = 1 and coalesce(t, 0) = 0").select("doc_id")
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return by_id.where("q = 1 and coalesce(t, 0) = 0").select("doc_id")
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> list[float]:
-    """The log ratio of each bucket; all 0 without trusted documents. ``trusted`` is bounded by TRUSTED_MAX."""
-    flag = F.broadcast(trusted.select("doc_id", F.lit(True).alias("_trusted")))
-    grams = docs.select("doc_id", let(word_hashes(F.col("text")), lambda h: gram_buckets(h, buckets)).alias("_grams")).join(flag, "doc_id", "left")
-    counts = (
-        grams.select(F.coalesce("_trusted", F.lit(False)).alias("t"), F.explode("_grams").alias("b")).groupBy("b", "t").count().collect()
-    )  # at most two rows a bucket
+    """The log ratio of each bucket, from all documents and all ``trusted`` ids; all 0 without trusted documents."""
+    flag = stage(trusted.select("doc_id", F.lit(True).alias("_trusted")), "trusted-ids")
+    flagged = lookup(docs.select("doc_id", "text"), flag, ["doc_id"], "left")
+    grams = flagged.select(F.coalesce("_trusted", F.lit(False)).alias("t"), let(word_hashes(F.col("text")), lambda h: gram_buckets(h, buckets)).alias("_grams"))
+    counts = grams.select("t", F.explode("_grams").alias("b")).groupBy("b", "t").count().collect()  # at most two rows a bucket
     target, raw = [SMOOTHING] * buckets, [SMOOTHING] * buckets
     for b, is_trusted, n in counts:
         raw[b] += n

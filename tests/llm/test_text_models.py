@@ -159,3 +159,16 @@ def test_personal_data_learns_beside_hot_forms(make):
     text = "mail joe (at) web.example.com or tel (212) 555-1234"
     assert [k for _, k, _ in pii.find(text, model)[1]] == [0, 3]
     assert pii.find("see 300.1.2.7 now", model)[1] == []
+
+
+def test_log_ratio_counts_all_trusted_documents(make, spark, monkeypatch):
+    """More trusted documents than any sample held; broadcast or dealt out, each is counted."""
+    n = 12_000
+    docs = make(["alpha"] * n + ["beta"] * n + ["gamma"])
+    labels = spark.range(2 * n).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    monkeypatch.setattr(quality_rules, "SMOOTHING", 1e-9)
+    for most in (1 << 25, 0):
+        monkeypatch.setattr("lexfit.llm.common.BROADCAST_BYTES", most)
+        ratios = quality_rules.log_ratios(docs, quality_rules.trusted_ids(labels), 10_007)
+        grams = docs.where("text <> 'gamma'").select("text", quality_rules.gram_buckets(quality_rules.word_hashes(docs["text"]), 10_007)).distinct().collect()
+        assert len(grams) == 2 and all(abs(ratios[b] - np.log((2 * n + 1) / (2 * n))) < 1e-8 for _, (b,) in grams)
