@@ -20,7 +20,8 @@ from lexfit.llm.common import WORD, let, lookup
 from lexfit.session import stage
 
 BUCKETS = 10_007
-#: Added to each bucket's count.
+#: Added to each bucket's count in all documents; buckets times as many n-grams, shared out as in all
+#: documents, are added to the trusted ones, so that few trusted documents say little and not that all are bad.
 SMOOTHING = 1.0
 #: The least mean log ratio of a kept document.
 MIN_SCORE = -0.06
@@ -95,13 +96,15 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> l
     flagged = lookup(docs.select("doc_id", "text"), flag, ["doc_id"], "left")
     grams = flagged.select(F.coalesce("_trusted", F.lit(False)).alias("t"), let(word_hashes(F.col("text")), lambda h: gram_buckets(h, buckets)).alias("_grams"))
     counts = grams.select("t", F.explode("_grams").alias("b")).groupBy("b", "t").count().collect()  # at most two rows a bucket
-    target, raw = [SMOOTHING] * buckets, [SMOOTHING] * buckets
+    seen, raw = [0.0] * buckets, [SMOOTHING] * buckets
     for b, is_trusted, n in counts:
         raw[b] += n
         if is_trusted:
-            target[b] += n
+            seen[b] += n
     if not any(t for _, t, _ in counts):
         return [0.0] * buckets
+    prior = SMOOTHING * buckets / math.fsum(raw)
+    target = [t + prior * r for t, r in zip(seen, raw, strict=True)]
     shift = math.log(math.fsum(raw)) - math.log(math.fsum(target))
     return [math.log(t) - math.log(r) + shift for t, r in zip(target, raw, strict=True)]
 

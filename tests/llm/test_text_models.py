@@ -172,3 +172,14 @@ def test_log_ratio_counts_all_trusted_documents(make, spark, monkeypatch):
         ratios = quality_rules.log_ratios(docs, quality_rules.trusted_ids(labels), 10_007)
         grams = docs.where("text <> 'gamma'").select("text", quality_rules.gram_buckets(quality_rules.word_hashes(docs["text"]), 10_007)).distinct().collect()
         assert len(grams) == 2 and all(abs(ratios[b] - np.log((2 * n + 1) / (2 * n))) < 1e-8 for _, (b,) in grams)
+
+
+def test_log_ratio_of_few_trusted_documents_with_the_parameters_in_use(make, spark):
+    """A few thousand trusted words reject no text of their kind, and enough of them reject the other kind."""
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice(WORDS["en"]) for _ in range(80)) for _ in range(60)]
+    texts += [" ".join(rng.choice(WORDS["en"]) + "###" for _ in range(80)) for _ in range(20)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(30)] + [(i, 0, 0) for i in range(60, 70)], "doc_id long, quality int, toxic int")
+    assert all(r.kept == (r.doc_id < 60) for r in quality_rules.apply(make(texts), labels).collect())
+    one = quality_rules.apply(make(texts), labels.limit(1)).collect()
+    assert all(r.kept for r in one if r.doc_id < 60)
