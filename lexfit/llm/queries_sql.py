@@ -72,8 +72,73 @@ WITH codes AS (
 SELECT query_id, neighbour_id, distance, rank FROM ranked WHERE rank <= 10
 """
 
+#: Words of a text in which only A-Z are lower-cased; the texts of both operators are cut alike.
+TERMS_OF = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+
+DECONTAMINATION = """
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, {terms} AS w FROM documents),
+item AS (SELECT item_id, {terms} AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, w[i:i + 9] AS t FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM item WHERE len(w) > 0)),
+lengths AS (SELECT DISTINCT len(t) AS n FROM win),
+grams AS (SELECT r, i, n, w[i:i + n - 1] AS t FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM doc, lengths WHERE len(w) >= n)),
+occ AS (SELECT g.r, g.i, g.n, win.item_id FROM grams g JOIN win ON g.t = win.t),
+hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM occ) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT r, item_id FROM occ) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
+"""
+
+SEARCH = """
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, {terms} AS w FROM documents),
+corpus AS (SELECT count(*)::BIGINT AS n_docs, sum(len(w))::BIGINT AS n_terms FROM doc WHERE len(w) > 0),
+item AS (SELECT row_number() OVER () AS q, item_id, unnest(list_distinct({terms})) AS t FROM benchmark),
+tf AS (SELECT r, t, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS t FROM doc) WHERE t IN (SELECT t FROM item) GROUP BY r, t),
+df AS (SELECT t, count(*)::BIGINT AS df FROM tf GROUP BY t),
+weight AS (SELECT t, floor(1000 * ln(((2 * n_docs + 2)::DOUBLE) / (2 * df + 1)))::BIGINT AS w FROM df, corpus),
+score AS (SELECT q, item_id, doc_id, r, sum(weight.w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * len(doc.w) * n_docs) // n_terms))))::BIGINT AS score
+ FROM item JOIN tf USING (t) JOIN weight USING (t) JOIN doc USING (r), corpus GROUP BY q, item_id, doc_id, r),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank FROM score WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+TRIE = """
+WITH own AS (
+    SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, role, text) AS turns,
+           list_reduce(list_transform([4294967295] || list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)), lambda x: x::BIGINT),
+               lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, bit: xor(x >> 1, (x & 1) * 3988292384))) AS crc
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), headed AS (
+    SELECT conv_id, turns, xor(crc, 4294967295) % 6 AS h FROM own
+), rebuilt AS (
+    SELECT o.conv_id, list_concat(coalesce(b.turns, [])[1:o.h], o.turns[o.h + 1:]) AS turns
+    FROM headed o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 100
+), prefixes AS (
+    SELECT conv_id, len(turns) = depth AS ends_here, depth, turns[1:depth] AS prefix
+    FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS depth FROM rebuilt)
+), nodes AS (
+    SELECT prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs, prefix[1:depth - 1] AS parent,
+           CASE WHEN depth = 0 THEN 0 ELSE (count(*) - 1) * length(prefix[-1].text) END AS saved,
+           coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends_here), '') AS ends
+    FROM prefixes GROUP BY prefix, depth
+), children AS (
+    SELECT parent AS prefix, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY parent
+), sums AS (
+    SELECT prefix[1:top] AS prefix, sum(saved) AS saved_tokens, count(*) FILTER (n_children IS NULL) AS n_leaves
+    FROM (SELECT nodes.*, n_children, unnest(range(0, depth + 1)) AS top FROM nodes LEFT JOIN children USING (prefix)) GROUP BY ALL
+)
+SELECT n.conv_id::BIGINT AS conv_id, n.depth::BIGINT AS depth, p.conv_id::BIGINT AS parent_conv_id, n.n_convs::BIGINT AS n_convs,
+       coalesce(n_children, 0)::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM nodes n JOIN sums USING (prefix) LEFT JOIN children USING (prefix) LEFT JOIN nodes p ON n.depth > 0 AND p.prefix = n.parent
+"""
+
 SQL: dict[str, str] = {
     "op2_hamming_search": HAMMING,
     "op1_warc_round_trip": WARC,
     "op4_mix_sources": "WITH " + MIX.format(words=WORDS_OF, docs="documents") + "SELECT doc_id, size, source_size, target, taken FROM mixed",
+    "op11_decontamination": DECONTAMINATION.replace("{terms}", TERMS_OF),
+    "op12_lexical_search": SEARCH.replace("{terms}", TERMS_OF),
+    "op13_prefix_trie": TRIE,
 }
