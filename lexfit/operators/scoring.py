@@ -1,12 +1,14 @@
 """Term counts, cosine, Jaccard and matched terms.
 
-A text is one row, whose tokens are counted inside it and looked up by a hash join. ``score_features`` reads the texts once and leaves a few numbers
-per text; the only corpus-wide fact, which query terms occur anywhere, is then an
+A text is one row, whose tokens are counted inside it; those that the query may hold are
+looked up by a hash join. ``score_features`` reads the texts once and leaves a few numbers per text; the only corpus-wide fact, which query terms occur anywhere, is then an
 aggregate over those. Adding texts later means rescoring from features, not texts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,35 +62,91 @@ def term_profiles(terms: DataFrame) -> DataFrame:
     return counted.unionByName(listed.select("section", F.lit(1).alias("kind"), "token", "weight", "places"))
 
 
-def score_features(df: DataFrame, keys: list[str], profiles: DataFrame, text: str = "text") -> DataFrame:
+FILTER_BITS = 1 << 20
+
+
+def query_filter(profiles: DataFrame) -> Callable[[Column], Column]:
+    """A test for tokens: false surely not in the query, true in it or one of a few others.
+
+    The query's tokens are set as bits of an array of fixed size, whatever their number; it
+    is a subquery of the plan that uses the test, worked out once.
+    """
+    slot = F.pmod(F.xxhash64("token"), F.lit(FILTER_BITS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (slot % 64).cast("int"))
+    words = profiles.select(F.shiftright(slot, 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    every = profiles.sparkSession.range(0, FILTER_BITS // 64, 1, 1).join(words, F.col("id") == F.col("word"), "left")
+    rows = F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits"))))
+    bits = every.agg(F.transform(rows, lambda r: r["bits"])).scalar()
+
+    def held(token: Column) -> Column:
+        at = F.pmod(F.xxhash64(token), F.lit(FILTER_BITS))
+        word = F.get(bits, F.shiftright(at, 6).cast("int"))
+        return F.call_function("shiftright", word, (at % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    return held
+
+
+def score_features(
+    df: DataFrame,
+    keys: list[str],
+    profiles: DataFrame,
+    text: str = "text",
+    sections: list[str] | None = None,
+    vectors: bool = True,
+) -> DataFrame:
     """Per text and section: dot product, squared length, overlap sizes, terms found.
 
-    ``text`` holds blank-joined tokens; ``keys`` and section name a text. A text's tokens
-    meet the dictionary in a hash join and are summed up again where they are, so the work
-    grows with the tokens and not with the length of the query. A section without terms
-    keeps its rows and scores 0.
+    ``text`` holds blank-joined tokens; ``keys`` and section name a text. With ``sections``
+    there is no such column: each text counts under all of them and is gone through once.
+    Lengths and set sizes are worked out inside the row. Of its tokens only those leave it
+    that the query may hold, to meet the dictionary in a hash join, so what is shuffled is a row
+    of numbers per text and its matches. A section without terms keeps its rows and scores 0.
+    ``vectors=False`` leaves out dot product, length and terms found, which only the cosine needs.
     """
-    counted = _with_counts(df.select(*keys, "section", text), text)
-    one = F.lit(1).cast("bigint")
+    named = [] if sections else ["section"]
+    counted = df.select(*keys, *named, text)
+    counted = _with_counts(counted, text) if vectors else counted
+    profiles = profiles if vectors else profiles.where("kind = 1")
+    one, zero, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint"), F.lit(None).cast("string")
     words = F.array_distinct(F.array_remove(F.split(text, " "), ""))
-    vector = F.transform("counts", lambda c: F.struct(F.lit(0).alias("kind"), c["token"].alias("token"), c["tf"].alias("tf")))
-    whole = F.transform(words, lambda w: F.struct(F.lit(1).alias("kind"), w.alias("token"), one.alias("tf")))
-    long = counted.select(*keys, "section", F.inline_outer(F.concat(vector, whole)))
-    met = long.join(profiles, ["section", "kind", "token"], "left")
-    zero, is_vector, is_term = F.lit(0).cast("bigint"), F.col("kind") == 0, (F.col("kind") == 1) & F.col("weight").isNotNull()
+    held = query_filter(profiles)
+
+    def entry(kind: int, token: Column, tf: Column, size: Column = zero, name: Column = none) -> Column:
+        name = [name.alias("section")] if sections else []
+        return F.struct(*name, F.lit(kind).alias("kind"), token.alias("token"), tf.alias("tf"), size.alias("size"))
+
+    square = F.aggregate("counts", zero, lambda s, c: s + c["tf"] * c["tf"]) if vectors else zero
+    n_words = F.size(words).cast("bigint")
+    whole = F.array(*[entry(2, none, square, n_words, F.lit(s)) for s in sections or [""]])
+    entries = [whole, F.transform(words, lambda w: entry(1, w, one))]
+    if vectors:
+        entries.append(F.transform("counts", lambda c: entry(0, c["token"], c["tf"])))
+    long = counted.select(*keys, *named, F.inline_outer(F.concat(*entries)))
+    long = long.where((F.col("kind") == 2) | held(F.col("token")))
+    if sections:
+        found = profiles.withColumnRenamed("section", "_section")
+        met = long.join(found, ["kind", "token"], "left").withColumn("section", F.coalesce("section", "_section"))
+        met = met.where(F.col("section").isin(list(sections)))
+    else:
+        met = long.join(profiles, ["section", "kind", "token"], "left")
+    is_vector = (F.col("kind") == 0) & F.col("weight").isNotNull()
+    is_term = (F.col("kind") == 1) & F.col("weight").isNotNull()
     places = F.transform("places", lambda p: F.struct(p["pos"].alias("pos"), p["sub_pos"].alias("sub_pos"), F.col("token").alias("term")))
-    summed = met.groupBy(*keys, "section").agg(
+    vector_sums = [
         F.coalesce(F.sum(F.when(is_vector, F.col("tf") * F.col("weight"))), zero).alias("dot"),
-        F.coalesce(F.sum(F.when(is_vector, F.col("tf") * F.col("tf"))), zero).alias("square"),
-        F.collect_list(F.when(is_vector & F.col("weight").isNotNull(), F.col("token"))).alias("found"),
+        F.coalesce(F.sum(F.when(F.col("kind") == 2, F.col("tf"))), zero).alias("square"),
+        F.collect_list(F.when(is_vector, F.col("token"))).alias("found"),
+    ]
+    summed = met.groupBy(*keys, "section").agg(
+        *(vector_sums if vectors else []),
         F.flatten(F.collect_list(F.when(is_term, places))).alias("common"),
         F.count(F.when(is_term, one)).alias("n_common"),
-        F.count(F.when(F.col("kind") == 1, one)).alias("_n_tokens"),
+        F.sum("size").alias("_n_tokens"),
     )
     sizes = profiles.where("kind = 1").groupBy("section").agg(F.count("*").alias("_n_terms"))
     summed = summed.join(F.broadcast(sizes), "section", "left")  # one row per section
     n_union = F.col("_n_tokens") + F.coalesce("_n_terms", zero) - F.col("n_common")
-    return summed.select(*keys, "section", "dot", "square", "found", "common", "n_common", n_union.alias("n_union"))
+    return summed.withColumn("n_union", n_union).drop("_n_tokens", "_n_terms")
 
 
 def found_terms(features: DataFrame) -> DataFrame:
@@ -96,10 +154,18 @@ def found_terms(features: DataFrame) -> DataFrame:
     return features.select("section", F.explode("found").alias("term")).distinct()
 
 
-def corpus_vocabulary(df: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
-    """The query terms that the corpus knows, in query order."""
-    tokens = df.select("section", F.explode_outer(F.array_distinct(vectorizer_tokens(F.col(text)))).alias("term")).where("term is not null")
-    known = tokens.join(terms.select("section", "term").distinct(), ["section", "term"], "left_semi").distinct()
+def corpus_vocabulary(df: DataFrame, terms: DataFrame, text: str = "text", sections: list[str] | None = None) -> DataFrame:
+    """The query terms that the corpus knows, in query order.
+
+    Tokens that are surely not in the query stay in their rows. With ``sections`` each text
+    counts under all of them, as in ``score_features``.
+    """
+    wanted = terms.select("section", F.col("term").alias("token")).distinct()
+    keys = ["token"] if sections else ["section", "token"]
+    tokens = df.select(*keys[:-1], F.explode_outer(vectorizer_tokens(F.col(text))).alias("token"))
+    tokens = tokens.where(F.col("token").isNotNull() & query_filter(wanted)(F.col("token"))).distinct()
+    known = wanted.where(F.col("section").isin(list(sections))) if sections else wanted
+    known = known.join(tokens, keys, "left_semi").withColumnRenamed("token", "term")
     return terms.join(known, ["section", "term"], "left_semi")
 
 

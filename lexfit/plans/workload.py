@@ -97,17 +97,11 @@ def _doc_records(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _section_texts(spark: SparkSession, d: str, *names: str) -> DataFrame:
-    """Each document's text under each section name."""
-    names = names or tuple(TERMS)
-    section = F.explode(F.array(*[F.lit(n) for n in names])).alias("section")
-    return _doc_texts(spark, d).select("doc_id", "text", section)
-
-
-def _features(spark: SparkSession, d: str, *names: str) -> tuple[DataFrame, DataFrame]:
+def _features(spark: SparkSession, d: str, *names: str, vectors: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Each document's text under each section name, gone through once."""
     profiles = scoring.term_profiles(_query_terms(spark))
-    features = scoring.score_features(_section_texts(spark, d, *names), ["doc_id"], profiles)
-    return features, profiles
+    texts = _doc_texts(spark, d)
+    return scoring.score_features(texts, ["doc_id"], profiles, sections=list(names or TERMS), vectors=vectors), profiles
 
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
@@ -118,7 +112,7 @@ def _scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _jaccard_wide(spark: SparkSession, d: str) -> DataFrame:
-    features, _ = _features(spark, d)
+    features, _ = _features(spark, d, vectors=False)
     return report.widen(scoring.jaccard(features), ("jaccard",), "doc_id").withColumn(
         "total_jaccard", scoring.total_score(suffix="_jaccard")
     )
@@ -208,14 +202,10 @@ def page_archive(spark: SparkSession, d: str) -> DataFrame:
         landed, tags=["h1"], company_markers=COMPANY_MARKERS, title_markers=TITLE_MARKERS,
         address_pattern=ADDRESS_PATTERN,
     )
-    texts = records.select(
-        "url", "company", "title", F.lit("tasks").alias("section"),
-        cleaning.token_text(F.array_join("parts", " ")).alias("text"),
-    )
+    texts = records.select("url", cleaning.token_text(F.array_join("parts", " ")).alias("text"))
     profiles = scoring.term_profiles(_query_terms(spark))
-    features = stage(scoring.score_features(texts, ["url", "company", "title"], profiles), "features")
-    scored = scoring.jaccard(features)
-    selected = scored.where(F.col("jaccard") > 0.02).select("url", "company", "title")
+    scored = scoring.jaccard(scoring.score_features(texts, ["url"], profiles, sections=["tasks"], vectors=False))
+    selected = stage(records.select("url", "company", "title").join(scored.where(F.col("jaccard") > 0.02), "url", "left_semi"), "selected")
     return selection.page_archive(selected, landed)
 
 
@@ -459,7 +449,7 @@ def term_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def corpus_vocabulary(spark: SparkSession, d: str) -> DataFrame:
-    known = scoring.corpus_vocabulary(_section_texts(spark, d), _query_terms(spark))
+    known = scoring.corpus_vocabulary(_doc_texts(spark, d), _query_terms(spark), sections=list(TERMS))
     return known.select("section", "pos", "term")
 
 
@@ -483,7 +473,7 @@ def _matched(name: str) -> Query:
 
 def _jaccard(name: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        features, _ = _features(spark, d, name)
+        features, _ = _features(spark, d, name, vectors=False)
         return scoring.jaccard(features).select("doc_id", F.round("jaccard", 6).alias("score"))
 
     return run
@@ -591,7 +581,7 @@ def fit_report(spark: SparkSession, d: str) -> DataFrame:
 @query
 def jaccard_ranking(spark: SparkSession, d: str) -> DataFrame:
     """Flagship: documents ranked by Jaccard against a term list."""
-    features, _ = _features(spark, d, "tasks")
+    features, _ = _features(spark, d, "tasks", vectors=False)
     scores = scoring.jaccard(features).select("doc_id", "section", "jaccard")
     ranked = ranking.rank_average(stage(scores, "scores"), ["section"], "jaccard", ["doc_id"])
     return ranked.select("doc_id", F.round("jaccard", 6).alias("jaccard"), "rank")

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexfit.operators import scoring
 from lexfit.operators.terms import drop_listed_tokens, lemmatize, prepare_terms
@@ -201,3 +202,27 @@ def test_full_store(spark):
     assert (a.lang, b.lang) == ("de", "en") and a.tasks_matched.split()[0] == "dat"
     assert a.letter_done == "Ja" and b.letter_done is None and b.profile == "leer"
     assert a.tasks_jaccard_rank == 1 and b.tasks_jaccard_rank == 2 and a.tasks_rank_diff == 0
+
+
+def test_query_filter_holds_back_what_the_query_cannot_hold(spark):
+    query = spark.range(50_000).selectExpr("concat('wort', id) AS token")
+    tokens = spark.range(200_000).selectExpr("id", "concat('wort', id) AS token")
+    passed = tokens.where(scoring.query_filter(query)(F.col("token")))
+    assert passed.where("id < 50000").count() == 50_000
+    assert passed.where("id >= 50000").count() < 12_000
+
+
+def test_one_text_under_several_sections(spark, corpus):
+    texts, terms = frames(spark, corpus)
+    profiles = scoring.term_profiles(terms)
+    once = texts.where("section = 'tasks'").select("id", "text")
+    long = scoring.jaccard(scoring.cosine(scoring.score_features(texts, ["id"], profiles), profiles))
+    wide = scoring.score_features(once, ["id"], profiles, sections=list(TERMS))
+    wide = scoring.jaccard(scoring.cosine(wide, profiles))
+    values = ["id", "section", "cosine", "jaccard", "square"]
+    assert sorted(map(tuple, wide.select(*values).collect())) == sorted(map(tuple, long.select(*values).collect()))
+    known = [scoring.corpus_vocabulary(x, terms, sections=s).collect() for x, s in ((texts, None), (once, list(TERMS)))]
+    assert sorted(known[0]) == sorted(known[1])
+    without = scoring.jaccard(scoring.score_features(once, ["id"], profiles, sections=list(TERMS), vectors=False))
+    assert sorted(map(tuple, without.select("id", "section", "jaccard").collect())) == sorted((r.id, r.section, r.jaccard) for r in wide.collect())
+    assert "square" not in without.columns
