@@ -7,13 +7,12 @@ aggregate over those. Adding texts later means rescoring from features, not text
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexfit import fixed_values as fx
 from lexfit.functions.text import vectorizer_tokens
+from lexfit.operators.joins import value_filter
 
 DIGITS = 12  # scores are rounded so that equal texts tie exactly
 
@@ -62,30 +61,6 @@ def term_profiles(terms: DataFrame) -> DataFrame:
     return counted.unionByName(listed.select("section", F.lit(1).alias("kind"), "token", "weight", "places"))
 
 
-FILTER_BITS = 1 << 20
-
-
-def query_filter(profiles: DataFrame) -> Callable[[Column], Column]:
-    """A test for tokens: false surely not in the query, true in it or one of a few others.
-
-    The query's tokens are set as bits of an array of fixed size, whatever their number; it
-    is a subquery of the plan that uses the test, worked out once.
-    """
-    slot = F.pmod(F.xxhash64("token"), F.lit(FILTER_BITS))
-    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (slot % 64).cast("int"))
-    words = profiles.select(F.shiftright(slot, 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    every = profiles.sparkSession.range(0, FILTER_BITS // 64, 1, 1).join(words, F.col("id") == F.col("word"), "left")
-    rows = F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits"))))
-    bits = every.agg(F.transform(rows, lambda r: r["bits"])).scalar()
-
-    def held(token: Column) -> Column:
-        at = F.pmod(F.xxhash64(token), F.lit(FILTER_BITS))
-        word = F.get(bits, F.shiftright(at, 6).cast("int"))
-        return F.call_function("shiftright", word, (at % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
-
-    return held
-
-
 def score_features(
     df: DataFrame,
     keys: list[str],
@@ -109,7 +84,7 @@ def score_features(
     profiles = profiles if vectors else profiles.where("kind = 1")
     one, zero, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint"), F.lit(None).cast("string")
     words = F.array_distinct(F.array_remove(F.split(text, " "), ""))
-    held = query_filter(profiles)
+    held = value_filter(profiles, "token")
 
     def entry(kind: int, token: Column, tf: Column, size: Column = zero, name: Column = none) -> Column:
         name = [name.alias("section")] if sections else []
@@ -163,7 +138,7 @@ def corpus_vocabulary(df: DataFrame, terms: DataFrame, text: str = "text", secti
     wanted = terms.select("section", F.col("term").alias("token")).distinct()
     keys = ["token"] if sections else ["section", "token"]
     tokens = df.select(*keys[:-1], F.explode_outer(vectorizer_tokens(F.col(text))).alias("token"))
-    tokens = tokens.where(F.col("token").isNotNull() & query_filter(wanted)(F.col("token"))).distinct()
+    tokens = tokens.where(F.col("token").isNotNull() & value_filter(wanted, "token")(F.col("token"))).distinct()
     known = wanted.where(F.col("section").isin(list(sections))) if sections else wanted
     known = known.join(tokens, keys, "left_semi").withColumnRenamed("token", "term")
     return terms.join(known, ["section", "term"], "left_semi")

@@ -12,7 +12,7 @@ from lexfit.functions import html as H
 from lexfit.functions import records as R
 from lexfit.functions import text as T
 from lexfit.functions.stemming import cistem, snowball_german
-from lexfit.operators import cleaning, language, pages, ranking, scoring, sections, selection, terms
+from lexfit.operators import blocklist, cleaning, language, pages, ranking, scoring, sections, selection, terms
 from lexfit.plans import report
 from lexfit.session import scratch_path, stage
 from lexfit.sources import store as S
@@ -353,6 +353,15 @@ def title_blocklist(spark: SparkSession, d: str) -> DataFrame:
     return cleaning.title_blocklist(titled, BLOCKLIST).select("p_partkey", "title")
 
 
+@query
+def title_blocklist_table(spark: SparkSession, d: str) -> DataFrame:
+    """First lines of documents that hold no long word of the benchmark."""
+    words = terms.vocabulary(table(spark, d, "benchmark").select(cleaning.token_text(F.col("text")).alias("text")), "text")
+    listed = words.where("length(token) > 8").select(F.col("token").alias("term"))
+    titled = _docs(spark, d).select("doc_id", F.substring_index("text", "\n", 1).alias("title"))
+    return blocklist.drop_blocked(titled, listed)
+
+
 @query
 def concat_text(spark: SparkSession, d: str) -> DataFrame:
     return _doc_parts(spark, d).select("doc_id", cleaning.language_text(F.col("parts")).alias("text"))

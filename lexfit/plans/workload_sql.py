@@ -316,6 +316,10 @@ for _marker in fx.GENDER_MARKERS:
 SQL["title_clean"] = f"SELECT p_partkey, trim({_title}) AS title FROM part"
 SQL["title_blocklist"] = f"""SELECT p_partkey, title FROM (SELECT p_partkey, p_name || ' ' || p_type AS title FROM part)
 WHERE NOT ({" OR ".join(f"contains(lower(title), {q(b.lower())})" for b in w.BLOCKLIST)})"""
+SQL["title_blocklist_table"] = f"""WITH words AS (SELECT DISTINCT unnest({tokens(clean("text"))}) AS word FROM benchmark),
+titled AS (SELECT doc_id, string_split(text, chr(10))[1] AS title FROM documents)
+SELECT doc_id, title FROM titled
+WHERE NOT EXISTS (SELECT 1 FROM words WHERE length(word) > 8 AND contains(lower(title), word))"""
 SQL["concat_text"] = """SELECT doc_id, concat_ws(' ', p[1], p[2]) AS text
 FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)"""
 SQL["language_detect"] = """

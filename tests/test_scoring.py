@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexfit.operators import scoring
+from lexfit.operators.joins import value_filter
 from lexfit.operators.terms import drop_listed_tokens, lemmatize, prepare_terms
 from lexfit.plans import report
 
@@ -207,7 +208,7 @@ def test_full_store(spark):
 def test_query_filter_holds_back_what_the_query_cannot_hold(spark):
     query = spark.range(50_000).selectExpr("concat('wort', id) AS token")
     tokens = spark.range(200_000).selectExpr("id", "concat('wort', id) AS token")
-    passed = tokens.where(scoring.query_filter(query)(F.col("token")))
+    passed = tokens.where(value_filter(query, "token")(F.col("token")))
     assert passed.where("id < 50000").count() == 50_000
     assert passed.where("id >= 50000").count() < 12_000
 
