@@ -8,20 +8,28 @@ from pyspark.sql import functions as F
 from lexfit import fixed_values as fx
 from lexfit.functions import records as R
 from lexfit.functions.text import clean_text, squeeze
-from lexfit.operators.joins import is_small
+from lexfit.operators.joins import is_small, value_filter
 from lexfit.session import stage
 
 
 def dedupe_first(df: DataFrame, key: str = "url", order: tuple[str, ...] = ("batch_no", "pos")) -> DataFrame:
-    """One row per key, the first in ``order``.
+    """One row per key, the first in ``order``; of rows that tie, any one.
 
-    An aggregate instead of a window: each task keeps one row per key before the
-    shuffle, so a key with a huge number of copies costs one row per task.
+    Keys and order are read first and are all that is shuffled of most rows: a row whose
+    key surely has no copy stays where it is. Of the others only those that are first in
+    order, or of which that is not yet sure, meet the list of keys with copies. ``df`` is
+    read more than once: hand in a scan, a narrow plan over one, or a stage table.
     """
-    rest = [c for c in df.columns if c != key]
-    first = F.min_by(F.struct(*rest), F.struct(*order))
-    out = df.groupBy(key).agg(first.alias("_first"))
-    return out.select(*[F.col(key) if c == key else F.col(f"_first.{c}").alias(c) for c in df.columns])
+    at = F.struct(*order)
+    counts = df.groupBy(key).agg(F.min(at).alias("_first"), F.count("*").alias("_n"))
+    copies = stage(counts.where("_n > 1").select(F.col(key).alias("_key"), "_first"), "copies")
+    several = value_filter(copies, "_key")(F.col(key))
+    joined = df.where(several).join(copies, F.col(key).eqNullSafe(F.col("_key")), "left")
+    first = joined.where(F.col("_first").isNotNull() & (at == F.col("_first")))
+    tied = first.groupBy(key).count().where("count > 1").isEmpty()
+    first = first.select(*df.columns) if tied else first.select(*df.columns).dropDuplicates([key])
+    only = joined.where(F.col("_first").isNull()).select(*df.columns)
+    return df.where(~several).unionByName(only).unionByName(first)
 
 
 def dedupe_first_table(

@@ -15,6 +15,7 @@ from lexfit.functions.stemming import cistem, snowball_german
 from lexfit.operators import blocklist, cleaning, language, pages, ranking, scoring, sections, selection, terms
 from lexfit.plans import report
 from lexfit.session import scratch_path, stage
+from lexfit.sources import status
 from lexfit.sources import store as S
 from lexfit.sources.tables import page_scan, table, term_table
 from lexfit.streaming.incremental import follow_pages
@@ -209,6 +210,21 @@ def page_archive(spark: SparkSession, d: str) -> DataFrame:
     return selection.page_archive(selected, landed)
 
 
+@query
+def store_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """A store fed by four batches whose keys overlap, one of them replayed: the first row of each key stays."""
+    def rows(df: DataFrame, pos: Column) -> DataFrame:
+        return df.select(F.concat(F.lit("text-"), F.md5(F.col("text").cast("binary"))).alias("url"), F.col("text").alias("body"), pos.alias("pos"))
+
+    docs = rows(_docs(spark, d), F.col("doc_id"))
+    turns = rows(table(spark, d, "conversations"), F.col("conv_id") * 1000 + F.col("turn"))
+    items = rows(table(spark, d, "benchmark"), F.col("item_id"))
+    path = scratch_path(spark, "store")
+    for number, batch in ((0, turns), (1, docs), (2, S.union_batches(docs, turns)), (1, docs), (3, items)):
+        S.append_batch(spark, path, batch, number)
+    return S.read_keyed_store(spark, path, docs.schema).select("url", F.length("body").cast("bigint").alias("n_chars"), "pos", "batch_no")
+
+
 @query
 def store_stream(spark: SparkSession, d: str) -> DataFrame:
     store = scratch_path(spark, "store")
@@ -568,6 +584,24 @@ def mark_status(spark: SparkSession, d: str) -> DataFrame:
     return selection.mark_sent(marked).select("doc_id", "file_name", "letter_done", "sent")
 
 
+@query
+def status_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Status of all documents after three runs of changes, one replayed, folded between: marked, sent, renamed."""
+    url = F.concat(F.lit("doc-"), "doc_id").alias("url")
+    path = scratch_path(spark, "status")
+    labels = table(spark, d, "labels")
+    marked = _docs(spark, d).join(labels.where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi")
+    marked = marked.select(url, selection.letter_file_name(F.col("source"), F.col("lang")).alias("file_name"), F.lit(fx.DONE).alias("letter_done"))
+    mails = _docs(spark, d).where(F.contains("text", F.lit("@"))).select(url, F.lit(fx.DONE).alias("sent"))
+    renamed = labels.where("toxic = 1").select(url, F.lit("withheld").alias("file_name"))
+    status.add_changes(spark, path, marked, 0)
+    status.add_changes(spark, path, mails, 1)
+    status.compact(spark, path)
+    status.add_changes(spark, path, renamed, 2)
+    status.add_changes(spark, path, renamed, 2)
+    return status.with_status(_docs(spark, d).select(url), status.read_status(spark, path))
+
+
 @query
 def outbox(spark: SparkSession, d: str) -> DataFrame:
     marked = selection.mark_done(_letters(spark, d), selection.eligible(thresholds=THRESHOLDS))

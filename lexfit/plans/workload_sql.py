@@ -239,6 +239,12 @@ PAGE_TEXTS = f"SELECT page_id AS id, 'tasks' AS section, {token_text('array_to_s
 SQL["page_archive"] = f"""WITH {TERMS}, {scores(PAGE_TEXTS)}
 SELECT url, {file_name(PAGE_COMPANY, PAGE_TITLE)} AS file_name, html
 FROM pages JOIN scored ON page_id = id WHERE jaccard > 0.02"""
+SQL["store_overlap"] = """WITH rows AS (
+  SELECT 'text-' || md5(text) AS url, length(text) AS n_chars, conv_id * 1000 + turn AS pos, 0 AS batch_no FROM conversations
+  UNION ALL SELECT 'text-' || md5(text), length(text), doc_id, 1 FROM documents
+  UNION ALL SELECT 'text-' || md5(text), length(text), item_id, 3 FROM benchmark)
+SELECT url, n_chars::BIGINT AS n_chars, pos, batch_no::BIGINT AS batch_no FROM rows
+QUALIFY row_number() OVER (PARTITION BY url ORDER BY batch_no, pos) = 1"""
 SQL["store_stream"] = f"""SELECT url, {PAGE_TITLE} AS title, {PAGE_COMPANY} AS company,
   array_to_string({parts("html", "h1")}, chr(10)) AS body FROM pages"""
 
@@ -422,6 +428,11 @@ SQL["outbox"] = f"""{LETTERS} SELECT 'doc-' || doc_id AS url, email AS recipient
   {fill(fx.MAIL_BODY, title="title", name="'N. N.'")} AS body, 'letters/' || file_name || '.pdf' AS letter_path,
   'cv.pdf' AS cv_path, 'references.pdf' AS references_path
 FROM after WHERE email IS NOT NULL AND letter_done = 'Ja'"""
+SQL["status_merge"] = f"""SELECT 'doc-' || d.doc_id AS url,
+  CASE WHEN l.toxic THEN 'withheld' WHEN l.good THEN {file_name("source", "lang", prefix=fx.LETTER_PREFIX)} END AS file_name,
+  CASE WHEN l.good THEN 'Ja' END AS letter_done, CASE WHEN contains(text, '@') THEN 'Ja' END AS sent
+FROM documents d LEFT JOIN (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id) l
+  ON l.doc_id = d.doc_id"""
 SQL["safe_file_name"] = f"SELECT p_partkey, {file_name('p_brand', MARKED, prefix=fx.LETTER_PREFIX)} AS file_name FROM part"
 SQL["address_lines"] = f"""SELECT page_id, coalesce(array_to_string(list_transform(CASE WHEN len(items) > 0 THEN items END, lambda a: a || chr(10)), ''),
   chr(10) || chr(10)) AS lines

@@ -1,4 +1,4 @@
-"""The keyed store: parquet by batch, CSV for exchange."""
+"""The keyed store: parquet by batch and url hash, CSV for exchange."""
 
 from __future__ import annotations
 
@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexfit.operators.cleaning import new_rows
 from lexfit.schemas import STORE
+from lexfit.sources.keyed import BUCKETS, add_new_keys, keyed_table
 
 # A missing value is written as \N, so that it stays apart from an empty text.
 CSV_OPTIONS = {
@@ -88,23 +88,18 @@ def write_store(df: DataFrame, path: str) -> None:
     df.write.partitionBy("batch_no").parquet(path)
 
 
-def append_batch(spark: SparkSession, path: str, batch: DataFrame, batch_no: int) -> None:
-    """Add the new keys of one batch to the parquet store at ``path``.
+def append_batch(spark: SparkSession, path: str, batch: DataFrame, batch_no: int, buckets: int = BUCKETS) -> None:
+    """Add the new keys of one batch to the store at ``path``, which is laid out by a hash of the url.
 
     The batch has its own folder, which is replaced as a whole: running the same batch
     again, after a lost driver or a replay, gives the same store. Only earlier batches
-    are looked at for known keys, and only their url column is read.
+    are looked at for known keys, bucket by bucket, and only their url column is read.
     """
-    fields = [f for f in batch.schema.fields if f.name != "batch_no"]
-    numbered = batch.withColumn("batch_no", F.lit(batch_no).cast("bigint"))
-    earlier = _earlier(spark, path, batch_no)
-    fresh = new_rows(numbered, earlier) if earlier is not None else new_rows(numbered, numbered.limit(0))
-    fresh.select(*[f.name for f in fields]).write.mode("overwrite").parquet(f"{path}/batch_no={batch_no}")
-
-
-def _earlier(spark: SparkSession, path: str, batch_no: int) -> DataFrame | None:
-    schema = T.StructType([T.StructField("url", T.StringType()), T.StructField("batch_no", T.LongType())])
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return None
-    return spark.read.schema(schema).parquet(path).where(F.col("batch_no") < batch_no)
+    schema = T.StructType([f for f in batch.schema.fields if f.name != "batch_no"])
+    name = keyed_table(spark, path, schema, buckets=buckets)
+    add_new_keys(spark, name, batch.drop("batch_no"), batch_no, buckets=buckets)
+
+
+def read_keyed_store(spark: SparkSession, path: str, schema: T.StructType, buckets: int = BUCKETS) -> DataFrame:
+    """The store at ``path`` as Spark knows it: joins and aggregates on url need no exchange of it."""
+    return spark.table(keyed_table(spark, path, schema, buckets=buckets))
