@@ -2,66 +2,79 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexfit.functions.text import char_trigrams
-from lexfit.operators.joins import frequent, is_small, spread_left_join
 from lexfit.session import stage
 
-MODEL_CELLS = 4_000_000  # most trigrams x languages a broadcast model may have
+#: Logarithms are kept as whole numbers of this fraction, so that their sums are exact in any order.
+UNIT = 10**9
+
+
+def _units(value: Column) -> Column:
+    return F.round(F.log(value) * UNIT).cast("bigint")
 
 
 def language_model(labelled: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """One row per trigram, one column per language: its log probability there.
+    """The model as a long table ``(gram, lang, log)``, of any number of trigrams and languages.
 
-    That is ln((count + 1) / (total + distinct trigrams)). The texts are read once; each
-    task counts its own trigrams before the shuffle, and the counts are staged.
+    A trigram's probability in a language is (count + 1) / (total + distinct trigrams). A row
+    with a trigram holds the logarithm of its count + 1; what all trigrams of a language share,
+    counted or not, is its row without a trigram: minus the logarithm of the denominator.
+    The texts are read once, and each task counts its own trigrams before the shuffle.
     """
     grams = labelled.where(F.col(lang).isNotNull()).select(
         F.col(lang).alias("lang"), F.explode_outer(char_trigrams(F.col(text))).alias("gram")
     )
     grams = grams.where("gram is not null")
     counts = stage(grams.groupBy("lang", "gram").agg(F.count("*").alias("n")), "grams")
-    # One total per language becomes a column of the model.
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy("lang").collect()
-    by_gram = stage(
-        counts.groupBy("gram").pivot("lang", [r["lang"] for r in totals]).agg(F.sum("n")), "model"
+    distinct = counts.select("gram").distinct().agg(F.count("*")).scalar()
+    base = counts.groupBy("lang").agg((-_units(F.sum("n") + distinct)).alias("log"))
+    seen = counts.select("gram", "lang", _units(F.col("n") + 1).alias("log"))
+    return stage(seen.unionByName(base.withColumn("gram", F.lit(None).cast("string"))), "model")
+
+
+def text_grams(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``(key, gram, n)``: the trigrams of each text, counted inside its row."""
+    ordered = F.sort_array(char_trigrams(F.col(text)))
+    df = df.select(key, ordered.alias("_grams"))
+    s, n = F.col("_grams"), F.size("_grams")
+    indexes = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    df = df.withColumn("_starts", F.filter(indexes, lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1))))
+    p = F.col("_starts")
+    counts = F.transform(
+        p, lambda i, k: F.struct(F.get(s, i).alias("gram"), (F.coalesce(F.get(p, k + 1), n) - i).cast("bigint").alias("n"))
     )
-    distinct = by_gram.count()
-    logs = [
-        F.log((F.coalesce(F.col(f"`{r['lang']}`"), F.lit(0)) + 1) / F.lit(r["n"] + distinct)).alias(r["lang"])
-        for r in totals
-    ]
-    return by_gram.select("gram", *logs)
+    return df.select(key, F.inline_outer(counts))
 
 
-def detect_language(
-    df: DataFrame, key: str, model: DataFrame, text: str = "text", max_cells: int = MODEL_CELLS
-) -> DataFrame:
+def detect_language(df: DataFrame, key: str, model: DataFrame, text: str = "text") -> DataFrame:
     """``(key, detected)``: the language with the highest sum of log probabilities over
     the text's trigrams; null for a text without a known trigram. Ties go to the name
-    that sorts first.
+    that sorts first. ``key`` is unique.
 
-    Trigrams are looked up where the text is, and summed per text before anything is
-    shuffled. A model too large to broadcast is joined by shuffle, on trigrams already
-    counted per text.
+    The trigrams of a text are counted inside its row. They meet the model, one row per trigram,
+    in a join that the planner does by broadcast or shuffle as the model's bytes allow; the
+    sums are of whole numbers, so the result is the same.
     """
-    languages = [c for c in model.columns if c != "gram"]
-    grams = df.select(key, F.explode_outer(char_trigrams(F.col(text))).alias("gram"))
-    if is_small(model, max_cells // max(len(languages), 1)):
-        scored = grams.join(F.broadcast(model), "gram", "left").withColumn("n", F.lit(1))
-    else:
-        counted = stage(grams.groupBy(key, "gram").agg(F.count("*").alias("n")), "text-grams")
-        scored = spread_left_join(counted, model, ["gram"], hot=frequent_rows(counted, model))
-    sums = scored.groupBy(key).agg(*[F.sum(F.col(f"`{c}`") * F.col("n")).alias(c) for c in languages])
-    costs = [
-        F.when(F.col(f"`{c}`").isNotNull(), F.struct((-F.col(f"`{c}`")).alias("cost"), F.lit(c).alias("lang")))
-        for c in languages
-    ]
-    return sums.select(key, F.array_min(F.array(*costs))["lang"].alias("detected"))
-
-
-def frequent_rows(counted: DataFrame, model: DataFrame) -> DataFrame:
-    """Model rows of the trigrams that more than a thousandth of all rows hold."""
-    return model.join(F.broadcast(frequent(counted, ["gram"])), "gram", "left_semi")
+    grams = text_grams(df, key, text)
+    logs = F.collect_list(F.struct("lang", "log")).alias("logs")
+    by_gram = model.where("gram is not null").groupBy("gram").agg(logs)
+    base = model.where("gram is null").select("lang", F.col("log").alias("base"))
+    met = grams.join(by_gram, "gram", "left")
+    # a row without a language counts the trigrams that the model knows
+    known = F.array(F.struct(F.lit(None).cast("string").alias("lang"), F.lit(1).cast("bigint").alias("log")))
+    found = met.select(key, "n", F.inline_outer(F.when(F.col("logs").isNotNull(), F.concat(known, "logs"))))
+    sums = found.groupBy(key, "lang").agg(F.sum(F.col("n") * F.col("log")).alias("log"))
+    total = F.sum(F.when(F.col("lang").isNull(), F.col("log")))
+    by_key = sums.groupBy(key).agg(total.alias("_known"), F.collect_list(F.when(F.col("lang").isNotNull(), F.struct("lang", "log"))).alias("_sums"))
+    bases = base.agg(F.array_sort(F.collect_list(F.struct("lang", "base")))).scalar()  # a row per language
+    by_key = by_key.withColumn("_bases", bases)
+
+    def score(b: Column) -> Column:
+        own = F.filter("_sums", lambda s: s["lang"] == b["lang"])
+        return F.coalesce(F.get(own, F.lit(0))["log"], F.lit(0)) + F.col("_known") * b["base"]
+
+    costs = F.transform("_bases", lambda b: F.struct((-score(b)).alias("cost"), b["lang"].alias("lang")))
+    return by_key.select(key, F.when(F.col("_known") > 0, F.array_min(costs)["lang"]).alias("detected"))

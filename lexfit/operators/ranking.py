@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -40,8 +42,20 @@ def rank_table(counts: DataFrame, groups: list[str], code: str = "_code") -> Dat
     return joined.select(*groups, code, "n", (first + (F.col("n") + 1) / 2).alias("rank"))
 
 
+def score_histogram(df: DataFrame, groups: list[str], score: str) -> DataFrame:
+    """``(groups, _code, n)``: how many rows have each score. Kept for each batch, histograms add up to that of all rows."""
+    coded = df.select(*groups, F.round(F.col(score) * SCALE).cast("bigint").alias("_code"))
+    return coded.where("_code is not null").groupBy(*groups, "_code").agg(F.count("*").alias("n"))
+
+
+def merge_histograms(histograms: list[DataFrame], groups: list[str]) -> DataFrame:
+    """One histogram of the rows of several; with ``n`` negated, rows that are gone are taken off."""
+    every = reduce(DataFrame.unionByName, histograms)
+    return every.groupBy(*groups, "_code").agg(F.sum("n").alias("n")).where("n > 0")
+
+
 def rank_average(
-    df: DataFrame, groups: list[str], score: str, row_key: list[str], name: str = "rank"
+    df: DataFrame, groups: list[str], score: str, row_key: list[str], name: str = "rank", histogram: DataFrame | None = None
 ) -> DataFrame:
     """Add the descending rank of ``score`` within ``groups``; ties get their mean rank,
     missing scores stay missing.
@@ -50,10 +64,12 @@ def rank_average(
     a scan, not a long plan. Equal scores collapse before anything else; what is left is
     staged. Scores that own more than one row in a thousand of their group (zero, as a
     rule) are looked up by broadcast; there are at most a thousand of them per group.
+    ``histogram`` may be that of more rows, of which ``df`` are some: then ranks are among
+    all of those, whose scores are not read again.
     """
-    coded = df.withColumn("_code", F.round(F.col(score) * SCALE).cast("bigint"))
-    counts = coded.where("_code is not null").groupBy(*groups, "_code").agg(F.count("*").alias("n"))
+    counts = score_histogram(df, groups, score) if histogram is None else histogram
     ranks = stage(rank_table(stage(counts, "counts"), groups), "ranks")
+    coded = df.withColumn("_code", F.round(F.col(score) * SCALE).cast("bigint"))
     totals = ranks.groupBy(*groups).agg(F.sum("n").alias("_total"))
     hot = ranks.join(F.broadcast(totals), groups).where(F.col("n") * HOT_SHARE > F.col("_total"))
     columns = [*groups, "_code", F.col("rank").alias(name)]

@@ -60,29 +60,39 @@ def _list(section: str, number: int, extra: dict | None) -> list[str]:
     return fx.SECTION_KEYWORDS[section, number] + list((extra or {}).get((section, number), []))
 
 
-def section_tasks(parts: Column, extra: dict | None = None) -> Column:
-    """'Expects' phrases count in the first two cells only."""
+def scan_cells(parts: Column, *record: Column) -> Column:
+    """The cells that a lookup walks through: fields of the record, one cell each, then its parts.
+
+    Hand the number of fields to the lookups, whose positions count from the first part. A
+    field that is missing is a cell that is passed over.
+    """
+    return F.concat(F.array(*[c.cast("string") for c in record]), parts) if record else parts
+
+
+def section_tasks(cells: Column, extra: dict | None = None, fields: int = 0) -> Column:
+    """'Expects' phrases count in the first two parts only."""
     expects = _list("tasks", 2, extra)
-    return section_lookup(parts, _list("tasks", 1, extra), guarded={0: expects, 1: expects})
+    return section_lookup(cells, _list("tasks", 1, extra), guarded={fields: expects, fields + 1: expects})
 
 
-def section_profile(parts: Column, extra: dict | None = None) -> Column:
-    return section_lookup(parts, _list("profile", 1, extra))
+def section_profile(cells: Column, extra: dict | None = None, fields: int = 0) -> Column:
+    """The walk is the same with and without record fields; ``fields`` is there for symmetry."""
+    return section_lookup(cells, _list("profile", 1, extra))
 
 
-def section_benefits(parts: Column, extra: dict | None = None) -> Column:
-    """No ad opens with its benefits: the walk starts at cell 2; 'expects' phrases
-    count in cell 6 only, the stock heading only if the next cell speaks of benefits.
+def section_benefits(cells: Column, extra: dict | None = None, fields: int = 0) -> Column:
+    """No ad opens with its benefits: the walk starts at part 2; 'expects' phrases
+    count in part 6 only, the stock heading only if the next cell speaks of benefits.
     """
     return section_lookup(
-        parts,
+        cells,
         _list("benefits", 1, extra),
-        start=1,
-        guarded={5: _list("benefits", 2, extra)},
+        start=fields + 1,
+        guarded={fields + 5: _list("benefits", 2, extra)},
         peek_keywords=_list("benefits", 3, extra),
     )
 
 
-def section_contact(parts: Column, extra: dict | None = None) -> Column:
-    """Starts at cell 6 and leaves the value missing if there is no heading."""
-    return section_lookup(parts, _list("contact", 1, extra), start=5, sentinel=None)
+def section_contact(cells: Column, extra: dict | None = None, fields: int = 0) -> Column:
+    """Starts at part 6 and leaves the value missing if there is no heading."""
+    return section_lookup(cells, _list("contact", 1, extra), start=fields + 5, sentinel=None)

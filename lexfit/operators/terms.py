@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from lexfit.functions.stemming import cistem, snowball_german
 from lexfit.functions.text import clean_text, first_word, remove_stopwords
-from lexfit.operators.joins import BROADCAST_ROWS, frequent, is_small, spread_left_join
-from lexfit.session import stage
+from lexfit.operators.joins import value_filter
 
 
 def stem_text(text: Column) -> Column:
@@ -16,61 +15,57 @@ def stem_text(text: Column) -> Column:
     return cistem(snowball_german(text))
 
 
-def _by_dictionary(
-    df: DataFrame,
-    key: str,
-    text: str,
-    dictionary: DataFrame,
-    max_broadcast_rows: int,
-) -> DataFrame:
+def _by_dictionary(df: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataFrame:
     """``(key, words)``: the tokens of each text in order, each with its ``value`` from
-    ``dictionary(token, value)`` and whether it was found.
+    ``dictionary(token, value)`` and whether it was found. ``key`` is unique.
 
-    Small dictionary: the texts are placed by key once, as texts, then exploded, looked
-    up by broadcast and regrouped where they are; the exploded tokens never move. Large
-    dictionary: tokens that own more than a thousandth of all occurrences are looked up
-    by broadcast, the others by a shuffled join.
+    A text stays one row. Beside it go only those of its distinct tokens that the dictionary
+    may hold, each once with all its places; the values are put back by place. A dictionary
+    entry that comes several times counts with its least value. The planner joins by
+    broadcast or shuffle as the dictionary's bytes allow.
     """
-    entries = dictionary.select("token", "value", F.lit(True).alias("listed"))
-    small = is_small(dictionary, max_broadcast_rows)
-    texts = df.select(key, text)
-    if small:
-        texts = texts.repartition(key)
-    tokens = texts.select(key, F.posexplode_outer(F.split(text, " ")).alias("pos", "token"))
-    if small:
-        found = tokens.join(F.broadcast(entries), "token", "left")
-    else:
-        tokens = stage(tokens, "tokens")
-        hot = entries.join(F.broadcast(frequent(tokens, ["token"])), "token", "left_semi")
-        found = spread_left_join(tokens, entries, ["token"], hot=hot)
-    words = F.sort_array(F.collect_list(F.struct("pos", "token", "value", "listed")))
-    return found.groupBy(key).agg(words.alias("words"))
-
-
-def lemmatize(
-    df: DataFrame,
-    key: str,
-    text: str,
-    lemmas: DataFrame,
-    max_broadcast_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
-    """``(key, text)`` with each token replaced by its entry in ``lemmas(token, lemma)``."""
+    entries = dictionary.where("token is not null").groupBy("token").agg(F.min("value").alias("value"), F.lit(True).alias("listed"))
+    place = F.transform(F.split(text, " "), lambda w, i: F.struct(w.alias("token"), i.alias("pos")))
+    df = df.select(key, F.col(text).alias("_text"), F.sort_array(place).alias("_sorted"))
+    s, n = F.col("_sorted"), F.size("_sorted")
+    indexes = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    df = df.withColumn("_starts", F.filter(indexes, lambda i: (i == 0) | (F.get(s, i)["token"] != F.get(s, i - 1)["token"])))
+    p = F.col("_starts")
+
+    def own(i: Column, k: Column) -> Column:
+        places = F.transform(F.slice(s, i + 1, F.coalesce(F.get(p, k + 1), n) - i), lambda x: x["pos"])
+        return F.struct(F.lit(False).alias("whole"), F.get(s, i)["token"].alias("token"), places.alias("places"), F.lit(None).cast("string").alias("text"))
+
+    # the text's own row has a token that is no word and differs between texts
+    alone = F.concat(F.lit("\0 "), F.xxhash64(key).cast("string"))
+    none = F.array().cast("array<int>")
+    whole = F.array(F.struct(F.lit(True).alias("whole"), alone.alias("token"), none.alias("places"), F.col("_text").alias("text")))
+    long = df.select(key, F.inline_outer(F.concat(whole, F.coalesce(F.transform(p, own), F.array().cast("array<struct<whole:boolean,token:string,places:array<int>,text:string>>")))))
+    long = long.where(F.col("whole") | value_filter(entries, "token")(F.col("token")))
+    found = long.join(entries, "token", "left").where(F.col("whole") | F.col("listed"))
+    values = F.transform("places", lambda i: F.struct(i.alias("pos"), F.lit(0).alias("rank"), F.col("token").alias("token"), F.col("value").alias("value"), F.lit(True).alias("listed")))
+    grouped = found.groupBy(key).agg(F.first("text", ignorenulls=True).alias("_text"), F.flatten(F.collect_list(F.when(~F.col("whole"), values))).alias("_values"))
+    missing, unlisted = F.lit(None).cast("string").alias("value"), F.lit(None).cast("boolean").alias("listed")
+    words = F.transform(F.split("_text", " "), lambda w, i: F.struct(i.alias("pos"), F.lit(1).alias("rank"), w.alias("token"), missing, unlisted))
+    merged = F.sort_array(F.concat(words, "_values"))
+    grouped = grouped.select(key, merged.alias("_merged"))
+    m = F.col("_merged")
+    # of the two entries of a place the one from the dictionary comes first
+    return grouped.select(key, F.filter(m, lambda w, i: (i == 0) | (F.get(m, i - 1)["pos"] != w["pos"])).alias("words"))
+
+
+def lemmatize(df: DataFrame, key: str, text: str, lemmas: DataFrame) -> DataFrame:
+    """``(key, text)`` with each token replaced by its entry in ``lemmas(token, lemma)``; null stays null."""
     dictionary = lemmas.select("token", F.col("lemma").alias("value"))
-    grouped = _by_dictionary(df, key, text, dictionary, max_broadcast_rows)
+    grouped = _by_dictionary(df, key, text, dictionary)
     words = F.transform("words", lambda w: F.coalesce(w["value"], w["token"]))
     return grouped.select(key, F.array_join(words, " ").alias(text))
 
 
-def drop_listed_tokens(
-    df: DataFrame,
-    key: str,
-    text: str,
-    words: DataFrame,
-    max_broadcast_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
+def drop_listed_tokens(df: DataFrame, key: str, text: str, words: DataFrame) -> DataFrame:
     """``(key, text)`` without the tokens of ``words(token)``, a stop list kept as a table."""
-    dictionary = words.select("token", F.lit(None).cast("string").alias("value")).distinct()
-    grouped = _by_dictionary(df, key, text, dictionary, max_broadcast_rows)
+    dictionary = words.select("token", F.lit(None).cast("string").alias("value"))
+    grouped = _by_dictionary(df, key, text, dictionary)
     kept = F.transform(F.filter("words", lambda w: w["listed"].isNull()), lambda w: w["token"])
     return grouped.select(key, F.array_join(kept, " ").alias(text))
 

@@ -389,6 +389,13 @@ def language_detect(spark: SparkSession, d: str) -> DataFrame:
     return language.detect_language(docs, "doc_id", language.language_model(docs))
 
 
+@query
+def language_of_turns(spark: SparkSession, d: str) -> DataFrame:
+    """The languages of conversation turns by a model fitted on documents."""
+    turns = table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("key"), "text")
+    return language.detect_language(turns, "key", language.language_model(_docs(spark, d)))
+
+
 @query
 def extract_emails(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", T.extract_emails(F.col("text")).alias("emails"))
@@ -408,6 +415,22 @@ for _name in ("tasks", "profile", "benefits", "contact"):
     QUERIES[f"section_{_name}"] = _section(_name)
 
 
+def _section_of_record(name: str) -> Query:
+    lookup = getattr(sections, f"section_{name}")
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        records = _doc_records(spark, d).join(_docs(spark, d).select(F.col("doc_id").alias("pos"), "lang"), "pos")
+        fields = [R.job_id(F.col("url")), F.col("url"), F.col("title"), F.col("company"), F.col("lang")]
+        cells = sections.scan_cells(F.col("parts"), *fields)
+        return records.select(F.col("pos").alias("doc_id"), lookup(cells, EXTRA_KEYWORDS, len(fields)).alias("section"))
+
+    return run
+
+
+for _name in ("tasks", "profile", "benefits", "contact"):
+    QUERIES[f"section_{_name}_record"] = _section_of_record(_name)
+
+
 # --- text normalisation -----------------------------------------------------------------
 @query
 def clean_text(spark: SparkSession, d: str) -> DataFrame:
@@ -518,6 +541,25 @@ def rank_average(spark: SparkSession, d: str) -> DataFrame:
     return ranked.select("doc_id", "section", "rank")
 
 
+@query
+def rank_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Ranks after a second batch: documents first, turns of conversations later. Of the documents only the
+    stored scores and their histogram are read again."""
+    profiles = scoring.term_profiles(_query_terms(spark))
+    turns = table(spark, d, "conversations").select(
+        F.concat_ws("-", F.lit("turn"), "conv_id", "turn").alias("url"), cleaning.token_text(F.col("text")).alias("text")
+    )
+    docs = _doc_texts(spark, d).select(F.concat(F.lit("doc-"), "doc_id").alias("url"), "text")
+    scores, histograms = [], []
+    for batch in (docs, turns):
+        features = scoring.score_features(batch, ["url"], profiles, sections=["tasks", "profile"], vectors=False)
+        scores.append(stage(scoring.jaccard(features).select("url", "section", "jaccard"), "batch-scores"))
+        histograms.append(stage(ranking.score_histogram(scores[-1], ["section"], "jaccard"), "batch-histogram"))
+    merged = ranking.merge_histograms(histograms, ["section"])
+    ranked = ranking.rank_average(S.union_batches(*scores), ["section"], "jaccard", ["url"], histogram=merged)
+    return ranked.select("url", "section", "rank")
+
+
 @query
 def rank_difference(spark: SparkSession, d: str) -> DataFrame:
     return report.rank_sections(_scores(spark, d), "doc_id")

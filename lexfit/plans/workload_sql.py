@@ -340,20 +340,34 @@ scores AS (SELECT doc_id, model.lang, sum(log * n) AS score
   FROM (SELECT doc_id, gram, count(*) AS n FROM grams GROUP BY ALL) JOIN model USING (gram) GROUP BY ALL)
 SELECT doc_id, (SELECT lang FROM scores s WHERE s.doc_id = d.doc_id ORDER BY score DESC, lang LIMIT 1) AS detected
 FROM documents d"""
+SQL["language_of_turns"] = """
+WITH grams AS (SELECT lang, substr(text, i::BIGINT, 3) AS gram
+  FROM (SELECT lang, text, unnest(range(1, length(text) - 1)) AS i FROM documents)),
+counts AS (SELECT lang, gram, count(*) AS n FROM grams GROUP BY ALL),
+sizes AS (SELECT lang, sum(n) + (SELECT count(DISTINCT gram) FROM counts) AS size FROM counts GROUP BY lang),
+model AS (SELECT g.gram, s.lang, round(ln(coalesce(n, 0) + 1) * 1e9)::BIGINT - round(ln(size) * 1e9)::BIGINT AS log
+  FROM (SELECT DISTINCT gram FROM counts) g CROSS JOIN sizes s
+  LEFT JOIN counts c ON c.gram = g.gram AND c.lang = s.lang),
+turns AS (SELECT conv_id || '-' || turn AS key, text FROM conversations),
+turn_grams AS (SELECT key, substr(text, i::BIGINT, 3) AS gram
+  FROM (SELECT key, text, unnest(range(1, length(text) - 1)) AS i FROM turns)),
+scores AS (SELECT key, model.lang, sum(log * n) AS score
+  FROM (SELECT key, gram, count(*) AS n FROM turn_grams GROUP BY ALL) JOIN model USING (gram) GROUP BY ALL)
+SELECT key, (SELECT lang FROM scores s WHERE s.key = t.key ORDER BY score DESC, lang LIMIT 1) AS detected FROM turns t"""
 EMAILS = rf"array_to_string(regexp_extract_all(text, '\b{fx.EMAIL_PATTERN}\b'), ',')"
 SQL["extract_emails"] = f"SELECT doc_id, {EMAILS} AS emails FROM documents"
 
 
 # --- section lookup ---------------------------------------------------------------------
-def section(name: str, items: str = "p") -> str:
-    """The cell after the first heading cell, by position i of the heading (1-based)."""
+def section(name: str, items: str = "p", fields: int = 0) -> str:
+    """The cell after the first heading cell, by position i of the heading (1-based), after ``fields`` cells of the record."""
     lists = {n: keyword(words + w.EXTRA_KEYWORDS.get((s, n), [])) for (s, n), words in fx.SECTION_KEYWORDS.items() if s == name}
-    start = {"benefits": 2, "contact": 6}.get(name, 1)
+    start = {"benefits": fields + 2, "contact": fields + 6}.get(name, 1)
     hit = f"regexp_matches({items}[i], {q(lists[1])})"
     if name == "tasks":
-        hit += f" OR (i <= 2 AND regexp_matches({items}[i], {q(lists[2])}))"
+        hit += f" OR (i IN ({fields + 1}, {fields + 2}) AND regexp_matches({items}[i], {q(lists[2])}))"
     if name == "benefits":
-        hit += f" OR (i = 6 AND regexp_matches({items}[i], {q(lists[2])}))"
+        hit += f" OR (i = {fields + 6} AND regexp_matches({items}[i], {q(lists[2])}))"
         hit += f" OR (regexp_matches({items}[i], {q(lists[3])}) AND coalesce(regexp_matches(left({items}[i + 1], 50), {q(lists[1])}), false))"
     cells = f"list_filter(range({start}, len({items}) + 1), lambda i: length({items}[i]) < 100)"
     found = f"list_filter({cells}, lambda i: {hit})"
@@ -365,6 +379,11 @@ for _name in ("tasks", "profile", "benefits", "contact"):
     SQL[f"section_{_name}"] = f"""SELECT doc_id, {section(_name)} AS section
 FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)"""
 
+for _name in ("tasks", "profile", "benefits", "contact"):
+    SQL[f"section_{_name}_record"] = f"""SELECT doc_id, {section(_name, fields=5)} AS section FROM (
+  SELECT doc_id, list_concat([substr(url, length(url) - 18, 7), url, t[1], source, lang], t) AS p
+  FROM (SELECT *, {DOC_URL} AS url, string_split(text, chr(10)) AS t FROM documents))"""
+
 # --- text normalisation ---------------------------------------------------------------------
 SQL["clean_text"] = f"SELECT doc_id, {clean('text')} AS text FROM documents"
 SQL["tokenize"] = exploded("doc_id", tokens(clean("text")), "token", "documents")
@@ -400,6 +419,12 @@ for _name in ("tasks", "profile"):
 SELECT id AS doc_id, CASE WHEN cosine <> 0 THEN coalesce(matched, '') END AS matched
 FROM scored LEFT JOIN matches USING (id, section) WHERE section = '{_name}'"""
 SQL["rank_average"] = f"{DOC_SCORES}, {RANKED} SELECT id AS doc_id, section, jaccard_rank AS rank FROM ranked"
+BATCHES = (
+    f"SELECT id, section, text FROM (SELECT 'doc-' || doc_id AS id, {token_text('text')} AS text FROM documents "
+    f"UNION ALL SELECT 'turn-' || conv_id || '-' || turn, {token_text('text')} FROM conversations) "
+    f"CROSS JOIN (VALUES ('tasks'), ('profile')) AS s(section)"
+)
+SQL["rank_batches"] = f"WITH {TERMS}, {scores(BATCHES)}, {RANKED} SELECT id AS url, section, jaccard_rank AS rank FROM ranked"
 SQL["rank_difference"] = f"""{DOC_SCORES}, {RANKED}
 SELECT id AS doc_id, section, cosine_rank, jaccard_rank, abs(cosine_rank - jaccard_rank) AS rank_diff FROM ranked"""
 SQL["rank_agreement"] = f"""{DOC_SCORES}, {RANKED}

@@ -84,3 +84,16 @@ def test_frequent_and_small(spark):
     df = spark.createDataFrame([("a",)] * 90 + [("b",)] * 9 + [("c",)], "k string")
     assert [r.k for r in frequent(df, ["k"], 10).collect()] == ["a"]
     assert is_small(df, 100) and not is_small(df, 99)
+
+
+def test_ranks_from_histograms_of_batches(spark):
+    """Histograms of two batches, and one of rows taken off, rank like a full run."""
+    rows = [("a" if i % 3 else "b", float(i % 7) / 7 if i % 11 else None, i) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, s double, id bigint")
+    first, second, gone = df.where("id < 120"), df.where("id >= 120"), df.where("id % 5 = 0")
+    histograms = [ranking.score_histogram(x, ["g"], "s") for x in (first, second, gone)]
+    histograms[2] = histograms[2].withColumn("n", -histograms[2]["n"])
+    merged = ranking.merge_histograms(histograms, ["g"])
+    left = df.where("id % 5 <> 0")
+    got = sorted(map(tuple, ranking.rank_average(left, ["g"], "s", ["id"], histogram=merged).collect()), key=str)
+    assert got == sorted(map(tuple, ranking.rank_average(left, ["g"], "s", ["id"]).collect()), key=str)

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -128,16 +129,36 @@ def test_prepare_terms(spark):
     assert got[2] == "prozess" and got[0] == "ms"
 
 
-@pytest.mark.parametrize("bound", [1000, 1])
-def test_dictionary_steps_on_both_join_paths(spark, corpus, bound):
+@pytest.mark.parametrize("threshold", ["10m", "-1"])
+def test_dictionary_steps_on_both_join_paths(spark, corpus, threshold):
+    long = " ".join(random.Random(5).choice(WORDS) for _ in range(5000))
+    corpus = [*corpus, long, " leading", "daten  daten ", None]
     texts = spark.createDataFrame(list(enumerate(corpus)), "id bigint, text string")
-    lemmas = spark.createDataFrame([("daten", "datum"), ("sql", "abfrage"), ("zzz", "y")], "token string, lemma string")
-    table = {"daten": "datum", "sql": "abfrage"}
-    got = {r.id: r.text for r in lemmatize(texts, "id", "text", lemmas, bound).collect()}
-    assert got == {i: " ".join(table.get(w, w) for w in t.split()) for i, t in enumerate(corpus)}
-    stop = spark.createDataFrame([("daten",), ("a",)], "token string")
-    got = {r.id: r.text for r in drop_listed_tokens(texts, "id", "text", stop, bound).collect()}
-    assert got == {i: " ".join(w for w in t.split() if w not in ("daten", "a")) for i, t in enumerate(corpus)}
+    pairs = [("daten", "datum"), ("sql", "abfrage"), ("zzz", "y"), ("büro", "amt"), ("büro", "kontor"), (None, "x"), ("team", None)]
+    lemmas = spark.createDataFrame(pairs, "token string, lemma string")
+    listed = {"daten": "datum", "sql": "abfrage", "büro": "amt"}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        done = lemmatize(texts, "id", "text", lemmas)
+        got = {r.id: r.text for r in done.collect()}
+        assert got == {i: None if t is None else " ".join(listed.get(w, w) for w in t.split(" ")) for i, t in enumerate(corpus)}
+        stop = spark.createDataFrame([("daten",), ("a",), ("a",)], "token string")
+        got = {r.id: r.text for r in drop_listed_tokens(texts, "id", "text", stop).collect()}
+        assert got == {i: None if t is None else " ".join(w for w in t.split(" ") if w not in ("daten", "a")) for i, t in enumerate(corpus)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    if threshold == "10m":
+        text = lemmatize(texts, "id", "text", lemmas)._jdf.queryExecution().executedPlan().toString().split("Subquery")[0]
+        assert len(re.findall(r"Exchange hashpartitioning\(id", text)) == 1
+
+
+def test_real_lemma_pairs(spark):
+    """Inflected German forms; a token that is no entry stays as it is."""
+    pairs = [("berichte", "bericht"), ("berichten", "bericht"), ("analysierte", "analysieren"), ("ging", "gehen"), ("häuser", "haus")]
+    lemmas = spark.createDataFrame(pairs, "token string, lemma string")
+    texts = spark.createDataFrame([(1, "er analysierte die berichte und ging"), (2, "häuser häuser berichten")], "id bigint, text string")
+    got = {r.id: r.text for r in lemmatize(texts, "id", "text", lemmas).collect()}
+    assert got == {1: "er analysieren die bericht und gehen", 2: "haus haus bericht"}
 
 
 def test_report_on_ads(spark):

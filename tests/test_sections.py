@@ -45,3 +45,20 @@ def test_benefits(spark):
 
 def test_contact(spark):
     check(spark, S.section_contact(F.col("parts")), lambda p: plain.section(p, K["contact", 1], 5, sentinel=None))
+
+
+def test_walk_through_record_fields(spark):
+    rows = [
+        ("1234567", "u", "Aufgaben und mehr", "Firma", ["Intro", "Text"], "Firma"),  # a heading among the fields
+        ("1", "u", "Titel", "Aufgaben", ["Text"], "Text"),  # the last field: the first part follows
+        ("1", None, "Titel", "Firma", ["erwartet dich", "Das"], "Das"),  # position of the first part
+        ("1", None, "erwartet dich", "Firma", ["x", "y"], "leer"),  # does not count among the fields
+    ]
+    df = spark.createDataFrame(rows, "job_id string, url string, title string, company string, parts array<string>, want string")
+    cells = S.scan_cells(F.col("parts"), *[F.col(c) for c in ("job_id", "url", "title", "company")])
+    for r in df.select("want", S.section_tasks(cells, fields=4).alias("got")).collect():
+        assert r.got == r.want
+    late = spark.createDataFrame([(["a", "b", "c", "d", "e", "Kontakt", "hier"],)], "parts array<string>")
+    cells = S.scan_cells(F.col("parts"), F.lit("Kontakt"))
+    assert late.select(S.section_contact(cells, fields=1).alias("got")).first().got == "hier"
+    assert late.select(S.section_contact(S.scan_cells(F.col("parts"))).alias("got")).first().got == "hier"

@@ -85,15 +85,28 @@ def brute_language(train, texts):
 
 
 def test_language_on_both_join_paths(spark):
-    train = [("de", "der hund und die katze"), ("en", "the dog and the cat"), ("de", "das ist gut"), ("en", "this is good")]
-    texts = ["die katze ist gut", "the cat is good", "xyz", "", "the der"]
+    train = [("de", "der hund und die katze"), ("en", "the dog and the cat"), ("de", "das ist gut"), ("en", "this is good"), (None, "quoi")]
+    texts = ["die katze ist gut", "the cat is good", "xyz", "", "the der", "quoi"]
     df = spark.createDataFrame(train, "lang string, text string")
-    model = language.language_model(df).cache()
+    model = language.language_model(df)
+    assert set(model.columns) == {"gram", "lang", "log"}
     docs = spark.createDataFrame(list(enumerate(texts)) + [(99, None)], "id bigint, text string")
-    for bound in (10_000, 1):
-        got = {r.id: r.detected for r in language.detect_language(docs, "id", model, max_cells=bound).collect()}
-        assert [got[i] for i in range(len(texts))] == brute_language(train, texts)
+    for threshold in ("10m", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        got = {r.id: r.detected for r in language.detect_language(docs, "id", model).collect()}
+        assert [got[i] for i in range(len(texts))] == brute_language([t for t in train if t[0]], texts)
         assert got[99] is None
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_language_of_rows_that_the_model_has_not_seen(spark):
+    """Fitted on some of the documents, right on nearly all of the others."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").where("length(text) > 200")
+    model = language.language_model(docs.where("doc_id % 4 <> 2"))
+    unseen = docs.where("doc_id % 4 = 2")
+    found = language.detect_language(unseen, "doc_id", model).join(unseen, "doc_id")
+    total, right = found.count(), found.where("detected = lang").count()
+    assert total > 100 and right >= 0.98 * total
 
 
 def test_language_text(spark):
