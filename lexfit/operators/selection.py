@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from lexfit import fixed_values as fx
 from lexfit.functions import records as R
 from lexfit.functions.text import strip
-from lexfit.operators.joins import is_small
+from lexfit.operators.joins import value_filter
+from lexfit.sources.manifest import committed_files, write_committed
 
 
 def eligible(
@@ -90,20 +91,28 @@ def mark_sent(df: DataFrame) -> DataFrame:
 def page_archive(selected: DataFrame, pages: DataFrame) -> DataFrame:
     """``(url, file_name, html)`` of the selected ads.
 
-    Only keys and names of the selection meet the pages; both sides are unique on url.
-    A small selection goes to the pages, so that no page has to be shuffled.
+    Only keys and names of the selection meet the pages; both sides are unique on url. Pages
+    that are surely not selected stay where they are; the planner brings the names to the
+    others by broadcast or shuffle as their bytes allow.
     """
-    name = R.safe_file_name(F.col("company"), F.col("title")).alias("file_name")
-    names = selected.select("url", name)
-    if is_small(names):
-        names = F.broadcast(names)
-    return pages.select("url", "html").join(names, "url").select("url", "file_name", "html")
+    names = selected.select("url", R.safe_file_name(F.col("company"), F.col("title")).alias("file_name"))
+    wanted = pages.select("url", "html").where(value_filter(names, "url")(F.col("url")))
+    return wanted.join(names, "url").select("url", "file_name", "html")
 
 
-def write_page_archive(archive: DataFrame, path: str, buckets: int = 256) -> None:
-    """Write the archive as a table split into ``buckets`` folders by url.
+def write_page_archive(archive: DataFrame, path: str, buckets: int = 256, number: int = 0) -> bool:
+    """Commits the archive as part ``number`` of the folder ``path``, in ``buckets`` folders by url.
 
-    One row per ad with its file name: a file per ad would flood any shared storage.
+    One row per ad with its file name: a file per ad would flood any shared storage. False if
+    that part is there already.
     """
     bucket = F.pmod(F.xxhash64("url"), F.lit(buckets)).alias("bucket")
-    archive.select("*", bucket).write.partitionBy("bucket").parquet(path)
+    rows = archive.select("*", bucket)
+    return write_committed(archive.sparkSession, path, lambda folder: rows.write.partitionBy("bucket").parquet(folder), number)
+
+
+def read_page_archive(spark: SparkSession, path: str, numbers: tuple[int, ...] = (0,)) -> DataFrame:
+    """What ``write_page_archive`` committed, whatever other attempts have left."""
+    files = committed_files(spark, path, list(numbers))
+    schema = "url string, file_name string, html string"
+    return spark.read.schema(schema).parquet(*files) if files else spark.createDataFrame([], schema)

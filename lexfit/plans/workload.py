@@ -196,9 +196,7 @@ def page_scan_all(spark: SparkSession, d: str) -> DataFrame:
     return page_scan(spark, d)
 
 
-@query
-def page_archive(spark: SparkSession, d: str) -> DataFrame:
-    landed = _pages(spark, d)
+def _archive(spark: SparkSession, landed: DataFrame) -> DataFrame:
     records = pages.page_records(
         landed, tags=["h1"], company_markers=COMPANY_MARKERS, title_markers=TITLE_MARKERS,
         address_pattern=ADDRESS_PATTERN,
@@ -210,6 +208,22 @@ def page_archive(spark: SparkSession, d: str) -> DataFrame:
     return selection.page_archive(selected, landed)
 
 
+@query
+def page_archive(spark: SparkSession, d: str) -> DataFrame:
+    return _archive(spark, _pages(spark, d))
+
+
+@query
+def page_archive_stored(spark: SparkSession, d: str) -> DataFrame:
+    """The archive as it is read back after an attempt that was not committed, and after one too many."""
+    path = scratch_path(spark, "archive")
+    archive = stage(_archive(spark, _pages(spark, d)), "archive")
+    archive.write.parquet(f"{path}/attempts/number=0-lost")
+    for _ in range(2):
+        selection.write_page_archive(archive, path, 8)
+    return selection.read_page_archive(spark, path)
+
+
 @query
 def store_overlap(spark: SparkSession, d: str) -> DataFrame:
     """A store fed by four batches whose keys overlap, one of them replayed: the first row of each key stays."""

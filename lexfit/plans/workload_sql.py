@@ -239,6 +239,7 @@ PAGE_TEXTS = f"SELECT page_id AS id, 'tasks' AS section, {token_text('array_to_s
 SQL["page_archive"] = f"""WITH {TERMS}, {scores(PAGE_TEXTS)}
 SELECT url, {file_name(PAGE_COMPANY, PAGE_TITLE)} AS file_name, html
 FROM pages JOIN scored ON page_id = id WHERE jaccard > 0.02"""
+SQL["page_archive_stored"] = SQL["page_archive"]
 SQL["store_overlap"] = """WITH rows AS (
   SELECT 'text-' || md5(text) AS url, length(text) AS n_chars, conv_id * 1000 + turn AS pos, 0 AS batch_no FROM conversations
   UNION ALL SELECT 'text-' || md5(text), length(text), doc_id, 1 FROM documents

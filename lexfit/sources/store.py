@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexfit.schemas import STORE
 from lexfit.sources.keyed import BUCKETS, add_new_keys, keyed_table
+from lexfit.sources.manifest import committed_files, write_committed
 
-# A missing value is written as \N, so that it stays apart from an empty text.
+# A missing value is written as \N, so that it stays apart from an empty text. Line ends inside
+# of fields are escaped, so a record is a line and a file can be read in ranges.
 CSV_OPTIONS = {
-    "header": True, "encoding": "UTF-8", "multiLine": True, "quote": '"', "escape": '"',
-    "lineSep": "\n", "nullValue": "\\N",
+    "header": True, "encoding": "UTF-8", "multiLine": False, "quote": '"', "escape": '"',
+    "lineSep": "\n", "nullValue": "\\N", "maxCharsPerColumn": -1,
     "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
 }
 
@@ -54,12 +56,27 @@ def read_store(spark: SparkSession, path: str, schema: T.StructType = STORE) ->
     return spark.read.schema(schema).parquet(path)
 
 
-def read_csv_store(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A CSV copy of a store; array columns are held as JSON text."""
-    flat = T.StructType(
-        [T.StructField(f.name, T.StringType() if _nested(f.dataType) else f.dataType) for f in schema.fields]
-    )
-    df = spark.read.schema(flat).options(**CSV_OPTIONS).csv(path)
+def escaped(text: Column) -> Column:
+    """The text on one line: backslashes doubled, line ends as backslash and letter."""
+    for mark, letter in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r")):
+        text = F.replace(text, F.lit(mark), F.lit(letter))
+    return text
+
+
+def unescaped(text: Column) -> Column:
+    def plain(piece: Column) -> Column:
+        return F.replace(F.replace(piece, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r"))
+
+    return F.array_join(F.transform(F.split(text, r"\\\\"), plain), "\\")
+
+
+def read_csv_store(spark: SparkSession, path: str, schema: T.StructType, numbers: tuple[int, ...] = (0,)) -> DataFrame:
+    """What ``write_csv_store`` committed; array columns are held as JSON text. Files are read in ranges."""
+    text = [f.name for f in schema.fields if _nested(f.dataType) or isinstance(f.dataType, T.StringType)]
+    flat = T.StructType([T.StructField(f.name, T.StringType() if f.name in text else f.dataType) for f in schema.fields])
+    files = committed_files(spark, path, list(numbers))
+    df = spark.read.schema(flat).options(**CSV_OPTIONS).csv(files) if files else spark.createDataFrame([], flat)
+    df = df.select(*[unescaped(F.col(f.name)).alias(f.name) if f.name in text else F.col(f.name) for f in flat.fields])
     return df.select(
         *[
             F.from_json(f.name, f.dataType).alias(f.name) if _nested(f.dataType) else F.col(f.name)
@@ -68,15 +85,15 @@ def read_csv_store(spark: SparkSession, path: str, schema: T.StructType) -> Data
     )
 
 
-def write_csv_store(df: DataFrame, path: str) -> None:
-    """A CSV copy at a new path; never over the path that is being read."""
-    flat = df.select(
-        *[
-            F.to_json(f.name).alias(f.name) if _nested(f.dataType) else F.col(f.name)
-            for f in df.schema.fields
-        ]
-    )
-    flat.write.options(**CSV_OPTIONS).csv(path)
+def write_csv_store(df: DataFrame, path: str, number: int = 0) -> bool:
+    """Commits a CSV copy as part ``number`` of the folder ``path``; False if that part is there already."""
+    columns = []
+    for f in df.schema.fields:
+        nested = _nested(f.dataType)
+        value = F.to_json(f.name) if nested else F.col(f.name)
+        columns.append((escaped(value) if nested or isinstance(f.dataType, T.StringType) else value).alias(f.name))
+    flat = df.select(*columns)
+    return write_committed(df.sparkSession, path, lambda folder: flat.write.options(**CSV_OPTIONS).csv(folder), number)
 
 
 def _nested(kind: T.DataType) -> bool:

@@ -1,9 +1,11 @@
 import itertools
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexfit.operators import cleaning, pages, selection
 from lexfit.schemas import RECORD, STORE
+from lexfit.sources import manifest
 from lexfit.sources import store as S
 from lexfit.streaming.incremental import follow_pages
 
@@ -59,6 +61,43 @@ def test_csv_round_trip(spark, tmp_path):
     assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
 
 
+def test_one_file_is_read_by_several_tasks(spark, tmp_path):
+    rows = [(f"u{i}", "a\nb\r\n\\n\\ \\N" + "x" * 200, '"', ["\n", "\\", None], [str(i)], 0, i) for i in range(2000)] + [("n", "\\N", None, None, [], 0, -1)]
+    df = spark.createDataFrame(rows, RECORD)
+    path = str(tmp_path / "csv")
+    assert S.write_csv_store(df.coalesce(1), path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        back = S.read_csv_store(spark, path, RECORD)
+        assert back.rdd.getNumPartitions() > 4
+        assert sorted(map(tuple, back.collect()), key=str) == sorted(rows, key=str)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_only_committed_parts_are_read(spark, tmp_path):
+    path = str(tmp_path / "csv")
+    one, two = (S.conform(spark.createDataFrame([(u, 0)], "url string, pos bigint"), RECORD) for u in ("u1", "u2"))
+    assert S.write_csv_store(one, path) and not S.write_csv_store(two, path)
+
+    def broken(folder):
+        two.write.parquet(folder)
+        raise OSError("executor lost")
+
+    with pytest.raises(OSError):
+        manifest.write_committed(spark, path, broken, 1)
+    with pytest.raises(FileNotFoundError):
+        S.read_csv_store(spark, path, RECORD, (0, 1))
+    assert [r.url for r in S.read_csv_store(spark, path, RECORD).collect()] == ["u1"]
+    S.write_csv_store(two, path, 1)
+    assert sorted(r.url for r in S.read_csv_store(spark, path, RECORD, (0, 1)).collect()) == ["u1", "u2"]
+    file = manifest.committed_files(spark, path, [0])[0].removeprefix("file:")
+    with open(file, "a") as f:
+        f.write("more")
+    with pytest.raises(OSError):
+        S.read_csv_store(spark, path, RECORD)
+
+
 def test_parquet_store(spark, tmp_path):
     df = S.conform(spark.createDataFrame([("u1", 0, 1), ("u2", 1, 1)], "url string, batch_no bigint, pos bigint"))
     S.write_store(df, str(tmp_path / "s"))
@@ -119,8 +158,11 @@ def test_archive_files(spark, tmp_path):
     landed = spark.createDataFrame([(1, "u1", "<p>1"), (2, "u2", "<p>2")], "page_id bigint, url string, html string")
     chosen = spark.createDataFrame([("u2", "A/B", "T:1")], "url string, company string, title string")
     archive = selection.page_archive(chosen, landed)
-    selection.write_page_archive(archive, str(tmp_path / "archive"), 4)
-    assert [(r.url, r.file_name, r.html) for r in spark.read.parquet(str(tmp_path / "archive")).collect()] == [("u2", "A_B_T_1", "<p>2")]
+    path = str(tmp_path / "archive")
+    assert selection.write_page_archive(archive, path, 4) and not selection.write_page_archive(archive, path, 4)
+    assert list(map(tuple, selection.read_page_archive(spark, path).collect())) == [("u2", "A_B_T_1", "<p>2")]
+    selection.write_page_archive(archive.limit(0), path, 4, number=1)
+    assert selection.read_page_archive(spark, path, (0, 1)).count() == 1
 
 
 def test_blocklist_keeps_rows_without_title(spark):
