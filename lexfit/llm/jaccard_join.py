@@ -11,9 +11,14 @@ it touches. A pair is verified if it shares as many prefix shingles as the small
 Documents with equal sets are one class, so copies are never paired. Classes are linked
 in two steps: first each with the class of its lists that has the most entries in lists,
 and with the lowest, which ties groups of near copies together without pairing their
-members (the least edited copy shares most with the others); then every pair of classes
-of different components that a list holds. A list inside one component is left out, so
-no group is expanded into all its pairs, and no link between components is lost.
+members (the least edited copy shares most with the others); then classes of different
+components that a list holds. A list inside one component is left out.
+
+In the second step no pair of a list is made before it is known to be possible. Each set has
+a bitmap of its hashes, about two bits a hash. Where two bitmaps differ, the sets do, so two sets
+that differ in more bits than links may differ in shingles are no link, for sure. The
+entries of a list are compared by their bitmaps in blocks of LIST_BLOCK, and only what
+is left leaves the task. A long list is dealt out in pairs of blocks.
 """
 
 from __future__ import annotations
@@ -22,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,7 +42,11 @@ PERCENT = 80
 SKETCH_BITS = 22
 ID_BITS = 22
 #: What may be picked for ``l``.
-MATCHES = np.array([1, 2, 3, 4])
+MATCHES = np.array([1, 2, 3, 4, 6, 8, 12, 16])
+#: Least and greatest number of bits of a set's bitmap.
+LEAST_BITS, MOST_BITS = 256, 1 << 17
+#: Entries of a list that are compared with each other in one task.
+LIST_BLOCK = 1024
 #: Cost of an index entry and of a verification, in probes of a list; length of a list too short for the sketch to tell.
 ENTRY_COST, VERIFY_COST, SHORT_LIST = 0.2, 20.0, 0.5
 
@@ -107,6 +117,57 @@ def prefix(found: np.ndarray, counts: np.ndarray, background: float) -> tuple[in
     return int(allowed[best]), found[order[: sizes[best]]]
 
 
+def bitmap(found: np.ndarray) -> bytes:
+    """A bit for each hash, at its low bits; at least twice as many bits as hashes, up to MOST_BITS."""
+    width = min(max(LEAST_BITS, 1 << int(2 * len(found) - 1).bit_length()), MOST_BITS)
+    bits = np.zeros(width, np.uint8)
+    bits[(mix(found) & U(width - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def folded(maps: bytes, n: int, width: int) -> np.ndarray:
+    """``n`` bitmaps of one width, cut down to ``width`` bytes each: a half as wide one is the halves put together."""
+    rows = np.frombuffer(maps, np.uint8).reshape(n, -1)
+    while rows.shape[1] > width:
+        half = rows.shape[1] // 2
+        rows = rows[:, :half] | rows[:, half:]
+    return np.ascontiguousarray(rows).view(np.uint64)
+
+
+def near_enough(both: np.ndarray, differ: np.ndarray) -> np.ndarray:
+    """False if two sets with ``both`` elements in sum, of which ``differ`` at least are in one only, are no link."""
+    # their overlap is at most (both - differ) / 2; similar if 100 overlap >= PERCENT (both - overlap)
+    return (100 + PERCENT) * (both - differ) >= 2 * PERCENT * both
+
+
+def possible_pairs(sizes: np.ndarray, maps: list[bytes], left: np.ndarray, right: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of an entry of ``left`` and a later or other one of ``right``, of different ``apart``, that may be links.
+
+    Maps of neighbouring widths are compared at the lesser; sets of links are no further apart in size.
+    """
+    widths = np.array([len(m) for m in maps])
+    firsts, seconds = [], []
+    for width in np.unique(widths).tolist():
+        for other in (width, width * 2, width // 2):
+            a, b = left[widths[left] == width], right[widths[right] == other]
+            if not len(a) or not len(b):
+                continue
+            least = min(width, other)
+
+            x, y = (folded(b"".join(maps[k] for k in entries.tolist()), len(entries), least) for entries in (a, b))
+            step = max(1, (1 << 23) // (len(b) * least))
+            for k in range(0, len(a), step):
+                n, m = sizes[a[k : k + step], None], sizes[b]
+                ok = (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)) & (apart[a[k : k + step], None] != apart[b])
+                i, j = np.nonzero(ok)
+                differ = np.bitwise_count(x[k + i] ^ y[j]).sum(1, dtype=np.int64)
+                ok = near_enough(sizes[a[k + i]] + sizes[b[j]], differ)
+                firsts.append(a[k + i[ok]])
+                seconds.append(b[j[ok]])
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(firsts or none), np.concatenate(seconds or none)
+
+
 def signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 
@@ -117,7 +178,7 @@ def lists_of(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """A row per document: row, doc_id, n, fingerprint (f, g), l and the prefix."""
+    """A row per document: row, doc_id, n, fingerprint (f, g), l, the bitmap and the prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
     background = float(counts.mean())
 
@@ -129,12 +190,12 @@ def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
             prints = [fingerprint(s) for s in sets]
             cols = [pa.array(np.arange(row, row + len(sets))), batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64())]
             cols += [pa.array([p[i] for p in prints], pa.int64()) for i in (0, 1)]
-            cols += [pa.array([x[0] for x in picked], pa.int32()), lists_of([x[1] for x in picked])]
+            cols += [pa.array([x[0] for x in picked], pa.int32()), pa.array([bitmap(s) for s in sets], pa.binary()), lists_of([x[1] for x in picked])]
             row += len(sets)
-            yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "n", "f", "g", "l", "prefix"])
+            yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "n", "f", "g", "l", "bitmap", "prefix"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(cut, f"row long, doc_id {kind}, n long, f long, g long, l int, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(cut, f"row long, doc_id {kind}, n long, f long, g long, l int, bitmap binary, prefix array<long>")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -169,6 +230,70 @@ def similar_size(n: str, m: str) -> F.Column:
     return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
 
 
+def possible(n: str, m: str, x: str, y: str) -> F.Column:
+    """False for two sets of sizes n and m whose bitmaps show that they are no link."""
+
+    @F.arrow_udf("boolean")
+    def held(n: pa.Array, m: pa.Array, x: pa.Array, y: pa.Array) -> pa.Array:
+        sizes = n.to_numpy() + m.to_numpy()
+        wide, high = pc.binary_length(x).to_numpy(), pc.binary_length(y).to_numpy()
+        out = np.zeros(len(sizes), bool)
+        for p, q in set(zip(wide.tolist(), high.tolist(), strict=True)):
+            at = np.flatnonzero((wide == p) & (high == q))
+            rows = [folded(b"".join(c.take(pa.array(at)).to_pylist()), len(at), min(p, q)) for c in (x, y)]
+            differ = np.bitwise_count(rows[0] ^ rows[1]).sum(1, dtype=np.int64)
+            out[at] = near_enough(sizes[at], differ)
+        return pa.array(out)
+
+    return held(n, m, x, y)
+
+
+def list_pairs(lists: DataFrame, block: int = LIST_BLOCK) -> DataFrame:
+    """Pairs (a, b) of entries of the staged ``lists`` (shingle, component, node, n, l, bitmap) that may be links.
+
+    Each comes once for every list of both, with the smaller l. A list of more than ``block`` entries is cut
+    into blocks by a hash of the node, and each two of its blocks meet in a group of their own.
+    """
+    blocks = lists.groupBy("shingle").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    cut = lists.join(blocks, "shingle").withColumn("at", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cut = cut.select("shingle", F.least("at", "other").alias("low"), F.greatest("at", "other").alias("high"), "at", "component", "node", "n", "l", "bitmap")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key = [], None
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("shingle", "low", "high")), strict=True))
+            starts = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
+            for x, y in zip(starts, starts[1:]):
+                if keys[x] != key and held:
+                    yield from pairs_of(held, key)
+                    held = []
+                key = keys[x]
+                held.append(batch.slice(x, y - x))
+        if held:
+            yield from pairs_of(held, key)
+
+    def pairs_of(held: list[pa.RecordBatch], key: tuple) -> Iterator[pa.RecordBatch]:
+        group = pa.Table.from_batches(held)
+        at, n, l = (group.column(c).to_numpy() for c in ("at", "n", "l"))  # noqa: E741
+        parts = group.column("component").combine_chunks().dictionary_encode().indices.to_numpy()
+        if len(parts) < 2 or not parts.any():
+            return
+        left, right = np.flatnonzero(at == key[1]), np.flatnonzero(at == key[2])
+        i, j = possible_pairs(n, group.column("bitmap").to_pylist(), left, right, parts)
+        once = i < j if key[1] == key[2] else np.ones(len(i), bool)
+        i, j = i[once], j[once]
+        if len(i):
+            nodes = group.column("node").combine_chunks()
+            cols = [nodes.take(pa.array(i)), nodes.take(pa.array(j)), pa.array(np.minimum(l[i], l[j]), pa.int32())]
+            yield pa.RecordBatch.from_arrays(cols, ["a", "b", "least"])
+
+    kind = lists.schema["node"].dataType.simpleString()
+    met = cut.repartition("shingle", "low", "high").sortWithinPartitions("shingle", "low", "high").mapInArrow(meet, f"a {kind}, b {kind}, least int")
+    # a pair may come in either order
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "least")
+
+
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of ``docs``, of which doc_id and text are read.
 
@@ -193,8 +318,8 @@ def join(docs: DataFrame) -> DataFrame:
     entries = usable.select("row", "prefix").join(classes.select("row", "node"), "row").select("node", F.explode("prefix").alias("shingle"))
     held = stage(entries.groupBy("shingle").count().where("count > 1").select("shingle"), "join-shared")
     lists = stage(entries.join(held, "shingle"), "join-lists")
-    facts = stage(usable.select("row", "n", "l").join(classes.select("row", "node", "f"), "row").select("node", "f", "n", "l"), "join-facts")
-    size_of = facts.select("node", "n")
+    facts = stage(usable.select("row", "n", "l", "bitmap").join(classes.select("row", "node", "f"), "row").select("node", "f", "n", "l", "bitmap"), "join-facts")
+    size_of = facts.select("node", "n", "bitmap")
     degrees = stage(lists.groupBy("node").agg(F.count("*").alias("degree")), "join-degrees")
     held_by = lists.join(degrees, "node")
     ends = held_by.groupBy("shingle").agg(F.max(F.struct("degree", "node"))["node"].alias("most"), F.min("node").alias("low"))
@@ -202,23 +327,18 @@ def join(docs: DataFrame) -> DataFrame:
     near = near.groupBy("node", "hub").count()
     best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("count"), "hub"))
     near = near.withColumn("place", best).where("place <= 2").select(F.col("node").alias("a"), F.col("hub").alias("b"), "count")
-    near = near.join(size_of.toDF("a", "n"), "a").join(size_of.toDF("b", "m"), "b").where(similar_size("n", "m"))
+    near = near.join(size_of.toDF("a", "n", "x"), "a").join(size_of.toDF("b", "m", "y"), "b").where(similar_size("n", "m"))
     # pairs that share almost nothing of their prefixes are left to the second step
-    near = stage(near.where("100 * count >= n").select("a", "b"), "join-near")
+    near = stage(near.where("100 * count >= n").where(possible("n", "m", "x", "y")).select("a", "b"), "join-near")
     first = stage(links(near, docs, facts), "join-links")
     tied = components(first)
 
     lists = lists.join(tied, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lists = stage(lists, "join-parts")
     mixed = lists.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
-    mixed = stage(lists.join(mixed, "shingle"), "join-mixed")
-    parts = stage(mixed.select("shingle", "component").distinct(), "join-lists-parts")
-    cross = parts.toDF("shingle", "c").join(parts.toDF("shingle", "d"), "shingle").where("c < d")
-    members = mixed.join(facts.select("node", "n", "l"), "node")
-    left = members.select("shingle", F.col("component").alias("c"), F.col("node").alias("a"), F.col("n"), F.col("l"))
-    right = members.select("shingle", F.col("component").alias("d"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("l").alias("k"))
-    candidates = cross.join(left, ["shingle", "c"]).join(right, ["shingle", "d"]).where(similar_size("n", "m"))
-    candidates = candidates.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min(F.least("l", "k")).alias("least")).where("shared >= least").select("a", "b")
+    mixed = lists.join(mixed, "shingle").select("shingle", "component", "node").join(facts.select("node", "n", "l", "bitmap"), "node")
+    candidates = list_pairs(stage(mixed, "join-mixed"))
+    candidates = candidates.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("least").alias("least")).where("shared >= least").select("a", "b")
     more = stage(links(stage(candidates, "join-candidates"), docs, facts), "join-more")
     tied = components(first.unionByName(more)) if not more.isEmpty() else tied
 
@@ -229,12 +349,29 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` with the document of the smallest id of each component; rows that repeat an id share its fate.
+    """One row of each group of near duplicates: of the rows of the smallest id in its component, one.
+
+    * rows without words: linked with nothing, all stay; repeats of a row: one stays
+    * null ids: such rows are given ids of their own, after all others, so that they are linked by
+      their texts too; a row that has an id stays rather than one that has none
+    * an id with several texts: each row is a document of its own
+    * columns of any name are kept as they are; no rows: no rows
 
-    Only rows whose id may be among those to go meet them in a join; the others stay in place.
+    Rows are numbered, and only those that may be among the ones to go meet them in a join; the others stay in place.
     """
-    found = stage(join(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "join-gone")
-    doubtful = F.coalesce(sketch.membership(found.select(F.xxhash64("_gone")), ID_BITS)(F.xxhash64("doc_id")), F.lit(False))
-    marked = docs.withColumn("_doubtful", doubtful)
-    rest = marked.where("_doubtful").join(found, F.col("doc_id") == F.col("_gone"), "left_anti")
-    return marked.where("not _doubtful").unionByName(rest).drop("_doubtful")
+    # ids need not be unique or there at all: places in the order of ids are
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    numbered = stage(rows.withColumn("number", F.monotonically_increasing_id()), "join-numbered")
+    found = stage(join(numbered.select(F.col("number").alias("doc_id"), F.col("row.text").alias("text"))), "join-found")
+    groups = stage(found.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id"), "join-groups")
+    members = stage(found.join(groups, "component_id").select(F.col("doc_id").alias("number"), "component_id"), "join-members")
+    among = sketch.membership(members.select(F.xxhash64("number")), ID_BITS)
+    named = numbered.where(F.coalesce(among(F.xxhash64("number")), F.lit(False))).select("number", F.col("row.doc_id").alias("id"))
+    named = members.join(named, "number")
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "number"))["number"]
+    gone = members.join(named.groupBy("component_id").agg(best.alias("number")), "number", "left_anti").select("number")
+    gone = stage(gone, "join-gone")
+    doubtful = F.coalesce(sketch.membership(gone.select(F.xxhash64("number")), ID_BITS)(F.xxhash64("number")), F.lit(False))
+    marked = numbered.withColumn("doubtful", doubtful)
+    rest = marked.where("doubtful").join(gone, "number", "left_anti").select("row")
+    return marked.where("not doubtful").select("row").unionByName(rest).select("row.*")

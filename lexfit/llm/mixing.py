@@ -146,6 +146,7 @@ def mix(docs: DataFrame, size: Column | None = None, weights: tuple[int, ...] =
 
 
 def mixed_rows(docs: DataFrame, size: Column | None = None, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = MAX_REPEAT) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, with their columns; rows taken no time go."""
-    joined = lookup(named(docs), plan(sizes(docs, size), weights, max_repeat), NAME, spread=["_key"])
-    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies().cast("int")))).select(*docs.columns)
+    """The rows of ``docs`` as often as the mix takes them, with their columns, whatever these are called; rows taken no time go."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source")
+    joined = lookup(named(rows), plan(sizes(docs, size), weights, max_repeat), NAME, spread=["_key"])
+    return joined.select("row", F.explode(F.array_repeat(F.lit(1), copies().cast("int")))).select("row.*")

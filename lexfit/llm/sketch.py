@@ -14,8 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_BITS = 16
-#: A task hands on what it has counted after so many hashes, and at its end.
-FLUSH = 1 << 30
 
 
 def slots(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -30,13 +28,14 @@ def count(df: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarr
     blocks, width = 1 << max(bits - BLOCK_BITS, 0), 1 << min(bits, BLOCK_BITS)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine, seen = np.zeros(blocks * width, np.int64), False
+        mine, seen = np.zeros(blocks * width, np.uint32), False
         for batch in batches:
             for hashes in hashes_of(batch):
-                mine += np.bincount(slots(hashes, bits), minlength=len(mine))
+                at, n = np.unique(slots(hashes, bits), return_counts=True)
+                mine[at] += np.minimum(n, 2**32 - 1 - mine[at]).astype(np.uint32)
                 seen = True
         if seen:
-            parts = [zlib.compress(np.minimum(p, 2**32 - 1).astype("<u4").tobytes(), 1) for p in mine.reshape(blocks, width)]
+            parts = [zlib.compress(p.astype("<u4").tobytes(), 1) for p in mine.reshape(blocks, width)]
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(blocks), pa.int32()), pa.array(parts, pa.binary())], ["block", "counts"])
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

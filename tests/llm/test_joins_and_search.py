@@ -1,6 +1,7 @@
 """Shingle join, repeated strings and Hamming search against brute force."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter
@@ -63,6 +64,57 @@ def test_join_of_nulls_repeats_and_nothing(make):
     assert jaccard_join.keep_first(make([text, None], ids=[None, None])).count() == 2
 
 
+def test_bitmaps_never_rule_out_a_link():
+    rng = np.random.default_rng(4)
+    sets = []
+    for _ in range(60):
+        base = rng.integers(0, 2**63, int(rng.integers(1, 900)), dtype=np.uint64)
+        sets += [np.unique(np.concatenate([base[: len(base) - int(rng.integers(0, 1 + len(base) // 6))], rng.integers(0, 2**63, int(rng.integers(0, 1 + len(base) // 8)), dtype=np.uint64)])) for _ in range(3)]
+    sizes, maps = np.array([len(s) for s in sets]), [jaccard_join.bitmap(s) for s in sets]
+    every = np.arange(len(sets))
+    got = set(zip(*(x.tolist() for x in jaccard_join.possible_pairs(sizes, maps, every, every, every)), strict=True))
+    links = 0
+    for a in range(len(sets)):
+        for b in range(len(sets)):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if a != b and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                links += 1
+                assert (a, b) in got
+    assert links > 50 and len(got) < 3 * links
+
+
+def test_long_lists_meet_in_blocks(spark):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[int(rng.integers(0, 90)) :], rng.integers(0, 2**63, 20, dtype=np.uint64)])) for _ in range(120)]
+    rows = [(7, i % 50, i, len(s), 1 + i % 3, bytearray(jaccard_join.bitmap(s))) for i, s in enumerate(sets)] + [(9, 1, 500, 3, 1, bytearray(jaccard_join.bitmap(base[:3])))]
+    lists = spark.createDataFrame(rows, "shingle long, component long, node long, n long, l int, bitmap binary")
+    whole, cut = (sorted(map(tuple, jaccard_join.list_pairs(lists, block).collect())) for block in (1000, 9))
+    assert whole == cut and len(whole) == len(set(whole)) > 100
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        both = len(np.intersect1d(sets[a], sets[b]))
+        if a % 50 != b % 50 and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+            assert (a, b, min(1 + a % 3, 1 + b % 3)) in whole
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Clashing column names, rows without an id, repeated rows and ids with several texts."""
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base), edited(rng, base, 1), " ".join(base), "a b c d e f", "a b c d e f", None, "", "other words here", "other words here"]
+    ids = [5, 3, None, None, None, 1, 1, 9, 9]
+    names = "doc_id long, text string, _gone long, _doubtful string, component_id long, number long, row string, n long, `odd.name` long"
+    rows = [(i, t, k, "d", -1, -2, "r", -3, -4) for k, (i, t) in enumerate(zip(ids, texts, strict=True))]
+    docs = spark.createDataFrame(rows, names)
+    kept = jaccard_join.keep_first(docs)
+    assert kept.columns == docs.columns
+    got = sorted(map(tuple, kept.collect()), key=str)
+    assert all(r in rows for r in got)
+    assert sorted(r[2] for r in got if r[2] not in (3, 4, 7, 8)) == [1, 5, 6]
+    assert len([r for r in got if r[2] in (3, 4)]) == 1 and len([r for r in got if r[2] in (7, 8)]) == 1 and len(got) == 5
+    assert jaccard_join.keep_first(docs.limit(0)).count() == 0
+
+
 def test_prefixes_of_similar_sets_share_enough():
     rng = np.random.default_rng(1)
     counts = rng.integers(0, 50, 1 << 16).astype(np.uint32)

@@ -5,6 +5,7 @@ import io
 import random
 import zipfile
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -152,10 +153,20 @@ def test_pipeline_stages(spark):
 @pytest.mark.parametrize("name", sorted(queries_sql.SQL))
 def test_queries_equal_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings", "labels"):
+    for t in ("documents", "pages", "embeddings", "labels", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     df = queries.QUERIES[name](spark, SMALL)
     want = con.execute(queries_sql.SQL[name])
     names = [c[0] for c in want.description]
     assert sorted(names) == sorted(df.columns)
     assert sorted(map(tuple, df.select(*names).collect()), key=str) == sorted(want.fetchall(), key=str)
+
+
+def test_mixed_rows_keep_columns_of_any_name(spark):
+    names = ["_key", "_null", "_name", "_copy", "target", "whole", "threshold", "source_size", "row", "col", "_salt", "rest"]
+    rows = [(i, "a b c " * (i % 5), ["s", "t", None][i % 3], *range(i, i + len(names))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} long" for n in names))
+    taken = {r.doc_id: r.taken // r["size"] for r in mixing.mix(docs).where("size > 0").collect()}
+    got = Counter(map(tuple, mixing.mixed_rows(docs).collect()))
+    assert mixing.mixed_rows(docs).columns == docs.columns
+    assert {r: n for r, n in got.items() if r[1]} == {r: taken[r[0]] for r in rows if r[1] and taken[r[0]]}
