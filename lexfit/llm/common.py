@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import shutil
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
@@ -54,8 +55,26 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def grouped(batches: Iterator[pa.RecordBatch], size: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Slices of the batches of about ``size`` bytes of text or one row, with the texts."""
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object]) -> object:
+    """What this worker process keeps between tasks under ``name``, until a task of another kind goes through texts."""
+    if name not in _kept:
+        _kept[name] = make()
+    return _kept[name]
+
+
+def grouped(batches: Iterator[pa.RecordBatch], size: int = 1 << 21, keep: str = "") -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Slices of the batches of about ``size`` bytes of text or one row, with the texts.
+
+    Of what the worker process has kept from earlier tasks all but ``keep`` is let go.
+    """
+    if any(name != keep for name in _kept):
+        for name in [name for name in _kept if name != keep]:
+            del _kept[name]
+        gc.collect()
+        pa.default_memory_pool().release_unused()
     for batch in batches:
         sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy().astype(np.int64))
         at = 0

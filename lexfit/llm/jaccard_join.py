@@ -14,11 +14,12 @@ and with the lowest, which ties groups of near copies together without pairing t
 members (the least edited copy shares most with the others); then classes of different
 components that a list holds. A list inside one component is left out.
 
-In the second step no pair of a list is made before it is known to be possible. Each set has
-a bitmap of its hashes, about two bits a hash. Where two bitmaps differ, the sets do, so two sets
-that differ in more bits than links may differ in shingles are no link, for sure. The
-entries of a list are compared by their bitmaps in blocks of LIST_BLOCK, and only what
-is left leaves the task. A long list is dealt out in pairs of blocks.
+In the second step lists with the same members, as a shared passage makes them, are one
+list that counts as often. No pair of a list is made before it is known to be possible. Each
+set has a bitmap of its hashes, at least a bit a hash. Where two bitmaps differ, the sets do,
+so two sets that differ in more bits than links may differ in shingles are no link, for
+sure. The entries of a list are compared by their bitmaps in blocks of LIST_BLOCK, and
+only what is left leaves the task. A long list is dealt out in pairs of blocks.
 """
 
 from __future__ import annotations
@@ -44,9 +45,11 @@ ID_BITS = 22
 #: What may be picked for ``l``.
 MATCHES = np.array([1, 2, 3, 4, 6, 8, 12, 16])
 #: Least and greatest number of bits of a set's bitmap.
-LEAST_BITS, MOST_BITS = 256, 1 << 17
+LEAST_BITS, MOST_BITS = 128, 1 << 17
 #: Entries of a list that are compared with each other in one task.
 LIST_BLOCK = 1024
+#: Pairs of entries that are looked at together.
+PAIRS_AT_ONCE = 1 << 17
 #: Cost of an index entry and of a verification, in probes of a list; length of a list too short for the sketch to tell.
 ENTRY_COST, VERIFY_COST, SHORT_LIST = 0.2, 20.0, 0.5
 
@@ -118,8 +121,8 @@ def prefix(found: np.ndarray, counts: np.ndarray, background: float) -> tuple[in
 
 
 def bitmap(found: np.ndarray) -> bytes:
-    """A bit for each hash, at its low bits; at least twice as many bits as hashes, up to MOST_BITS."""
-    width = min(max(LEAST_BITS, 1 << int(2 * len(found) - 1).bit_length()), MOST_BITS)
+    """A bit for each hash, at its low bits; at least as many bits as hashes, up to MOST_BITS."""
+    width = min(max(LEAST_BITS, 1 << int(len(found) - 1).bit_length()), MOST_BITS)
     bits = np.zeros(width, np.uint8)
     bits[(mix(found) & U(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -140,32 +143,40 @@ def near_enough(both: np.ndarray, differ: np.ndarray) -> np.ndarray:
     return (100 + PERCENT) * (both - differ) >= 2 * PERCENT * both
 
 
-def possible_pairs(sizes: np.ndarray, maps: list[bytes], left: np.ndarray, right: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of an entry of ``left`` and a later or other one of ``right``, of different ``apart``, that may be links.
-
-    Maps of neighbouring widths are compared at the lesser; sets of links are no further apart in size.
-    """
-    widths = np.array([len(m) for m in maps])
-    firsts, seconds = [], []
-    for width in np.unique(widths).tolist():
-        for other in (width, width * 2, width // 2):
-            a, b = left[widths[left] == width], right[widths[right] == other]
-            if not len(a) or not len(b):
-                continue
-            least = min(width, other)
-
-            x, y = (folded(b"".join(maps[k] for k in entries.tolist()), len(entries), least) for entries in (a, b))
-            step = max(1, (1 << 23) // (len(b) * least))
-            for k in range(0, len(a), step):
-                n, m = sizes[a[k : k + step], None], sizes[b]
-                ok = (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)) & (apart[a[k : k + step], None] != apart[b])
-                i, j = np.nonzero(ok)
-                differ = np.bitwise_count(x[k + i] ^ y[j]).sum(1, dtype=np.int64)
-                ok = near_enough(sizes[a[k + i]] + sizes[b[j]], differ)
-                firsts.append(a[k + i[ok]])
-                seconds.append(b[j[ok]])
-    none = [np.zeros(0, np.int64)]
-    return np.concatenate(firsts or none), np.concatenate(seconds or none)
+def differing_bits(maps: pa.Array, others: pa.Array, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """In how many bits maps[i] and others[j] differ at the lesser of their widths."""
+    wide, high = pc.binary_length(maps).to_numpy(), pc.binary_length(others).to_numpy()
+    out = np.zeros(len(i), np.int64)
+    kinds = wide[i].astype(np.int64) << 32 | high[j]
+    for kind in np.unique(kinds).tolist():
+        p, q = kind >> 32, kind & 0xFFFFFFFF
+        tables, places = [], []
+        for column, widths, width in ((maps, wide, p), (others, high, q)):
+            rows = np.flatnonzero(widths == width)
+            tables.append(folded(b"".join(column.take(pa.array(rows)).to_pylist()), len(rows), min(p, q)))
+            place = np.zeros(len(widths), np.int64)
+            place[rows] = np.arange(len(rows))
+            places.append(place)
+        at = np.flatnonzero(kinds == kind)
+        step = max(1, (1 << 23) // min(p, q))
+        for k in range(0, len(at), step):
+            own = at[k : k + step]
+            out[own] = np.bitwise_count(tables[0][places[0][i[own]]] ^ tables[1][places[1][j[own]]]).sum(1, dtype=np.int64)
+    return out
+
+
+def pairs_inside(ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs (i, j) with i < j < ends[i], in slices; ``ends`` is where the group of each row ends."""
+    n = ends - np.arange(len(ends)) - 1
+    upto = np.cumsum(n)
+    at = 0
+    while at < len(ends):
+        base = upto[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(upto, base + PAIRS_AT_ONCE, "right")))
+        own = n[at:end]
+        i = np.repeat(np.arange(at, end), own)
+        yield i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(own) - own, own)
+        at = end
 
 
 def signed(values: np.ndarray) -> np.ndarray:
@@ -235,63 +246,66 @@ def possible(n: str, m: str, x: str, y: str) -> F.Column:
 
     @F.arrow_udf("boolean")
     def held(n: pa.Array, m: pa.Array, x: pa.Array, y: pa.Array) -> pa.Array:
-        sizes = n.to_numpy() + m.to_numpy()
-        wide, high = pc.binary_length(x).to_numpy(), pc.binary_length(y).to_numpy()
-        out = np.zeros(len(sizes), bool)
-        for p, q in set(zip(wide.tolist(), high.tolist(), strict=True)):
-            at = np.flatnonzero((wide == p) & (high == q))
-            rows = [folded(b"".join(c.take(pa.array(at)).to_pylist()), len(at), min(p, q)) for c in (x, y)]
-            differ = np.bitwise_count(rows[0] ^ rows[1]).sum(1, dtype=np.int64)
-            out[at] = near_enough(sizes[at], differ)
-        return pa.array(out)
+        every = np.arange(len(n))
+        return pa.array(near_enough(n.to_numpy() + m.to_numpy(), differing_bits(x, y, every, every)))
 
     return held(n, m, x, y)
 
 
 def list_pairs(lists: DataFrame, block: int = LIST_BLOCK) -> DataFrame:
-    """Pairs (a, b) of entries of the staged ``lists`` (shingle, component, node, n, l, bitmap) that may be links.
+    """Pairs (a, b) of entries of the staged ``lists`` (shingle, times, component, node, n, l, bitmap) that may be links.
 
-    Each comes once for every list of both, with the smaller l. A list of more than ``block`` entries is cut
-    into blocks by a hash of the node, and each two of its blocks meet in a group of their own.
+    Each comes once for every list of both, with the list's times and the smaller l. A list of more than ``block`` entries
+    is cut into blocks by a hash of the node, and each two of its blocks meet in a group of their own.
     """
     blocks = lists.groupBy("shingle").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    cut = lists.join(blocks, "shingle").withColumn("at", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    long = blocks.where("blocks > 1")
+    cut = lists.join(long, "shingle", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    cut = cut.withColumn("at", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cut = cut.select("shingle", F.least("at", "other").alias("low"), F.greatest("at", "other").alias("high"), "at", "component", "node", "n", "l", "bitmap")
+    cut = cut.select("shingle", F.least("at", "other").alias("low"), F.greatest("at", "other").alias("high"), "at", "times", "component", "node", "n", "l", "bitmap")
+    keys = ["shingle", "low", "high"]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key = [], None
+        rest = None
         for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("shingle", "low", "high")), strict=True))
-            starts = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
-            for x, y in zip(starts, starts[1:]):
-                if keys[x] != key and held:
-                    yield from pairs_of(held, key)
-                    held = []
-                key = keys[x]
-                held.append(batch.slice(x, y - x))
-        if held:
-            yield from pairs_of(held, key)
-
-    def pairs_of(held: list[pa.RecordBatch], key: tuple) -> Iterator[pa.RecordBatch]:
-        group = pa.Table.from_batches(held)
-        at, n, l = (group.column(c).to_numpy() for c in ("at", "n", "l"))  # noqa: E741
-        parts = group.column("component").combine_chunks().dictionary_encode().indices.to_numpy()
-        if len(parts) < 2 or not parts.any():
+            rows = pa.Table.from_batches([*(rest.to_batches() if rest else []), batch])
+            ends = group_ends(rows)
+            done = int(np.searchsorted(ends, len(ends)))  # the last group may go on in the next batch
+            yield from pairs_of(rows.slice(0, done), ends[:done])
+            rest = rows.slice(done)
+        if rest:
+            yield from pairs_of(rest, group_ends(rest))
+
+    def group_ends(rows: pa.Table) -> np.ndarray:
+        new = np.zeros(rows.num_rows, bool)
+        for key in keys:
+            column = rows.column(key).to_numpy()
+            new[1:] |= column[1:] != column[:-1]
+        starts = np.append(np.flatnonzero(new), rows.num_rows)
+        return starts[np.searchsorted(starts, np.arange(rows.num_rows), "right")]
+
+    def pairs_of(rows: pa.Table, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not rows.num_rows:
             return
-        left, right = np.flatnonzero(at == key[1]), np.flatnonzero(at == key[2])
-        i, j = possible_pairs(n, group.column("bitmap").to_pylist(), left, right, parts)
-        once = i < j if key[1] == key[2] else np.ones(len(i), bool)
-        i, j = i[once], j[once]
-        if len(i):
-            nodes = group.column("node").combine_chunks()
-            cols = [nodes.take(pa.array(i)), nodes.take(pa.array(j)), pa.array(np.minimum(l[i], l[j]), pa.int32())]
-            yield pa.RecordBatch.from_arrays(cols, ["a", "b", "least"])
+        rows = rows.combine_chunks()
+        column = {c: rows.column(c).chunk(0) for c in rows.column_names}
+        low, high, at, times, n, l = (column[c].to_numpy() for c in ("low", "high", "at", "times", "n", "l"))  # noqa: E741
+        parts = column["component"].dictionary_encode().indices.to_numpy()
+        for i, j in pairs_inside(ends):
+            ok = (parts[i] != parts[j]) & ((low[i] == high[i]) | (at[i] != at[j]))
+            ok &= 100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j])
+            i, j = i[ok], j[ok]
+            ok = near_enough(n[i] + n[j], differing_bits(column["bitmap"], column["bitmap"], i, j))
+            i, j = i[ok], j[ok]
+            if len(i):
+                cols = [column["node"].take(pa.array(i)), column["node"].take(pa.array(j)), pa.array(times[i]), pa.array(np.minimum(l[i], l[j]), pa.int32())]
+                yield pa.RecordBatch.from_arrays(cols, ["a", "b", "times", "least"])
 
     kind = lists.schema["node"].dataType.simpleString()
-    met = cut.repartition("shingle", "low", "high").sortWithinPartitions("shingle", "low", "high").mapInArrow(meet, f"a {kind}, b {kind}, least int")
+    met = cut.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(meet, f"a {kind}, b {kind}, times long, least int")
     # a pair may come in either order
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "least")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "times", "least")
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -335,10 +349,12 @@ def join(docs: DataFrame) -> DataFrame:
 
     lists = lists.join(tied, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lists = stage(lists, "join-parts")
-    mixed = lists.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
-    mixed = lists.join(mixed, "shingle").select("shingle", "component", "node").join(facts.select("node", "n", "l", "bitmap"), "node")
-    candidates = list_pairs(stage(mixed, "join-mixed"))
-    candidates = candidates.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("least").alias("least")).where("shared >= least").select("a", "b")
+    members = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"m{k}") for k in (1, 2)]
+    mixed = lists.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"), *members)
+    mixed = mixed.where("low <> high").groupBy("size", "m1", "m2").agg(F.min("shingle").alias("shingle"), F.count("*").alias("times"))
+    mixed = lists.join(mixed.select("shingle", "times"), "shingle").join(facts.select("node", "n", "l", "bitmap"), "node")
+    candidates = list_pairs(stage(mixed.select("shingle", "times", "component", "node", "n", "l", "bitmap"), "join-mixed"))
+    candidates = candidates.groupBy("a", "b").agg(F.sum("times").alias("shared"), F.min("least").alias("least")).where("shared >= least").select("a", "b")
     more = stage(links(stage(candidates, "join-candidates"), docs, facts), "join-more")
     tied = components(first.unionByName(more)) if not more.isEmpty() else tied
 

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexfit.llm.common import grouped
+from lexfit.llm.common import grouped, kept
 from lexfit.session import stage
 
 CAPACITY = 2048
@@ -93,14 +93,9 @@ class Encoder:
             yield b"".join(map(self.cache.__getitem__, part))
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder_of(path: str) -> Encoder:
-    """The encoder of this worker process, which serves all its tasks."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """The encoder of this worker process, which serves all its tasks until one of another kind comes."""
+    return kept(f"encoder {path}", lambda: Encoder(path))
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -112,7 +107,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer)
-        for batch, texts in grouped(batches):
+        for batch, texts in grouped(batches, keep=f"encoder {tokenizer}"):
             rows, cols = [], ([], [], [], [], [])
             for row, ids in enumerate(encoder.encode(texts)):
                 ids += b"\0\0\0\0"
