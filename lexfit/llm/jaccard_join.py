@@ -16,7 +16,7 @@ components that a list holds. A list inside one component is left out.
 
 In the second step lists with the same members, as a shared passage makes them, are one
 list that counts as often. No pair of a list is made before it is known to be possible. Each
-set has a bitmap of its hashes, two bits a hash or more. Where two bitmaps differ, the sets do,
+set has a bitmap of its hashes, four bits a hash or more. Where two bitmaps differ, the sets do,
 so two sets that differ in more bits than links may differ in shingles are no link, for
 sure. The entries of a list are compared by their bitmaps in blocks of LIST_BLOCK, and
 only what is left leaves the task. A long list is dealt out in pairs of blocks.
@@ -121,8 +121,8 @@ def prefix(found: np.ndarray, counts: np.ndarray, background: float) -> tuple[in
 
 
 def bitmap(found: np.ndarray) -> bytes:
-    """A bit for each hash, at its low bits; at least twice as many bits as hashes, up to MOST_BITS."""
-    width = min(max(LEAST_BITS, 1 << int(2 * len(found) - 1).bit_length()), MOST_BITS)
+    """A bit for each hash, at its low bits; at least four times as many bits as hashes, up to MOST_BITS."""
+    width = min(max(LEAST_BITS, 1 << int(4 * len(found) - 1).bit_length()), MOST_BITS)
     bits = np.zeros(width, np.uint8)
     bits[(mix(found) & U(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
