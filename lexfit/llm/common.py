@@ -65,16 +65,21 @@ def kept(name: str, make: Callable[[], object]) -> object:
     return _kept[name]
 
 
-def grouped(batches: Iterator[pa.RecordBatch], size: int = 1 << 21, keep: str = "") -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Slices of the batches of about ``size`` bytes of text or one row, with the texts.
-
-    Of what the worker process has kept from earlier tasks all but ``keep`` is let go.
-    """
+def forget(keep: str = "") -> None:
+    """Lets go what this worker process has kept from earlier tasks, all but ``keep``."""
     if any(name != keep for name in _kept):
         for name in [name for name in _kept if name != keep]:
             del _kept[name]
         gc.collect()
         pa.default_memory_pool().release_unused()
+
+
+def grouped(batches: Iterator[pa.RecordBatch], size: int = 1 << 21, keep: str = "") -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Slices of the batches of about ``size`` bytes of text or one row, with the texts.
+
+    Of what the worker process has kept from earlier tasks all but ``keep`` is let go.
+    """
+    forget(keep)
     for batch in batches:
         sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy().astype(np.int64))
         at = 0

@@ -18,14 +18,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexfit.llm.common import grouped, held_out
+from lexfit.session import stage
 
 BUCKET_BITS = 14
 DIMENSIONS = 16
 TRAIN_ROWS = 3_000
+#: Ids of each language that are learnt from besides, however rare it is.
+LEAST_ROWS = 50
 UNKNOWN = "und"
 GRAMS = (2, 3, 4)
 #: Odd multipliers of the hash, one per place in a gram.
@@ -115,8 +118,8 @@ def fit(rows: list[tuple[list[int], list[int], str]], bits: int = BUCKET_BITS, d
     return LanguageModel(languages, table, bias, temperature, float(sure[order][good[-1]]) if len(good) else 1.0)
 
 
-def training_rows(docs: DataFrame, most: int = TRAIN_ROWS) -> list[tuple[list[int], list[int], str]]:
-    """Subword counts of the first ``most`` usable documents by a hash of their id."""
+def training_rows(docs: DataFrame, most: int = TRAIN_ROWS, least: int = LEAST_ROWS) -> list[tuple[list[int], list[int], str]]:
+    """Subword counts of the first ``most`` usable documents by a hash of their id, and of the first ``least`` of each language; a row per id."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in grouped(batches):
@@ -127,8 +130,14 @@ def training_rows(docs: DataFrame, most: int = TRAIN_ROWS) -> list[tuple[list[in
             yield pa.RecordBatch.from_arrays([*cols, batch.column("lang")], ["at", "n", "lang"])
 
     usable = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    chosen = usable.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = usable.join(F.broadcast(chosen), "doc_id").mapInArrow(counted, "at array<int>, n array<int>, lang string").collect()
+    # the first by a hash of the id of all rows, and of each language; then one row per id
+    first = usable.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    rare = usable.select("lang", "doc_id").distinct().withColumn("place", place).where(F.col("place") <= least).select("doc_id")
+    chosen = stage(first.unionByName(rare).distinct(), "langid-chosen")
+    texts = usable.join(F.broadcast(chosen), "doc_id")  # at most ``most`` ids and ``least`` of each language
+    texts = texts.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text", "lang").alias("h"), "text", "lang")).alias("t")).select("t.text", "t.lang")
+    rows = texts.mapInArrow(counted, "at array<int>, n array<int>, lang string").collect()
     return sorted(((r["at"], r["n"], r["lang"]) for r in rows if r["at"]), key=lambda r: (r[2], r[0], r[1]))
 
 

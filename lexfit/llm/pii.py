@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexfit.llm.common import grouped
+from lexfit.llm.common import forget, grouped
 from lexfit.session import stage
 
 KINDS = ("email", "ip", "card", "phone")
@@ -87,6 +87,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
+#: Every candidate has a digit, an at sign or a spelt one.
+MAY_HOLD = re.compile(r"[0-9]|@|[(\[{][aA][tT][)\]}]")
+
+
 def loose_spans(text: str) -> list[tuple[int, int, int]]:
     """Further candidates, overlapping ones included."""
     spans = [(m.start(), 0, m.end()) for m in SPELT.finditer(text)] if re.search(r"[(\[{]at[)\]}]", text, re.I) else []
@@ -138,7 +142,7 @@ def overlaps(span: tuple[int, int, int], others: list[tuple[int, int, int]]) ->
 
 def trace(text: str | None) -> Iterator[tuple[list[float], float]]:
     """(features, label) of the training candidates of a text."""
-    if not text or not re.search("[0-9]{3}|@", text):
+    if not text or not MAY_HOLD.search(text):
         return
     base = base_spans(text)
     for s, k, e in base:
@@ -284,7 +288,7 @@ def train(docs: DataFrame) -> Boosted | None:
                 cols = [pa.array([list(x) for x, _ in got], pa.list_(pa.float64())), pa.array([y for _, y in got]), pa.array(list(got.values()), pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, ["x", "y", "n"])
 
-    rows = docs.select("text").where(F.col("text").rlike("[0-9]{3}|@")).mapInArrow(traced, "x array<double>, y double, n long")
+    rows = docs.select("text").where(F.col("text").rlike(MAY_HOLD.pattern)).mapInArrow(traced, "x array<double>, y double, n long")
     counted = stage(rows.groupBy("x", "y").agg(F.sum("n").alias("n")), "pii-candidates")
     kind = F.array_position(F.slice("x", 1, len(KINDS)), F.lit(1.0)) - 1
     shares = counted.select(kind.alias("k"), F.posexplode("x").alias("f", "v"), "n").groupBy("k", "f", "v").agg(F.sum("n").alias("n")).collect()
@@ -307,7 +311,7 @@ def train(docs: DataFrame) -> Boosted | None:
 
 def find(text: str | None, model: Boosted | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """The base spans and all spans of one whole text, each ordered by start, then kind."""
-    if not text or not re.search("[0-9]|@|[(\\[{][aA][tT][)\\]}]", text):
+    if not text or not MAY_HOLD.search(text):
         return [], []
     base = base_spans(text)
     chosen = list(base)
@@ -361,6 +365,7 @@ def redact_column(docs: DataFrame, model: Boosted | None) -> DataFrame:
 
     @F.arrow_udf("string")
     def clean(texts: pa.Array) -> pa.Array:
+        forget()
         return pa.array([None if (t := x.as_py()) is None else redacted(t, find(t, model)[1]) for x in texts], pa.string())
 
     new = docs.withColumn("text", clean("text"))

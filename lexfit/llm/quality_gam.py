@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from lexfit.llm.common import held_out
+from lexfit.llm.common import forget, held_out
 
 TRAIN_ROWS = 20_000
 THRESHOLD = 0.7
@@ -160,6 +160,7 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 64, rounds: int = 150, rate: f
 
 
 def matrix(texts: pa.Array) -> np.ndarray:
+    forget()
     return np.array([text_features(t.as_py()) for t in texts], np.float64).reshape(len(texts), len(FEATURES))
 
 
@@ -171,12 +172,15 @@ def features(texts: pa.Array) -> pa.Array:
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Gam | None:
     """A model of ``labels.quality`` from at most ``most`` labelled documents outside the held-out quarter.
 
-    They are the first by a hash of the id. Labels of a repeated id are averaged; null ids
-    and labels don't count. None if no labelled document is left.
+    They are the first by a hash of the id. Labels of a repeated id are averaged, and of its
+    texts the first by hash counts; null ids and labels don't count. None if no labelled
+    document is left.
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
     marks = usable.groupBy("doc_id").agg(F.avg("quality").alias("_quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").select(features("text").alias("x"), "_quality").collect()
+    texts = docs.select("doc_id", F.struct(F.xxhash64("text").alias("h"), "text").alias("t")).join(F.broadcast(marks), "doc_id")
+    texts = texts.groupBy("doc_id", "_quality").agg(F.min("t")["text"].alias("text"))  # one row per id: at most ``most``
+    rows = texts.select(features("text").alias("x"), "_quality").collect()
     if not rows:
         return None
     return fit(np.array([r.x for r in rows]), np.array([r["_quality"] for r in rows], np.float64))

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexfit.llm.common import forget
+
 BLOCK_BITS = 16
 
 
@@ -28,6 +30,7 @@ def count(df: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarr
     blocks, width = 1 << max(bits - BLOCK_BITS, 0), 1 << min(bits, BLOCK_BITS)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         mine, seen = np.zeros(blocks * width, np.uint32), False
         for batch in batches:
             for hashes in hashes_of(batch):

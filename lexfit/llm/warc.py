@@ -17,6 +17,7 @@ import gzip
 import hashlib
 import io
 import json
+import re
 import struct
 import uuid
 import zipfile
@@ -37,6 +38,7 @@ ARCHIVE_BYTES = 256 * 1024 * 1024
 READ_BLOCK = 8 * 1024 * 1024
 #: Fixed values of the ZIP format.
 END, END64, LOCATOR64, CENTRAL, LOCAL = b"PK\5\6", b"PK\6\6", b"PK\6\7", b"PK\1\2", b"PK\3\4"
+GZIP = b"\x1f\x8b"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CRLF = b"\r\n"
 
@@ -143,23 +145,71 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return gzip.compress(block(fields, "WARC/1.1") + body + CRLF * 2, 4, mtime=0)
 
 
+def header_fields(head: bytes) -> dict[str, str]:
+    """The named fields of a header block, names in lower case; lines that are none are passed over."""
+    named = (line.partition(b":") for line in head.split(b"\n")[1:])
+    return {k.strip().decode("utf-8", "replace").lower(): v.strip().decode("utf-8", "replace") for k, colon, v in named if colon}
+
+
+def unchunked(body: bytes) -> bytes:
+    """The payload of a chunked body; of one that is cut off or not chunked after all, what is there."""
+    out, at = [], 0
+    while True:
+        line, end, _ = body[at:].partition(CRLF) if at < len(body) else (b"", b"", b"")
+        try:
+            size = int(line.split(b";")[0], 16)
+        except ValueError:
+            return b"".join(out) if out or not body else body
+        at += len(line) + len(end)
+        if size == 0:
+            return b"".join(out)
+        out.append(body[at : at + size])
+        at += size + len(CRLF)
+
+
+def told_digest(value: str | None) -> tuple[str, str] | None:
+    """Algorithm and lower-case hex of a digest field in base32 or hex; None for one that is missing or unknown."""
+    name, _, text = (value or "").partition(":")
+    name = name.lower().replace("-", "")
+    if name not in ("md5", "sha1", "sha256", "sha384", "sha512"):
+        return None
+    size = hashlib.new(name).digest_size
+    try:
+        raw = bytes.fromhex(text) if len(text) == 2 * size else base64.b32decode(text.upper() + "=" * (-len(text) % 8))
+    except ValueError:
+        return None
+    return (name, raw.hex()) if len(raw) == size else None
+
+
 def parse(raw: bytes) -> tuple:
-    """(page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload) of a gzipped record."""
-    head, _, rest = gzip.decompress(raw).partition(CRLF * 2)
-    named = dict(line.split(b": ", 1) for line in head.split(CRLF)[1:])
-    fields = {k.decode().lower(): v.decode("utf-8", "replace") for k, v in named.items()}
-    body = rest[: int(fields["content-length"])]
-    http, _, payload = body.partition(CRLF * 2)
-    told = next(int(x.split(b":")[1]) for x in http.split(CRLF) if x.lower().startswith(b"content-length:"))
-    page = lambda s: int(s[10:-1]) if s.startswith("<urn:page:") else None
-    digest = base64.b32decode(fields["warc-payload-digest"][5:]).hex()
-    if fields["warc-type"] == "response":
-        if len(payload) != told or hashlib.sha1(payload).hexdigest() != digest:
-            raise ValueError(f"a broken record: {fields['warc-record-id']}")
+    """(page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload) of a record, gzipped or plain.
+
+    Any type of record is returned. The payload is what follows the HTTP header, without
+    chunks, or the whole block of records that hold no HTTP message. Its digest is SHA-1;
+    one that the record tells is held against the payload, as sent or without chunks. A
+    revisit has no payload; its length and digest are those it tells, null if it tells none.
+    """
+    plain = gzip.decompress(raw) if raw[:2] == GZIP else raw
+    head, _, rest = plain.partition(CRLF * 2)
+    fields = header_fields(head)
+    kind = fields.get("warc-type", "")
+    body = rest[: int(fields.get("content-length", len(rest)))]
+    page = lambda s: int(s[10:-1]) if re.fullmatch("<urn:page:-?[0-9]+>", s) else None
+    told = told_digest(fields.get("warc-payload-digest"))
+    sent, http = body, {}
+    if fields.get("content-type", "").lower().startswith("application/http") or kind == "revisit":
+        header, _, sent = body.partition(CRLF * 2)
+        http = header_fields(header)
+    if kind == "revisit":
+        length, payload = http.get("content-length", ""), None
+        size, digest = int(length) if length.isdigit() else None, told[1] if told and told[0] == "sha1" else None
     else:
-        payload = None
+        payload = unchunked(sent) if "chunked" in http.get("transfer-encoding", "").lower() else sent
+        if told and all(hashlib.new(told[0], x).hexdigest() != told[1] for x in (payload, sent)):
+            raise ValueError(f"a broken record: {fields.get('warc-record-id')}")
+        size, digest = len(payload), hashlib.sha1(payload).hexdigest()
     refers = fields.get("warc-refers-to")
-    return page(fields["warc-record-id"]), fields.get("warc-target-uri"), fields["warc-type"], page(refers) if refers else None, told, digest, payload
+    return page(fields.get("warc-record-id", "")), fields.get("warc-target-uri"), kind, page(refers) if refers else None, size, digest, payload
 
 
 class Archive:
@@ -236,8 +286,9 @@ def write(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) ->
 def locate(archives: DataFrame, block_bytes: int = READ_BLOCK) -> DataFrame:
     """archive, start, length and block of every record, from directories and indexes alone.
 
-    A WARC member without an index line is scanned from its start for gzip streams. A
-    member that the ZIP file holds compressed has no ranges, and is an error.
+    A WARC member without an index line is scanned from its start, for gzip streams or for
+    plain records. A member that the ZIP file holds compressed has no ranges, and is an
+    error. Index lines that name no member or no place are passed over.
     """
 
     def places(f: pa.NativeFile) -> Iterator[tuple[int, int]]:
@@ -254,7 +305,9 @@ def locate(archives: DataFrame, block_bytes: int = READ_BLOCK) -> DataFrame:
                 for line in io.BytesIO(gzip.decompress(raw) if name.endswith(".gz") else raw):
                     if b"{" in line:
                         entry = json.loads(line[line.index(b"{") :])
-                        target = f"archive/{entry['filename']}"
+                        target = f"archive/{entry.get('filename')}"
+                        if target not in warcs or not {"offset", "length"} <= entry.keys():
+                            continue
                         if target not in starts:
                             starts[target] = data_start(f, warcs[target])
                             indexed.add(target)
@@ -276,6 +329,31 @@ def locate(archives: DataFrame, block_bytes: int = READ_BLOCK) -> DataFrame:
 
 
 def scanned(f: pa.NativeFile, start: int, size: int) -> Iterator[tuple[int, int]]:
+    """Places and lengths of a member's records: its gzip streams, or plain records by the lengths they tell."""
+    f.seek(start)
+    return scanned_gzip(f, start, size) if f.read(2) == GZIP else scanned_plain(f, start, size)
+
+
+def scanned_plain(f: pa.NativeFile, start: int, size: int) -> Iterator[tuple[int, int]]:
+    """Headers are read, blocks are passed over."""
+    at, end = start, start + size
+    while at < end:
+        f.seek(at)
+        head = b""
+        while CRLF * 2 not in head and at + len(head) < end:
+            head += f.read(min(1 << 12, end - at - len(head)))
+        head, found, _ = head.partition(CRLF * 2)
+        if not found:
+            return
+        length = len(head) + 4 + int(header_fields(head).get("content-length", 0))
+        yield at, min(length, end - at)
+        at += length
+        f.seek(at)
+        gap = f.read(min(4, max(0, end - at)))
+        at += len(gap) - len(gap.lstrip(CRLF))
+
+
+def scanned_gzip(f: pa.NativeFile, start: int, size: int) -> Iterator[tuple[int, int]]:
     """The gzip streams of a member, by unpacking it piece by piece."""
     at, end, ahead = start, start + size, b""
     begin, pending = start, zlib.decompressobj(31)

@@ -1,5 +1,7 @@
 """Packing, mixing, archives, and the pipeline, with exact round trips and DuckDB."""
 
+import base64
+import gzip
 import hashlib
 import io
 import random
@@ -170,3 +172,52 @@ def test_mixed_rows_keep_columns_of_any_name(spark):
     got = Counter(map(tuple, mixing.mixed_rows(docs).collect()))
     assert mixing.mixed_rows(docs).columns == docs.columns
     assert {r: n for r, n in got.items() if r[1]} == {r: taken[r[0]] for r in rows if r[1] and taken[r[0]]}
+
+
+def foreign(kind, block, **fields):
+    named = {"WARC-Type": kind, "WARC-Record-ID": "<urn:uuid:5f5f>", "WARC-Date": "2020-01-01T00:00:00Z", **{k.replace("_", "-"): v for k, v in fields.items()}, "Content-Length": str(len(block))}
+    return b"WARC/1.0\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in named.items()) + b"\r\n" + block + b"\r\n\r\n"
+
+
+HTTP = "application/http; msgtype=response"
+
+
+@pytest.mark.parametrize("zipped", [True, False])
+@pytest.mark.parametrize("with_index", [True, False])
+def test_records_of_other_writers(spark, tmp_path, zipped, with_index):
+    body = b"<p>hello</p>"
+    chunked = b"5\r\n<p>he\r\n7;x=1\r\nllo</p>\r\n0\r\n\r\n"
+    b32 = base64.b32encode(hashlib.sha1(body).digest()).decode()
+    records = [
+        foreign("warcinfo", b"software: x\r\n", Content_Type="application/warc-fields"),
+        foreign("request", b"GET / HTTP/1.1\r\nHost: x\r\n\r\n", Content_Type="application/http; msgtype=request", WARC_Target_URI="http://x/"),
+        foreign("response", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked, Content_Type=HTTP, WARC_Payload_Digest=f"sha1:{b32}"),
+        foreign("response", b"HTTP/1.1 200 OK\r\n\r\n" + body, Content_Type=HTTP),  # neither length nor digest
+        foreign("response", b"HTTP/1.1 200 OK\r\n\r\n" + body, Content_Type=HTTP, WARC_Payload_Digest="sha256:" + hashlib.sha256(body).hexdigest()),
+        foreign("response", b"HTTP/1.1 200 OK\r\n\r\n" + body, Content_Type=HTTP, WARC_Payload_Digest="blake3:00ff"),
+        foreign("revisit", b"", WARC_Refers_To="<urn:uuid:1>"),
+        foreign("resource", body, Content_Type="text/html", WARC_Record_ID="<urn:page:7>"),
+    ]
+    parts = [gzip.compress(r) if zipped else r for r in records]
+    name = "other.warc.gz" if zipped else "other.warc"
+    lines, at = "", 0
+    for part in parts:
+        lines += f'- 2020 {{"filename": "{name}", "offset": "{at}", "length": "{len(part)}"}}\n'
+        at += len(part)
+    path = tmp_path / "other.wacz"
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr(f"archive/{name}", b"".join(parts))
+        if with_index:
+            z.writestr("indexes/index.cdxj", lines + '- 2020 {"filename": "gone.warc", "offset": 1, "length": 2}\n- 2020 {"url": "x"}\n')
+    rows = warc.read(spark.createDataFrame([(f"file://{path}",)], "archive string")).collect()
+    got = sorted((r.record_type, r.page_id, r.payload_bytes, bytes(r.payload) if r.payload is not None else None) for r in rows if r.record_type not in ("warcinfo", "request"))
+    assert [r[0] for r in got] == ["resource", *["response"] * 4, "revisit"]
+    assert got[0] == ("resource", 7, len(body), body) and all(r[2:] == (len(body), body) for r in got[1:5])
+    assert got[5][2:] == (None, None) and len(rows) == len(records)
+    assert all(r.payload_digest == hashlib.sha1(body).hexdigest() for r in rows if r.record_type in ("response", "resource"))
+
+
+def test_a_payload_that_is_not_what_its_digest_tells_is_an_error():
+    raw = foreign("response", b"HTTP/1.1 200 OK\r\n\r\nchanged", Content_Type=HTTP, WARC_Payload_Digest="sha1:" + base64.b32encode(b"\0" * 20).decode())
+    with pytest.raises(ValueError, match="broken"):
+        warc.parse(raw)

@@ -183,3 +183,18 @@ def test_log_ratio_of_few_trusted_documents_with_the_parameters_in_use(make, spa
     assert all(r.kept == (r.doc_id < 60) for r in quality_rules.apply(make(texts), labels).collect())
     one = quality_rules.apply(make(texts), labels.limit(1)).collect()
     assert all(r.kept for r in one if r.doc_id < 60)
+
+
+def test_rare_languages_and_repeated_ids_are_learnt_from_within_bounds(make):
+    texts = [f"the cat and the dog {i}" for i in range(300)] + [f"der hund und die katze {i}" for i in range(6)] + ["the cat again"] * 50
+    langs = ["en"] * 300 + ["de"] * 6 + ["en"] * 50
+    docs = make(texts, langs=langs, ids=[*range(306), *[0] * 50])
+    rows = langid.training_rows(docs, 20, 10)
+    assert {r[2] for r in rows} == {"en", "de"} and len(rows) <= 20 + 10 * 2
+    labels = docs.sparkSession.createDataFrame([(i, i % 2) for i in range(306)] + [(0, 1)], "doc_id long, quality int")
+    model = quality_gam.train(docs, labels)
+    assert model is not None
+
+
+def test_ip_alone_is_a_training_candidate():
+    assert [y for _, y in pii.trace("host 10.0.0.1 up")][:1] == [1.0] and list(pii.trace("no number")) == []
