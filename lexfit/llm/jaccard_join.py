@@ -34,8 +34,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexfit.llm import sketch
-from lexfit.llm.common import grouped
+from lexfit.llm.common import arrow_rows, grouped
 from lexfit.llm.graph import components
+from lexfit.operators.joins import value_filter
 from lexfit.session import stage
 
 WORDS = 5
@@ -46,6 +47,8 @@ ID_BITS = 22
 MATCHES = np.array([1, 2, 3, 4, 6, 8, 12, 16])
 #: Least and greatest number of bits of a set's bitmap.
 LEAST_BITS, MOST_BITS = 128, 1 << 17
+#: Rows that go to a Python worker at a time.
+ARROW_ROWS = 1000
 #: Entries of a list that are compared with each other in one task.
 LIST_BLOCK = 1024
 #: Pairs of entries that are looked at together.
@@ -212,16 +215,18 @@ def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """node (a doc_id), f and shingles of the documents whose id is in ``ids`` (node), and of a few more."""
 
-    wanted = sketch.membership(ids.select(F.xxhash64("node")), ID_BITS)
+    wanted = docs.sparkSession.sparkContext.broadcast(sketch.flags(ids.select(F.xxhash64("node")), ID_BITS))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in grouped(batches):
-            sets = [shingles(t) for t in texts]
-            prints = pa.array([fingerprint(s)[0] for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), prints, lists_of(sets)], ["node", "f", "shingles"])
+        for batch in batches:
+            own = batch.filter(pa.array(sketch.holds(wanted.value, batch.column("h"), ID_BITS)))
+            for part, texts in grouped(iter([own])):
+                sets = [shingles(t) for t in texts]
+                prints = pa.array([fingerprint(s)[0] for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), prints, lists_of(sets)], ["node", "f", "shingles"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.where("doc_id is not null").where(wanted(F.xxhash64("doc_id"))).select("doc_id", "text")
+    rows = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
     return rows.mapInArrow(pick, f"node {kind}, f long, shingles array<long>")
 
 
@@ -316,8 +321,11 @@ def join(docs: DataFrame) -> DataFrame:
     * repeated rows: the same result each; an id with several texts links by the text of each row
     * no rows: no rows; texts of any length are read whole
     """
-    docs = docs.select("doc_id", "text")
+    with arrow_rows(docs.sparkSession, ARROW_ROWS):
+        return linked(docs.select("doc_id", "text"))
+
 
+def linked(docs: DataFrame) -> DataFrame:
     def hashed(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for _, texts in grouped(iter([batch]), 1 << 22):
             yield np.concatenate([shingles(t) for t in texts])
@@ -381,13 +389,11 @@ def keep_first(docs: DataFrame) -> DataFrame:
     found = stage(join(numbered.select(F.col("number").alias("doc_id"), F.col("row.text").alias("text"))), "join-found")
     groups = stage(found.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id"), "join-groups")
     members = stage(found.join(groups, "component_id").select(F.col("doc_id").alias("number"), "component_id"), "join-members")
-    among = sketch.membership(members.select(F.xxhash64("number")), ID_BITS)
-    named = numbered.where(F.coalesce(among(F.xxhash64("number")), F.lit(False))).select("number", F.col("row.doc_id").alias("id"))
-    named = members.join(named, "number")
+    among = value_filter(members, "number")(F.col("number"))
+    named = members.join(numbered.where(among).select("number", F.col("row.doc_id").alias("id")), "number")
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "number"))["number"]
     gone = members.join(named.groupBy("component_id").agg(best.alias("number")), "number", "left_anti").select("number")
     gone = stage(gone, "join-gone")
-    doubtful = F.coalesce(sketch.membership(gone.select(F.xxhash64("number")), ID_BITS)(F.xxhash64("number")), F.lit(False))
-    marked = numbered.withColumn("doubtful", doubtful)
-    rest = marked.where("doubtful").join(gone, "number", "left_anti").select("row")
-    return marked.where("not doubtful").select("row").unionByName(rest).select("row.*")
+    doubtful = value_filter(gone, "number")(F.col("number"))
+    rest = numbered.where(doubtful).join(gone, "number", "left_anti").select("row")
+    return numbered.where(~doubtful).select("row").unionByName(rest).select("row.*")

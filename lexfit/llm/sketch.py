@@ -59,20 +59,30 @@ def count(df: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarr
     return total.reshape(-1)
 
 
+def flags(keys: DataFrame, bits: int) -> np.ndarray:
+    """2**bits flags, packed: set for the slots of all long hashes in ``keys`` (one column)."""
+
+    def hashed(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        yield batch.column(0).to_numpy().view(np.uint64)
+
+    return np.packbits(count(keys, hashed, bits) > 0)
+
+
+def holds(packed: np.ndarray, hashes: pa.Array, bits: int) -> np.ndarray:
+    """False for hashes surely not among those of ``flags``, true for those and a few others."""
+    at = slots(hashes.to_numpy(zero_copy_only=False).view(np.uint64), bits)
+    return (packed[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)
+
+
 def membership(keys: DataFrame, bits: int) -> Callable[[Column], Column]:
     """A test for long hashes: false surely not in ``keys`` (one long column), true in it or one of a few others.
 
     Its size is 2**bits flags, so a large table can be cut down in place before it is joined.
     """
-
-    def hashed(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        yield batch.column(0).to_numpy().view(np.uint64)
-
-    shared = keys.sparkSession.sparkContext.broadcast(np.packbits(count(keys, hashed, bits) > 0))
+    shared = keys.sparkSession.sparkContext.broadcast(flags(keys, bits))
 
     @F.arrow_udf("boolean")
     def held(hashes: pa.Array) -> pa.Array:
-        at = slots(hashes.to_numpy(zero_copy_only=False).view(np.uint64), bits)
-        return pa.array((shared.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool))
+        return pa.array(holds(shared.value, hashes, bits))
 
     return held
