@@ -6,7 +6,6 @@ import gc
 import shutil
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
-from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -26,8 +25,16 @@ SALTS = 64
 _shipped: set[str] = set()
 
 
+#: Rows of whole texts that go to a Python worker at a time, where the session has Spark's default of 10,000.
+ARROW_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Give this package to the Python workers, once per application; they may not have it installed."""
+    """Give this package to the Python workers, once per application; they may not have it installed.
+
+    Sets two things for the session: shuffle files may go once a table is written, and
+    Python workers get smaller batches, unless their size has been chosen already.
+    """
     sc = spark.sparkContext
     if sc.applicationId not in _shipped:
         root = Path(__file__).resolve().parents[2]
@@ -35,18 +42,8 @@ def ship(spark: SparkSession) -> None:
         _shipped.add(sc.applicationId)
     # stage tables are read again, not shuffles: their files may go as soon as a table is written
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
-
-
-@contextmanager
-def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Inside, tables that are written hand Python workers at most so many rows at a time; the session is left as it was."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, min(rows, int(before)) if int(before) > 0 else rows)
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
