@@ -30,7 +30,7 @@ ROWS_PER_TASK = 100_000
 FAN_IN = 8
 #: A bin with no more room than this is done.
 NEARLY_FULL = 8
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
 TAIL = b".,;:!?*&%$#|"
 
 
