@@ -1,9 +1,9 @@
 """Suffix arrays by induced sorting, and permuted longest common prefixes.
 
-The byte level runs on numpy: suffixes are induced bucket by bucket, and inside a bucket
-in waves of all suffixes found so far, each placed by a stable count of first symbols.
-The reduced string of leftmost-smaller substrings is sorted by the same method on plain
-lists, level after level. Both are linear in the text.
+A string's leftmost-smaller substrings are ranked, the string of their ranks is sorted by
+the same method, level after level, and all suffixes are induced from that order: with
+few symbols bucket by bucket on numpy, in waves of all suffixes found so far, and with
+many by a scan each way over lists. Both are linear in the text.
 """
 
 from __future__ import annotations
@@ -87,57 +87,78 @@ def induce(text: np.ndarray, smaller: np.ndarray, lms: np.ndarray, symbols: int)
     return sa
 
 
-def plain_suffix_array(text: list[int], symbols: int) -> list[int]:
-    """The same by loops over lists, for the reduced strings; the last symbol is unique and least."""
+def induce_loosely(text: np.ndarray, smaller: np.ndarray, lms: np.ndarray, symbols: int) -> list[int]:
+    """The same for a string of many symbols: a scan each way over lists, as its buckets hold too little for waves."""
     n = len(text)
-    smaller = [True] * n
-    for i in range(n - 2, -1, -1):
-        smaller[i] = text[i] < text[i + 1] or (text[i] == text[i + 1] and smaller[i + 1])
-    lms = [i for i in range(1, n) if smaller[i] and not smaller[i - 1]]
-    sizes = [0] * symbols
-    for c in text:
-        sizes[c] += 1
-    starts, ends, total = [0] * symbols, [0] * symbols, 0
-    for c, size in enumerate(sizes):
-        starts[c] = total
-        total += size
-        ends[c] = total
-
-    def induced(seeds: list[int]) -> list[int]:
-        sa, slots = [-1] * n, ends.copy()
-        for i in reversed(seeds):
-            slots[text[i]] -= 1
-            sa[slots[text[i]]] = i
-        slots = starts.copy()
-        for k in range(n):
-            i = sa[k] - 1
-            if i >= 0 and not smaller[i]:
-                c = text[i]
-                sa[slots[c]] = i
-                slots[c] += 1
-        slots = ends.copy()
-        for k in range(n - 1, -1, -1):
-            i = sa[k] - 1
-            if i >= 0 and smaller[i]:
-                c = text[i]
-                slots[c] -= 1
-                sa[slots[c]] = i
-        sa[0] = n - 1
-        return sa
+    ends = np.cumsum(np.bincount(text, minlength=symbols))
+    before = np.append(text[-1], text[:-1])
+    ahead = np.where(np.append(True, smaller[:-1]), -1, before)  # the symbol before i where that suffix is a larger one
+    behind = np.where(np.append(False, smaller[:-1]), before, -1)
+    ahead, behind = [*ahead.tolist(), -1], [*behind.tolist(), -1]  # place n: nothing yet
+    sa = np.full(n, n, np.int64)
+    place(sa, ends.copy(), text[lms[::-1]], lms[::-1], -1)
+    sa, heads, tails = sa.tolist(), [0, *ends[:-1].tolist()], (ends - 1).tolist()
+    for i in sa:
+        if (c := ahead[i]) >= 0:
+            sa[heads[c]] = i - 1
+            heads[c] += 1
+    for i in reversed(sa):
+        if (c := behind[i]) >= 0:
+            sa[tails[c]] = i - 1
+            tails[c] -= 1
+    sa[0] = n - 1
+    return sa
+
+
+def substring_names(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray, symbols: int) -> np.ndarray:
+    """The rank of each substring among all: a few symbols at a time, as long as a substring has more.
+
+    A leftmost-smaller substring that begins another one comes after it, so an end
+    counts as more than any symbol.
+    """
+    bits = int(symbols).bit_length()
+    step, end = max(1, 63 // bits), (1 << bits) - 1
+    names = np.zeros(len(starts), np.int64)
+    live = np.arange(len(starts))
+    at = 0
+    while len(live):
+        word = np.zeros(len(live), np.int64)
+        for k in range(at, at + step):
+            inside = k < lengths[live]
+            word = word << bits | np.where(inside, text[np.where(inside, starts[live] + k, 0)], end)
+        order = np.lexsort((word, names[live]))
+        group, word = names[live][order], word[order]
+        fresh = np.append(True, group[1:] != group[:-1])
+        other = fresh | np.append(True, word[1:] != word[:-1])
+        # a name is the number of substrings before its group, so later words only split groups
+        first = np.flatnonzero(fresh)
+        within = np.flatnonzero(other)[np.cumsum(other) - 1] - np.repeat(first, np.diff(np.append(first, len(live))))
+        names[live[order]] = group + within
+        at += step
+        live = live[lengths[live] >= at]  # one that ends here still goes after the longer ones
+    return np.unique(names, return_inverse=True)[1]
+
+
+def leftmost_smaller(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The types of all suffixes, the leftmost-smaller places, and the lengths of their substrings."""
+    smaller = smaller_types(text)
+    lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
+    return smaller, lms, np.diff(np.append(lms, len(text) - 1)) + 1
+
+
+def ordered(lms: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Leftmost-smaller suffixes in order, from the names of their substrings."""
+    count = int(names.max()) + 1
+    return lms[np.argsort(names) if count == len(lms) else plain_suffix_array(names, count)]
 
+
+def plain_suffix_array(text: np.ndarray | list[int], symbols: int) -> list[int]:
+    """For strings of many symbols, as those of names are: all integers below ``symbols``, the last one unique and least."""
+    text = np.asarray(text, np.int64)
+    smaller, lms, lengths = leftmost_smaller(text)
     if len(lms) > 1:
-        nexts = dict(zip(lms, [*lms[1:], n - 1], strict=True))
-        ordered = [i for i in induced(lms) if i > 0 and smaller[i] and not smaller[i - 1]]
-        names, name, last = {}, -1, None
-        for i in ordered:
-            part = text[i : nexts[i] + 1]
-            if part != last:
-                name, last = name + 1, part
-            names[i] = name
-        if name + 1 < len(lms):
-            ordered = [lms[k] for k in plain_suffix_array([names[i] for i in lms], name + 1)]
-        lms = ordered
-    return induced(lms)
+        lms = ordered(lms, substring_names(text, lms, lengths, symbols))
+    return induce_loosely(text, smaller, lms, symbols)
 
 
 class PrefixHash:
@@ -153,24 +174,11 @@ class PrefixHash:
 
 
 def suffix_array(text: np.ndarray, symbols: int, hashes: PrefixHash) -> np.ndarray:
-    """``text``: small integers, the last one unique and least; ``hashes``: over the same text."""
-    smaller = smaller_types(text)
-    lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
+    """For strings of few symbols, the last one unique and least; ``hashes``: over the same text."""
+    smaller, lms, lengths = leftmost_smaller(text)
     if len(lms) > 1:
-        is_lms = np.zeros(len(text), bool)
-        is_lms[lms] = True
-        ordered = induce(text, smaller, lms, symbols)
-        ordered = ordered[is_lms[ordered]]
-        after = np.zeros(len(text), np.int64)
-        after[lms] = np.append(lms[1:], len(text) - 1)
-        length = after[ordered] - ordered + 1
-        value = hashes.of(ordered, length)
-        new = np.append(True, (length[1:] != length[:-1]) | (value[1:] != value[:-1]))
-        names = np.zeros(len(text), np.int64)
-        names[ordered] = np.cumsum(new) - 1
-        if not new.all():
-            ordered = lms[plain_suffix_array(names[lms].tolist(), int(new.sum()))]
-        lms = ordered
+        _, first, which = np.unique(hashes.of(lms, lengths), return_index=True, return_inverse=True)
+        lms = ordered(lms, substring_names(text, lms[first], lengths[first], symbols)[which])
     return induce(text, smaller, lms, symbols)
 
 
