@@ -3,20 +3,22 @@
 Every string of LENGTH bytes holds an anchor: the place whose hash of the next GRAM bytes
 is least among those inside it. Equal strings have the same anchor, so two strings can be
 equal only if their anchors' hashes are. Anchors are counted over the corpus; of those
-whose hash occurs again, the bytes around them (a segment, long enough for every string
-with that anchor) go to the shard of the hash. Segments equal in full need no sorting:
+whose hash occurs again, the strings with that anchor (a segment: they follow each
+other) go to the shard of the hash. Segments equal in full need no sorting:
 all their strings repeat. Of the rest one of each is kept, and a shard sorts the suffixes
 of its segments by induction, takes their permuted common prefixes, and marks those that
 share LENGTH bytes with one from another place.
 
-A hash with more than GROUP_MAX different segments is not sorted in one task: its strings
-are dealt by their own hashes, counted, and give the same marks.
+A hash with more than GROUP_MAX different segments is not sorted in one task: its segments
+are cut into parts that share a longer block, and these are dealt by that block. What is
+still too many is cut again with blocks that leave out less, down to single strings.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexfit.llm import sketch
-from lexfit.llm.common import grouped
+from lexfit.llm.common import grouped, let
 from lexfit.llm.jaccard_join import BYTES, mix, powers
 from lexfit.llm.suffix_array import PrefixHash, common_prefixes, suffix_array
 from lexfit.session import stage
@@ -35,6 +37,8 @@ SHARD_BYTES = 1 << 19
 #: Blocks that stand for all strings of an anchor start at multiples of this before it.
 BLOCK_STEP = 50
 GROUP_MAX = 1_000
+#: How far apart the strings of a part may start, each time that a group is too large.
+STEPS = (50, 10, 1)
 ID_BITS = 22
 PLACE_BITS = 30
 
@@ -50,10 +54,10 @@ def hashes_of(raw: np.ndarray) -> PrefixHash:
     return PrefixHash(BYTES[raw], up[: len(raw)], down)
 
 
-def anchors(raw: np.ndarray, hashes: PrefixHash, length: int, gram: int) -> np.ndarray:
-    """The leftmost least gram of every string of ``length`` bytes."""
+def anchors(raw: np.ndarray, hashes: PrefixHash, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The leftmost least gram of every string of ``length`` bytes; and where the strings of each begin and end."""
     if len(raw) < length:
-        return np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 3
     places = np.arange(len(raw) - gram + 1)
     keyed = mix(hashes.of(places, gram)) >> U(PLACE_BITS) << U(PLACE_BITS) | places.astype(np.uint64)
     width = length - gram + 1
@@ -64,12 +68,9 @@ def anchors(raw: np.ndarray, hashes: PrefixHash, length: int, gram: int) -> np.n
     upto = np.minimum.accumulate(grid, 1).reshape(-1)
     since = np.minimum.accumulate(grid[:, ::-1], 1)[:, ::-1].reshape(-1)
     starts = np.arange(len(raw) - length + 1)
-    least = np.minimum(since[starts], upto[starts + width - 1])
-    return np.unique(least & U((1 << PLACE_BITS) - 1)).astype(np.int64)
-
-
-def bounds(at: np.ndarray, size: int, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.maximum(at - (length - gram), 0), np.minimum(at + length, size)
+    least = (np.minimum(since[starts], upto[starts + width - 1]) & U((1 << PLACE_BITS) - 1)).astype(np.int64)
+    first = np.flatnonzero(np.diff(least, prepend=-1))  # the strings of one anchor follow each other
+    return least[first], first, np.append(first[1:], len(least)) - 1 + length
 
 
 def content_key() -> list[Column]:
@@ -90,8 +91,7 @@ def all_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 if len(raw) < length:
                     continue
                 hashes = hashes_of(raw)
-                at = anchors(raw, hashes, length, gram)
-                low, high = bounds(at, len(raw), length, gram)
+                at, low, high = anchors(raw, hashes, length, gram)
                 seg = mix(hashes.of(low, high - low) + (high - low).astype(np.uint64))
                 parts.append((np.full(len(at), f[row]), np.full(len(at), g[row]), low, high - low, at - low, mix(hashes.of(at, gram)).view(np.int64), seg.view(np.int64)))
             if parts:
@@ -174,24 +174,17 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_max: in
     again = stage(found.join(shared, "anchor"), "dedup-again")
     kinds = again.groupBy("anchor", "segment").agg(F.count("*").alias("n"))
     equal = stage(kinds.where("n > 1").select("anchor", "segment"), "dedup-equal")
-    whole = again.where(F.col("size") >= length).join(equal, ["anchor", "segment"], "left_semi")
+    whole = again.join(equal, ["anchor", "segment"], "left_semi")
     whole = whole.select("f", "g", "start", (F.col("start") + F.col("size")).alias("end")).distinct()
 
     one = F.min(F.struct("f", "g", "start", "size", "lead")).alias("at")
     needed = again.where("differ").groupBy("anchor", "segment").agg(one, (F.count("*") > 1).alias("sure"))
-    needed = stage(needed.select("anchor", "segment", "sure", "at.*"), "dedup-needed")
-    large = stage(needed.groupBy("anchor").count().where(F.col("count") > group_max).select("anchor", F.lit(True).alias("large")), "dedup-large")
-    needed = needed.join(large, "anchor", "left").withColumn("large", F.coalesce("large", F.lit(False)))
+    needed = stage(needed.select("anchor", "sure", "at.*"), "dedup-needed")
     texts = keyed.where(sketch.membership(needed.select("f").distinct(), ID_BITS)(F.col("f"))).groupBy("f", "g").agg(F.any_value("text").alias("text"))
-    cut = needed.join(texts, ["f", "g"]).select("anchor", "sure", "large", "f", "g", "start", "lead", "size", "text")
-
-    def slice_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, parts in grouped(batches):
-            start, size = batch.column("start").to_pylist(), batch.column("size").to_pylist()
-            part = pa.array([(t or "").encode("utf-8", "replace")[a : a + n] for t, a, n in zip(parts, start, size, strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:7], part], ["anchor", "sure", "large", "f", "g", "start", "lead", "bytes"])
-
-    cut = stage(cut.mapInArrow(slice_text, "anchor long, sure boolean, large boolean, f long, g long, start long, lead long, bytes binary"), "dedup-segments")
+    lists = needed.groupBy("f", "g").agg(F.collect_list(F.struct("anchor", "sure", "start", "size", "lead")).alias("segments"))
+    part = lambda raw, s: F.struct(s["anchor"], s["sure"], s["start"], s["lead"], F.substring(raw, s["start"].cast("int") + 1, s["size"].cast("int")).alias("bytes"))
+    parts = let(F.col("text").cast("binary"), lambda raw: F.transform("segments", lambda s: part(raw, s)))
+    cut = stage(lists.join(texts, ["f", "g"]).select("f", "g", F.explode(parts).alias("part")).select("f", "g", "part.*"), "dedup-segments")
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -219,28 +212,54 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_max: in
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["f", "g", "start", "end"])
 
-    span = "f long, g long, start long, end long"
-    small = cut.where("not large").select("anchor", "sure", "f", "g", "start", "lead", "bytes")
-    sorted_spans = small.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(shard, span)
+    out = [whole]
+    for step in [min(step, max(1, (length - gram) // 2)) for step in STEPS]:
+        large = stage(cut.groupBy("anchor").count().where(F.col("count") > group_max).select("anchor"), "dedup-large")
+        none = large.isEmpty()
+        small = (cut if none else cut.join(large, "anchor", "left_anti")).select("anchor", "sure", "f", "g", "start", "lead", "bytes")
+        out.append(small.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(shard, "f long, g long, start long, end long"))
+        if none:
+            break
+        equal_parts, cut = parted(cut.join(large, "anchor", "left_semi"), length, step)
+        out.append(equal_parts)
+    return reduce(DataFrame.unionByName, out)
+
+
+def parted(segments: DataFrame, length: int, step: int) -> tuple[DataFrame, DataFrame]:
+    """Spans of the parts of segments that are equal in full, and one of each of the parts that are not alone.
+
+    A part holds the strings that start less than ``step`` apart, counted from the anchor;
+    they share a block of ``length - step + 1`` bytes, which is the anchor of the part. With
+    a step of 1 the parts of an anchor are equal, so none is left.
+    """
+    share = length - step + 1
 
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for sure, f, g, start, raw in zip(*(batch.column(c).to_pylist() for c in ("sure", "f", "g", "start", "bytes")), strict=True):
-                data = np.frombuffer(raw, np.uint8)
-                if len(data) >= length:
-                    at = np.arange(len(data) - length + 1)
-                    hashes = hashes_of(data)
-                    h = hashes.of(at, length)
-                    cols = [mix(h).view(np.int64), mix(h ^ U(0x5851F42D4C957F2D)).view(np.int64), np.full(len(at), sure), np.full(len(at), f), np.full(len(at), g), start + at]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h", "i", "sure", "f", "g", "start"])
-
-    if large.isEmpty():
-        return whole.unionByName(sorted_spans)
-    dealt = cut.where("large").mapInArrow(strings, "h long, i long, sure boolean, f long, g long, start long")
-    place = F.struct("f", "g", "start")
-    counted = stage(dealt.groupBy("h", "i").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.max("sure").alias("sure")).where("sure or low <> high").select("h", "i"), "dedup-strings")
-    dealt = dealt.join(counted, ["h", "i"]).where("not sure").select("f", "g", "start", (F.col("start") + length).alias("end")).distinct()
-    return whole.unionByName(sorted_spans).unionByName(dealt)
+            rows: list[tuple] = []
+            for anchor, sure, f, g, start, lead, raw in zip(*(batch.column(c).to_pylist() for c in ("anchor", "sure", "f", "g", "start", "lead", "bytes")), strict=True):
+                hashes = hashes_of(np.frombuffer(raw, np.uint8))
+                least = lead - (len(raw) - length)
+                block = np.arange(least // step * step, lead + 1, step)
+                low, high = np.maximum(block, least), np.minimum(block + step - 1, lead)
+                size = high - low + length
+                key = mix(hashes.of(lead - block, share) + block.astype(np.uint64)).view(np.int64) ^ anchor
+                whole = mix(hashes.of(lead - high, size) + size.astype(np.uint64)).view(np.int64)
+                for k, w, at, n, far in zip(key.tolist(), whole.tolist(), (lead - high).tolist(), size.tolist(), (high - block).tolist(), strict=True):
+                    rows.append((k, w, sure, f, g, start + at, far, raw[at : at + n]))
+            if rows:
+                kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(cols, ["anchor", "segment", "sure", "f", "g", "start", "lead", "bytes"])
+
+    schema = "anchor long, segment long, sure boolean, f long, g long, start long, lead long, bytes binary"
+    parts = stage(segments.mapInArrow(cut, schema), "dedup-parts")
+    one = F.min(F.struct("f", "g", "start", "lead", "bytes")).alias("at")
+    kinds = stage(parts.groupBy("anchor", "segment").agg(F.count("*").alias("n"), F.max("sure").alias("sure"), one), "dedup-kinds")
+    equal = parts.where("not sure").join(kinds.where("n > 1").select("anchor", "segment"), ["anchor", "segment"], "left_semi")
+    several = kinds.groupBy("anchor").count().where("count > 1").select("anchor")
+    left = kinds.join(several, "anchor", "left_semi").select("anchor", (F.col("sure") | (F.col("n") > 1)).alias("sure"), "at.*")
+    return equal.select("f", "g", "start", (F.col("start") + F.octet_length("bytes")).alias("end")), stage(left, "dedup-segments")
 
 
 def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_max: int = GROUP_MAX) -> DataFrame:
