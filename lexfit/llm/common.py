@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import shutil
+import sys
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +31,8 @@ _shipped: set[str] = set()
 
 #: Rows of whole texts that go to a Python worker at a time, where the session has Spark's default of 10,000.
 ARROW_ROWS = 1000
+#: Bytes that go at a time, where the session has not chosen: one long text is a batch of its own.
+ARROW_BYTES = 4 * 1024 * 1024
 
 
 def ship(spark: SparkSession) -> None:
@@ -44,6 +50,8 @@ def ship(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    if not sc.getConf().contains("spark.sql.execution.arrow.maxBytesPerBatch"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +74,10 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 _kept: dict[str, object] = {}
+#: The last task that went through texts here.
+_tasks: list[int | None] = []
+#: The C library's name for the size from which a block is mapped apart, and that size in bytes.
+MMAP_THRESHOLD, LARGE_BLOCK = -3, 1 << 20
 
 
 def kept(name: str, make: Callable[[], object]) -> object:
@@ -75,13 +87,30 @@ def kept(name: str, make: Callable[[], object]) -> object:
     return _kept[name]
 
 
+@cache
+def c_library() -> ctypes.CDLL | None:
+    """The C library, told to hand back large blocks as soon as they are free; None where it can't be."""
+    if sys.platform != "linux" or not hasattr(lib := ctypes.CDLL(None), "malloc_trim"):
+        return None
+    lib.mallopt(MMAP_THRESHOLD, LARGE_BLOCK)
+    return lib
+
+
 def forget(keep: str = "") -> None:
-    """Lets go what this worker process has kept from earlier tasks, all but ``keep``."""
-    if any(name != keep for name in _kept):
-        for name in [name for name in _kept if name != keep]:
-            del _kept[name]
-        gc.collect()
-        pa.default_memory_pool().release_unused()
+    """Lets go what this worker process has kept from earlier tasks, all but ``keep``, and hands free memory back.
+
+    A worker serves tasks of many kinds; what one of them has freed would else stay with the process beside the next.
+    """
+    task = context.taskAttemptId() if (context := TaskContext.get()) else None
+    if task in _tasks and task is not None:
+        return
+    _tasks[:] = [task]
+    for name in [name for name in _kept if name != keep]:
+        del _kept[name]
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if lib := c_library():
+        lib.malloc_trim(0)
 
 
 def grouped(batches: Iterator[pa.RecordBatch], size: int = 1 << 21, keep: str = "") -> Iterator[tuple[pa.RecordBatch, list]]:
