@@ -204,3 +204,22 @@ def test_search_equals_brute_force(spark):
     few = spark.createDataFrame(rows[:3], table.schema)
     assert hamming_search.search(few, few, 7).count() == 9
     assert hamming_search.search(few.limit(0), few.limit(0), 7).count() == 0
+
+
+def test_parts_of_large_groups_equal_brute_force(make):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(300)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+
+    def near(passage):
+        changed = passage.split()
+        for _ in range(rng.randint(0, 4)):
+            changed[rng.randrange(len(changed))] = rng.choice(words)
+        return " ".join(changed)
+
+    passages = [text(30) for _ in range(4)]
+    texts = [f"{text(rng.randint(0, 30))} {near(rng.choice(passages))} {text(15)} {near(rng.choice(passages))}" for _ in range(100)]
+    texts += ["ab" * 300, "x" * 250, "é" * 90, None, "", texts[0], texts[0]]
+    for length, gram, group_max in ((40, 12, 1), (100, 25, 6)):
+        rows = {r.doc_id: r for r in suffix_dedup.remove(make(texts), length, gram, group_max).collect()}
+        assert [(rows[i].n_bytes, rows[i].n_removed, rows[i].n_spans, rows[i].kept_sha256) for i in range(len(texts))] == plain_removal(texts, length)
