@@ -1,21 +1,25 @@
 """Personal data by generated candidates and boosted trees.
 
 Patterns of high recall propose spans that may overlap: the four base kinds, and looser
-forms of them (addresses with the signs spelt out, numbers without a country code, dotted
-quads and digit runs of any value). Boosted trees judge each candidate by its format and
-the words before it; a calibrated threshold per kind selects. Base spans always stand; a
-candidate is added only if it overlaps none of them and no better candidate.
+forms of them (addresses with the signs spelt out, in brackets or as words; numbers of any
+grouping with seven digits or more; quads with spelt dots; digit groups with any separators,
+also inside longer runs). Boosted trees judge each candidate by its format and the words
+before it; a calibrated threshold per kind selects. Base spans always stand; a candidate is
+added only if it overlaps none of them and no better candidate.
 
 No table marks personal data, so the trees learn from what the texts themselves settle:
-base spans and respelt copies of them against candidates that fail the base checks and
-copies with a digit or sign broken. All candidates of the corpus count: equal ones are
-one row with a weight, so that neither hot forms nor the corpus's size limit the fit.
+base spans and respelt copies of them against copies with a digit, sign or grouping broken
+(dates, counts, plain runs) and candidates that no reading makes personal data. What may be
+personal data in a form that the base does not know has no label and is not learnt from. All
+candidates of the corpus count: equal ones are one row with a weight, so that neither hot
+forms nor the corpus's size limit the fit.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -44,6 +48,15 @@ SPELT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}\s?(?
 LOCAL_PHONE = re.compile(r"(?<![\w.+-])(?:(?:\+|00)[1-9][0-9]{0,2}[ .-])?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![\w-])")
 WORDS_FOR = re.compile(r"mail|contact|phone|tel|call|fax|mobile|card|visa|credit|address|host|server|\bip\b", re.I)
 WORDS_AGAINST = re.compile(r"order|invoice|version|isbn|issn|serial|article|page|section|\bno\b|\bid\b|licen[sc]e|§", re.I)
+#: Signs as words: "name at host dot com".
+WORDED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}\s(?:at|AT)\s[A-Za-z0-9-]{1,63}(?:(?:\.|\s(?:dot|DOT)\s)[A-Za-z0-9-]{1,63}){1,5}")
+SPELT_QUAD = re.compile(r"(?<![0-9])[0-9]{1,3}(?:(?:\s?(?:\[\.\]|\(\.\)|\[dot\]|\(dot\))\s?|\sdot\s)[0-9]{1,3}){3}(?![0-9])", re.I)
+#: Any separators; and groups as cards have them, wherever they begin in a longer run of groups.
+WIDE_CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20./_-]{0,2}[0-9]){11,18}(?![0-9])")
+CARD_GROUPS = re.compile(r"(?<![0-9])(?=([0-9]{4}([\x20./_-])(?:[0-9]{4}\2[0-9]{4}\2[0-9]{4}|[0-9]{6}\2[0-9]{5}))(?![0-9]))")
+NUMBER = re.compile(r"(?<![\w.+/-])(?:\+|\()?[0-9](?:[\x20()./-]{0,3}[0-9]){6,14}(?![\w/-])")
+DATE = re.compile(r"(?:[0-9]{4}([./-])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([./-])[0-9]{1,2}\2(?:[0-9]{4}|[0-9]{2}))(?![0-9])")
+CARD_SHAPES = {(4, 4, 4, 4), (4, 6, 5)}
 CONTEXT = 24
 
 
@@ -87,57 +100,129 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
-#: Every candidate has a digit, an at sign or a spelt one.
-MAY_HOLD = re.compile(r"[0-9]|@|[(\[{][aA][tT][)\]}]")
+#: Every candidate has a digit, an at sign or a spelt one; as a word it is followed by a name with a dot.
+MAY_HOLD = re.compile(r"[0-9]|@|[(\[{][aA][tT][)\]}]|\s(?:at|AT)\s[A-Za-z-]+(?:\.[A-Za-z-]|\s(?:dot|DOT)\s)")
 
 
 def loose_spans(text: str) -> list[tuple[int, int, int]]:
     """Further candidates, overlapping ones included."""
     spans = [(m.start(), 0, m.end()) for m in SPELT.finditer(text)] if re.search(r"[(\[{]at[)\]}]", text, re.I) else []
-    spans += [(m.start(), 1, m.end()) for m in IP.finditer(text)]
-    spans += [(m.start(), 2, m.end()) for m in CARD.finditer(text) if 12 <= m.end() - m.start() <= 40]
-    spans += [(m.start(), 3, m.end()) for m in LOCAL_PHONE.finditer(text)]
-    return spans
+    spans += [(m.start(), 0, m.end()) for m in WORDED.finditer(text)] if " at " in text or re.search(r"\s(?:at|AT)\s", text) else []
+    spans += [(m.start(), 1, m.end()) for p in (IP, SPELT_QUAD) for m in p.finditer(text)]
+    spans += [(m.start(), 2, m.end()) for p in (CARD, WIDE_CARD) for m in p.finditer(text) if 12 <= m.end() - m.start() <= 40]
+    spans += [(m.start(1), 2, m.end(1)) for m in CARD_GROUPS.finditer(text)]
+    spans += [(m.start(), 3, m.end()) for p in (LOCAL_PHONE, NUMBER) for m in p.finditer(text)]
+    return list(dict.fromkeys(spans))
 
 
 def features(text: str, start: int, kind: int, end: int) -> list[float]:
     """Format of the span, its neighbours, and the words just before it."""
     s, before = text[start:end], text[max(0, start - CONTEXT) : start]
     digits = only_digits(s)
-    parts = s.split(".")
-    quad = len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) < 10 for p in parts)
     groups = re.findall("[0-9]+", s)
-    following = text[end : end + 1]
+    shape = tuple(map(len, groups))
+    quad = kind == 1 and len(groups) == 4 and max(shape) < 10 and max(map(int, groups)) <= 255
+    worded, following = kind == 0 and bool(re.search(r"\sat\s", s, re.I)), text[end : end + 1]
     return [
         *(float(kind == k) for k in range(len(KINDS))), float(len(s)), float(len(digits)), float(sum(map(str.isalpha, s))), float(len(groups)),
-        float(max(map(len, groups), default=0)), float(12 <= len(digits) <= 19 and luhn(digits)), float(quad and max(map(int, parts)) <= 255),
+        float(max(shape, default=0)), float(12 <= len(digits) <= 19 and luhn(digits)), float(quad),
         float("@" in s or bool(re.search(r"[(\[{]at[)\]}]", s, re.I))), float(bool(re.search(r"\.|[(\[{]dot[)\]}]", s, re.I))), float(s.startswith(("+", "00"))), float("(" in s),
         float(9 <= len(digits) <= 15), float(before[-1:].isalnum()), float(following.isalnum()), float(before[-1:] in tuple(".-+/=\"")),
         float(bool(WORDS_FOR.search(before))), float(bool(WORDS_AGAINST.search(before))), float(len(set(digits))),
+        float(worded), float(kind == 0 and bool(re.search(r"\sdot\s|[(\[{]dot[)\]}]", s, re.I))), float(kind == 0 and bool(re.match(r"[A-Za-z]*[0-9._%+-]", s))),
+        float(len(s) - len(s.rstrip("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"))), float(shape in CARD_SHAPES), float(s.startswith("0") and not s.startswith("00")),
+        float(len(set(re.findall("[^0-9]+", s)))), float(bool(DATE.match(s))), float(shape[0] if shape else 0), float(shape[-1] if shape else 0), float(min(shape, default=0)),
+        float(bool(re.search(r"[0-9][\x20./-]?$", before) or re.match(r"[\x20./-]?[0-9]", text[end : end + 2]))),
     ]
 
 
 def variants(text: str, start: int, kind: int, end: int) -> Iterator[tuple[str, int, int, float]]:
-    """A base span respelt (1) and broken (0), each as (text, start, end, label) in its context."""
+    """A base span respelt (1) and broken (0), each as (text, start, end, label) in its context.
+
+    Copies of other lengths are among them, so that a corpus whose addresses or numbers are
+    all of one length does not teach the length.
+    """
     s, left, right = text[start:end], text[max(0, start - CONTEXT) : start], text[end : end + 2]
-    made: list[tuple[str, float]] = []
+    made: list[tuple[str, str, str, float]] = []  # what stands before, the copy, what stands behind, label
+    plus = lambda label, *copies: made.extend(("", c, "", label) for c in copies)
+    digits = only_digits(s)
     if kind == 0:
         name, _, domain = s.partition("@")
-        made = [(f"{name} (at) {domain}", 1.0), (f"{name}[at]{domain.replace('.', '[dot]')}", 1.0), (f"{name} (at) {domain.partition('.')[0]}", 0.0)]
+        found = re.search("[A-Za-z]+", name)
+        plain, host = found.group() if found else "look", domain.partition(".")[0]
+        for who in {name, plain, plain[:3]}:
+            for where in {domain, f"{host}.{domain}", domain[-5:].lstrip(".-") if "." in domain[-5:].strip(".-") else domain}:
+                worded = where.replace(".", " dot ")
+                plus(1.0, f"{who} (at) {where}", f"{who}(at){where}", f"{who}[at]{where.replace('.', '[dot]')}", f"{who} [at] {worded}", f"{who} at {worded}")
+                plus(float(bool(re.match(r"[A-Za-z]*[0-9._%+-]", who))), f"{who} at {where}")
+        plus(0.0, f"{name} (at) {host}", f"{plain} at 10.30")
     elif kind == 1:
         parts = s.split(".")
-        made = [(".".join([*parts[:3], "731"]), 0.0), (".".join(["999", *parts[1:]]), 0.0)]
+        high, low = [*parts[:3], "731"], ["999", *parts[1:]]
+        plus(0.0, ".".join(high), ".".join(low), "[.]".join(high), " dot ".join(low))
+        plus(1.0, *(sign.join(parts) for sign in ("[.]", "(dot)", " dot ")))
     elif kind == 2:
-        made = [(s[:-1] + str((int(s[-1]) + 1) % 10), 0.0), (s[:11], 0.0)]
-    elif kind == 3 and " " in s:
-        rest = s.partition(" ")[2]
-        made = [(rest, 1.0), (f"00{s[1:]}", 1.0), (rest[: len(rest) // 2], 0.0)]
-    for new, label in made:
-        yield left + new + right, len(left), len(left) + len(new), label
-
-
-def overlaps(span: tuple[int, int, int], others: list[tuple[int, int, int]]) -> bool:
-    return any(span[0] < e and s < span[2] for s, _, e in others)
+        broken = digits[:-1] + str((int(digits[-1]) + 1) % 10)
+        plus(0.0, s[:-1] + broken[-1], s[:11], f"{digits[:3]}/{digits[3:8]}/{digits[8:]}", f"{digits[:5]}.{digits[5:7]}.{digits[7:]}")
+        if len(digits) in (15, 16):
+            cuts = (0, 4, 8, 12, 16) if len(digits) == 16 else (0, 4, 10, 15)
+            for sign in "/._ -":
+                for d, label in ((digits, 1.0), (broken, 0.0)):
+                    cut = sign.join(d[a:b] for a, b in zip(cuts, cuts[1:], strict=False))
+                    made += [("", cut, "", label), ("12 ", cut, "", label), ("", cut, " 2024", label)]
+            made += [("", d, f" {digits[::-1]}", label) for d, label in ((digits, 1.0), (broken, 0.0))]
+    elif kind == 3:
+        code, _, rest = s[1:].partition(" ")
+        whole = only_digits(rest)
+        if len(whole) >= 7:
+            plus(1.0, rest, f"00{s[1:]}")
+            made += [("", s, " 190", 1.0), ("", rest, " 1111", 0.0), ("2024 ", rest, "", 0.0), ("", f"{whole[:4]} {whole[:4]} {whole[-4:]}", " 1111", 0.0)]
+            for n in {whole, whole[:9], whole[:8]}:
+                pairs = [("0" + n)[a : a + 2] for a in range(0, len(n) + 1, 2)]
+                plus(1.0, f"00{code} {n[:2]} {n[2:]}", f"0{n[:2]} {n[2:]}", f"0{n[:3]}/{n[3:]}", f"0{n[:2]}-{n[2:5]}-{n[5:]}", *([" ".join(pairs)] if len(n) == 9 else []))
+                plus(0.0, n, f"{n[:3]} {n[3:]}", " ".join(n), f"{n[:2]}.{n[2:5]}.{n[5:8]}")
+            n = whole
+            if len(n) == 10:
+                plus(1.0, *(sign.join((n[:3], n[3:6], n[6:])) for sign in " -."))
+            plus(0.0, f"{n[:2]}.{n[2:4]}.{n[3:7]}", f"0{n[1]}.0{n[2]}.{n[3:7]}", f"{n[:4]}-{n[4:6]}-{n[5:7]}", f"{n[:4]}-0{n[4]}-{n[5:7]} 0{n[0]}.{n[1:3]}", n[:7], rest[: len(rest) // 2])
+    for lead, new, tail, label in made:
+        yield left + lead + new + tail + right, len(left + lead), len(left + lead + new), label
+
+
+class Taken:
+    """Stretches that are spoken for; as they are disjoint and in order, one search finds an overlap."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, _, b in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(b, self.ends[-1])
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def meets(self, a: int, b: int) -> bool:
+        i = bisect_right(self.ends, a)
+        return i < len(self.starts) and self.starts[i] < b
+
+    def add(self, a: int, b: int) -> None:
+        """A stretch that meets none."""
+        i = bisect_right(self.ends, a)
+        self.starts.insert(i, a)
+        self.ends.insert(i, b)
+
+
+def no_reading(text: str, start: int, kind: int, end: int) -> bool:
+    """Whether a candidate outside the base is settled: no respelling of personal data looks like it."""
+    s = text[start:end]
+    if kind == 0:
+        return bool(WORDED.fullmatch(s)) and not re.search(r"\sdot\s", s, re.I) and not re.match(r"[A-Za-z]*[0-9._%+-]", s)
+    if kind == 1:
+        return any(len(g) > 9 or int(g) > 255 for g in re.findall("[0-9]+", s))
+    if kind == 2:
+        return not (12 <= len(digits := only_digits(s)) <= 19 and luhn(digits))
+    return s[0] not in "+(0" and not LOCAL_PHONE.fullmatch(s) or bool(DATE.match(s))
 
 
 def trace(text: str | None) -> Iterator[tuple[list[float], float]]:
@@ -149,8 +234,9 @@ def trace(text: str | None) -> Iterator[tuple[list[float], float]]:
         yield features(text, s, k, e), 1.0
         for new, a, b, label in variants(text, s, k, e):
             yield features(new, a, k, b), label
+    taken = Taken(base)
     for s, k, e in loose_spans(text):
-        if k in (1, 2) and not overlaps((s, k, e), base):
+        if not taken.meets(s, e) and no_reading(text, s, k, e):
             yield features(text, s, k, e), 0.0
 
 
@@ -223,7 +309,7 @@ def cells_of(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
     return np.stack([np.searchsorted(e, x[:, f], "right") for f, e in enumerate(edges)], 1)
 
 
-def fit(edges: list[np.ndarray], cells: np.ndarray, y: np.ndarray, n: np.ndarray, rounds: int = 80, rate: float = 0.15, ridge: float = 2.0) -> Boosted:
+def fit(edges: list[np.ndarray], cells: np.ndarray, y: np.ndarray, n: np.ndarray, rounds: int = 200, rate: float = 0.15, ridge: float = 2.0) -> Boosted:
     """Boost on four fifths of the candidates; calibrate by a logistic fit and per-kind thresholds on the rest.
 
     A row stands for ``n`` candidates of equal cells and label, of which a fifth, rounded
@@ -315,12 +401,15 @@ def find(text: str | None, model: Boosted | None) -> tuple[list[tuple[int, int,
         return [], []
     base = base_spans(text)
     chosen = list(base)
-    loose = [s for s in loose_spans(text) if not overlaps(s, base)] if model else []
+    taken = Taken(base)
+    loose = [c for c in loose_spans(text) if not taken.meets(c[0], c[2])] if model else []
     if loose:
         p = model.probability(np.array([features(text, s, k, e) for s, k, e in loose]))
         for i in np.argsort(-p, kind="stable").tolist():
-            if p[i] >= model.thresholds[loose[i][1]] and not overlaps(loose[i], chosen):
+            a, kind, b = loose[i]
+            if p[i] >= model.thresholds[kind] and not taken.meets(a, b):
                 chosen.append(loose[i])
+                taken.add(a, b)
     return base, sorted(chosen)
 
 

@@ -161,6 +161,58 @@ def test_personal_data_learns_beside_hot_forms(make):
     assert pii.find("see 300.1.2.7 now", model)[1] == []
 
 
+RESPELT = [
+    ("mail joe (at) web.example.com now", "joe (at) web.example.com"), ("mail name at host dot com now", "name at host dot com"),
+    ("call 030 1234567 soon", "030 1234567"), ("tel 0049 30 1234567", "0049 30 1234567"), ("fax 040/1234567 x", "040/1234567"),
+    ("tel 555 123 4567", "555 123 4567"), ("paid 4111/1111/1111/1111 x", "4111/1111/1111/1111"),
+    ("order 12 4111 1111 1111 1111", "4111 1111 1111 1111"), ("host 10[.]0[.]0[.]1 up", "10[.]0[.]0[.]1"), ("10 dot 0 dot 0 dot 1", "10 dot 0 dot 0 dot 1"),
+    ("call +1 (826) 555-4081 190.137.223.204", "+1 (826) 555-4081"),
+]
+HARMLESS = [
+    "we looked at example.com today", "he was at home.Then", "on 2024-03-01 we", "on 01.02.2024 we", "12.345.678 items", "paid 4111/1111/1111/1112 x",
+    "1 2 3 4 5 6 7 8 9 10 11 12", "id 1234567890", "see 300.1.2.7 now", "10[.]0[.]0[.]999", "at 10.30 dot", "\u0661\u0662\u0663 at x",
+]
+
+
+def test_personal_data_in_forms_the_base_does_not_know(make):
+    """Learnt from base spans alone: respelt addresses, numbers of other groupings, cards and quads with other signs."""
+    rng = random.Random(11)
+    card = lambda d: next(d + str(x) for x in range(10) if pii.luhn(d + str(x)))
+    texts = [f"{prose(rng, n=9)} user{i}@mail{i % 7}.example.com {prose(rng, n=4)} +1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)} {rng.choice(['und', 'le'])}" for i in range(150)]
+    texts += [f"{prose(rng, n=5)} {card(str(rng.randint(10**14, 10**15 - 1)))} {prose(rng, n=4)} {'.'.join(str(rng.randint(1, 255)) for _ in range(4))} x" for _ in range(150)]
+    model = pii.train(make(texts))
+    for text, span in RESPELT:
+        base, spans = pii.find(text, model)
+        assert [text[a:b] for a, _, b in spans if (a, _, b) not in base] == [span], text
+    for text in HARMLESS:
+        assert pii.find(text, model)[1] == [], text
+    for text in texts:  # nothing is added to texts whose personal data the base finds
+        base, spans = pii.find(text, model)
+        assert base == spans
+
+
+def test_stretches_taken_equal_plain_overlaps():
+    rng = random.Random(12)
+    for _ in range(500):
+        spans = [(a := rng.randrange(60), 0, a + rng.randint(1, 9)) for _ in range(rng.randrange(8))]
+        taken = pii.Taken(spans)
+        for _ in range(20):
+            a = rng.randrange(70)
+            b = a + rng.randint(1, 9)
+            assert taken.meets(a, b) == any(a < e and s < b for s, _, e in spans)
+            if not taken.meets(a, b):
+                taken.add(a, b)
+                spans.append((a, 0, b))
+
+
+def test_long_texts_are_searched_whole_for_personal_data():
+    """A text of many spans: all found, in time that does not grow with the square of their number."""
+    model = pii.Boosted([np.array([0.5])] * len(pii.features("1", 0, 1, 1)), 9.0, thresholds=[0.5] * 4)
+    text = "a.b@c.de, 10.0.0.1; 030 1234567 " * 20_000
+    base, spans = pii.find(text, model)
+    assert (len(base), len(spans)) == (40_000, 60_000)
+
+
 def test_log_ratio_counts_all_trusted_documents(make, spark, monkeypatch):
     """More trusted documents than any sample held; broadcast or dealt out, each is counted."""
     n = 12_000
