@@ -9,7 +9,7 @@ from lexfit import fixed_values as fx
 from lexfit.functions import records as R
 from lexfit.functions.stemming import cistem, snowball_german
 from lexfit.functions.text import extract_emails, remove_stopwords, tokens_to_text
-from lexfit.operators import cleaning, ranking, scoring, sections
+from lexfit.operators import cleaning, pages, ranking, scoring, sections, selection
 from lexfit.operators.language import detect_language
 from lexfit.operators.terms import lemmatize, prepare_terms
 from lexfit.schemas import SECTIONS, TOKEN_STEPS
@@ -172,6 +172,37 @@ def full_store(
     return conform(rows)
 
 
+def page_letters(
+    store: DataFrame,
+    landed: DataFrame,
+    company_pages: DataFrame,
+    terms: DataFrame,
+    texts: list[Column],
+    thresholds: dict[str, float] = fx.THRESHOLDS,
+    stop_words: list[str] | None = None,
+    lemmas: DataFrame | None = None,
+    extra_keywords: dict | None = None,
+    **address,
+) -> DataFrame:
+    """Stored ad records to the letters of those worth one, with the file name, ``texts``
+    (columns over title, company and address) and the scores that chose them.
+
+    ``store`` and ``landed(page_id, url, html)`` are unique on url. Addresses, which may
+    stand on company pages only, are resolved by ``pages.address_resolve(**address)`` once
+    the rows are chosen: of the landed pages, those of chosen rows alone are parsed for them.
+    """
+    prepared = stage(prepare_records(store, extra_keywords), "prepared")
+    steps = token_steps(prepared, "url", stop_words, lemmas).select("url", "section", F.col("no_stop").alias("text"))
+    report = report_from_texts(steps, prepare_terms(terms, lemmas))
+    measures = [f"{s}_jaccard" for s in (*SECTIONS, "total")]
+    open_rows = prepared.select("url", "title", "company", "email", F.lit(None).cast("string").alias("letter_done"), F.lit(None).cast("string").alias("file_name"))
+    scored = open_rows.join(report.select("url", *measures), "url")
+    chosen = stage(selection.mark_done(scored.where(selection.eligible(thresholds)), F.lit(True)), "chosen")
+    ads = landed.join(chosen.select("url"), "url", "left_semi")
+    found = pages.address_resolve(ads, company_pages, **address).join(ads.select("page_id", "url"), "page_id")
+    return chosen.join(found.select("url", "address"), "url", "left").select("url", "company", "title", "email", "file_name", *texts, *measures)
+
+
 def report_rows(ranked: DataFrame, key: str) -> DataFrame:
     """The ranked long table to one row per text: a single shuffle, numbers and matches only."""
 

@@ -39,6 +39,7 @@ EXTRA_KEYWORDS = {
     ("contact", 1): ["to", "la"],
 }
 THRESHOLDS = {"tasks": 0.004, "profile": 0.002, "benefits": 0.0, "total": 0.03}
+PAGE_THRESHOLDS = {"tasks": 0.02, "profile": 0.01, "benefits": 0.0, "total": 0.015}
 TITLE_MARKERS = ("<title>", "</title>")
 COMPANY_MARKERS = ("<footer>&copy; ", " &middot;")
 ADDRESS_PATTERN = "<p>(.+?)</p>"
@@ -134,6 +135,12 @@ def _letters(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _company_pages(landed: DataFrame) -> DataFrame:
+    """The company page behind a card link: of the pages that show the link first, the earliest."""
+    companies = landed.select("page_id", H.first_group(F.col("html"), CARD_PATTERN).alias("link"), "html")
+    return cleaning.dedupe_first(companies.where("link is not null"), "link", ("page_id",)).select("link", "html")
+
+
 def _parts(titles: DataFrame) -> DataFrame:
     return titles.select("p_partkey", F.col("p_brand").alias("company"), F.concat_ws(" ", "p_name", "p_type").alias("title"))
 
@@ -307,11 +314,8 @@ def address_clean(spark: SparkSession, d: str) -> DataFrame:
 @query
 def address_resolve(spark: SparkSession, d: str) -> DataFrame:
     landed = _pages(spark, d)
-    # The company page behind a card link: of the pages that show the link first, the earliest.
-    companies = landed.select("page_id", H.first_group(F.col("html"), CARD_PATTERN).alias("link"), "html")
-    companies = cleaning.dedupe_first(companies.where("link is not null"), "link", ("page_id",))
     out = pages.address_resolve(
-        landed, companies.select("link", "html"), OWN_ADDRESS_PATTERN, CARD_PATTERN, "<nav>",
+        landed, _company_pages(landed), OWN_ADDRESS_PATTERN, CARD_PATTERN, "<nav>",
         FACTS_PATTERNS, DROP_PREFIXES, SIZE_WORDS,
     )
     return out.select("page_id", F.array_join("address", "|").alias("address"))
@@ -677,6 +681,26 @@ def fit_report(spark: SparkSession, d: str) -> DataFrame:
     return out.select(*rounded)
 
 
+@query
+def page_letters(spark: SparkSession, d: str) -> DataFrame:
+    """Landed pages to a store in two overlapping batches, to scores, chosen rows, addresses and letters."""
+    landed = _pages(spark, d)
+    records = pages.page_records(
+        landed, tags=["p"], company_markers=COMPANY_MARKERS, title_markers=TITLE_MARKERS, address_pattern=OWN_ADDRESS_PATTERN,
+    )
+    path = scratch_path(spark, "store")
+    S.append_batch(spark, path, records.where("pos % 3 = 0"), 0)
+    S.append_batch(spark, path, records, 1)
+    texts = selection.letter_texts("Als Teamplayer.", "01.02.2025", "Hamburg", F.to_date(F.lit("2025-01-02")))
+    out = report.page_letters(
+        S.read_keyed_store(spark, path, records.schema), landed, _company_pages(landed), _terms(spark), texts, PAGE_THRESHOLDS,
+        STOP_WORDS, extra_keywords=EXTRA_KEYWORDS, address_pattern=OWN_ADDRESS_PATTERN, card_pattern=CARD_PATTERN,
+        card_marker="<nav>", facts_patterns=FACTS_PATTERNS, drop_prefixes=DROP_PREFIXES, size_words=SIZE_WORDS,
+    )
+    rounded = [F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes]
+    return out.select(*rounded)
+
+
 @query
 def jaccard_ranking(spark: SparkSession, d: str) -> DataFrame:
     """Flagship: documents ranked by Jaccard against a term list."""

@@ -494,10 +494,7 @@ _totals = ", ".join(
     f"+ max({m}) FILTER (section = 'benefits') / 2, 6) AS total_{m}"
     for m in ("cosine", "jaccard")
 )
-SQL["fit_report"] = f"""WITH RECURSIVE
-records AS (SELECT {DOC_URL} AS url, {strip(_clean_title)} AS title, p
-  FROM (SELECT *, string_split(text, chr(10)) AS p FROM documents)),
-kept AS (SELECT * FROM records WHERE NOT ({BLOCKED})),
+REPORT = f"""kept AS (SELECT * FROM records WHERE NOT coalesce({BLOCKED}, false)),
 cells AS (
   SELECT url, 'tasks' AS section, {section("tasks")} AS cell FROM kept
   UNION ALL SELECT url, 'profile', {section("profile")} FROM kept
@@ -511,5 +508,37 @@ terms AS (SELECT section, pos, stem2 AS term FROM raw_terms JOIN stems USING (to
 {scores(REPORT_TEXTS)}, {RANKED},
 report AS (SELECT r.*, abs(cosine_rank - jaccard_rank) AS rank_diff,
     CASE WHEN cosine <> 0 THEN coalesce(matched, '') END AS matched
-  FROM ranked r LEFT JOIN matches USING (id, section))
-SELECT id AS url, {_columns}, {_totals} FROM report GROUP BY id"""
+  FROM ranked r LEFT JOIN matches USING (id, section))"""
+REPORT_ROWS = f"SELECT id AS url, {_columns}, {_totals} FROM report GROUP BY id"
+SQL["fit_report"] = f"""WITH RECURSIVE
+records AS (SELECT {DOC_URL} AS url, {strip(_clean_title)} AS title, p
+  FROM (SELECT *, string_split(text, chr(10)) AS p FROM documents)),
+{REPORT}
+{REPORT_ROWS}"""
+
+
+def replaced_parts(items: str) -> str:
+    for pattern, replacement, columns in fx.REPLACEMENTS:
+        places = ", ".join(c[5:] for c in columns if c.startswith("part_"))
+        pattern = "chr(10)" if pattern == "\n" else q(pattern)
+        items = f"list_transform({items}, lambda x, i: CASE WHEN i IN ({places}) THEN replace(x, {pattern}, {q(replacement)}) ELSE x END)"
+    return items
+
+
+_p = w.PAGE_THRESHOLDS
+SQL["page_letters"] = f"""WITH RECURSIVE
+raw AS (SELECT url, {replaced("title")}, {replaced("company")}, {replaced_parts("t")} AS p
+  FROM (SELECT url, {PAGE_TITLE} AS title, {PAGE_COMPANY} AS company, {parts("html", "p")} AS t FROM pages)),
+records AS (SELECT url, {strip(_clean_title.replace("p[1]", "title"))} AS title, company, p FROM raw),
+{REPORT},
+rows AS ({REPORT_ROWS}),
+addresses AS ({SQL["address_resolve"].replace("array_to_string(coalesce(own, items, []), '|') AS address", "coalesce(own, items, []) AS items")})
+SELECT url, company, title, coalesce({EMAILS.replace("(text,", "(p[9],")}, '') AS email,
+  {file_name("company", "title", prefix=fx.LETTER_PREFIX)} AS file_name, {q("Hamburg, den 02.01.2025")} AS place_date,
+  coalesce(array_to_string(list_transform(CASE WHEN len(items) > 0 THEN items END, lambda a: a || chr(10)), ''), chr(10) || chr(10)) AS address_block,
+  {fill(fx.SUBJECT_LINE, title="title")} AS subject_line, {q(fx.SALUTATION)} AS salutation, {fill(fx.LETTER_INTRO, title="title")} AS intro,
+  {fill(fx.LETTER_CLOSING, about="'Als Teamplayer.'", start_date="'01.02.2025'")} AS closing,
+  tasks_jaccard, profile_jaccard, benefits_jaccard, total_jaccard
+FROM rows JOIN kept USING (url) JOIN pages USING (url) JOIN addresses USING (page_id)
+WHERE (tasks_jaccard > {_p["tasks"]} AND profile_jaccard > {_p["profile"]} AND benefits_jaccard > {_p["benefits"]})
+  OR total_jaccard > {_p["total"]}"""
