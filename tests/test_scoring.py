@@ -248,3 +248,33 @@ def test_one_text_under_several_sections(spark, corpus):
     without = scoring.jaccard(scoring.score_features(once, ["id"], profiles, sections=list(TERMS), vectors=False))
     assert sorted(map(tuple, without.select("id", "section", "jaccard").collect())) == sorted((r.id, r.section, r.jaccard) for r in wide.collect())
     assert "square" not in without.columns
+
+
+def test_page_letters(spark):
+    """Chosen rows only, with the company page's address where the ad has none, and replacements made."""
+    from lexfit.operators import pages, selection
+
+    def ad(title, body, address=""):
+        return f"<h1>{title}</h1><b>Fa &amp; Co</b>{address}<a href='/firm'>card</a><h4>Aufgaben</h4><p>{body}</p><h4>Profil</h4><p>SQL</p>"
+
+    rows = [
+        (1, "https://x/1234567-inline.html", ad("Analyst &amp; Co (m/w/d)", "Die Daten und Berichte")),
+        (2, "https://x/1234568-inline.html", ad("Analyst", "Daten und Berichte", "<i>Weg 1, Ort, DE</i>")),
+        (3, "https://x/1234569-inline.html", ad("Cook", "the cooking and the food")),
+        (4, "https://x/1234570-inline.html", "no ad"),
+    ]
+    landed = spark.createDataFrame(rows, "page_id long, url string, html string")
+    firms = spark.createDataFrame([("/firm", "<f>Fakten Platz 2, Stadt</f>")], "link string, html string")
+    options = {"company_markers": ("<b>", "</b>"), "title_markers": ("<h1>", "</h1>"), "tags": ["h4"], "address_pattern": "<i>(.+?)</i>"}
+    store = pages.page_records(landed, **options)
+    texts = selection.letter_texts("Hi.", "01.02.2025", "Hamburg", F.to_date(F.lit("2025-01-02")))
+    where = {"address_pattern": "<i>(.+?)</i>", "card_marker": "card", "facts_patterns": ["<f>(.+?)</f>"], "card_pattern": "href='([^']+)"}
+    terms = spark.createDataFrame([("tasks", 0, "Daten"), ("profile", 0, "SQL")], "section string, pos int, term string")
+    limits = {"tasks": 0.2, "profile": 0.2, "benefits": 0.0, "total": 1.2}
+    out = report.page_letters(store, landed, firms, terms, texts, limits, stop_words=["und", "die"], **where)
+    got = {r.url[10:17]: r for r in out.collect()}
+    assert set(got) == {"1234567", "1234568"}
+    assert (got["1234567"].title, got["1234567"].company) == ("Analyst & Co", "Fa & Co")
+    assert got["1234567"].address_block == "Platz 2\nStadt\n" and got["1234568"].address_block == "Weg 1\nOrt\n"
+    assert got["1234567"].tasks_jaccard == 0.5 and got["1234567"].profile_jaccard == 1.0
+    assert report.page_letters(store.limit(0), landed, firms, terms, texts, limits, **where).count() == 0
