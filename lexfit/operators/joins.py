@@ -9,11 +9,19 @@ from pyspark.sql import functions as F
 
 FILTER_BITS = 1 << 20
 BROADCAST_ROWS = 500_000  # most rows a lookup side may have to be broadcast
+BROADCAST_BYTES = 64 << 20  # and most bytes
+HOT_ROW_BYTES = 16 << 10  # most bytes of a row that is broadcast for a hot key
 
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True if ``df`` has at most ``max_rows`` rows; stops counting right after that."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def row_bytes(*columns: str) -> Column:
+    """About the size of a row: its JSON, and some bytes for the row itself."""
+    return F.octet_length(F.to_json(F.struct(*columns))) + 16
+
+
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """True if ``df`` has at most ``max_rows`` rows of ``max_bytes`` together; stops right after so many rows."""
+    found = df.limit(max_rows + 1).agg(F.count("*").alias("n"), F.sum(row_bytes(*df.columns)).alias("size")).first()
+    return found["n"] <= max_rows and (found["size"] or 0) <= max_bytes
 
 
 def spread_left_join(
@@ -26,7 +34,8 @@ def spread_left_join(
     """Left join with a ``right`` that is unique on ``on``.
 
     ``hot`` holds the right rows of keys that own many left rows; the caller bounds
-    its size, so it is broadcast. Left rows that are resolved that way, or that need no
+    their number. Those of at most HOT_ROW_BYTES are broadcast; larger ones are left to the
+    shuffled join, whose skewed partitions the adaptive planner splits. Left rows that are resolved that way, or that need no
     partner (``needed`` false or a null key), are a narrow branch and never move; only
     the rest is shuffled, and no key of it owns many rows. ``left`` is read by both
     branches: hand in a stage table.
@@ -39,6 +48,7 @@ def spread_left_join(
     found = right.select(*on, F.struct(*values).alias("_found"))
     none = F.lit(None).cast(found.schema["_found"].dataType)
     if hot is not None:
+        hot = hot.where(row_bytes(*hot.columns) <= HOT_ROW_BYTES)
         left = left.join(F.broadcast(hot.select(*on, F.struct(*values).alias("_hot"))), on, "left")
         need, settled = need & F.col("_hot").isNull(), F.col("_hot").cast(found.schema["_found"].dataType)
     else:

@@ -63,6 +63,22 @@ def test_spread_left_join(spark, use_hot):
         assert r.v == table.get(keys[r.id])
 
 
+def test_large_values_of_hot_keys_are_not_broadcast(spark):
+    """A hot key with a long value is joined all the same, but not by the broadcast part."""
+    left = spark.range(600).select("id", F.when(F.col("id") < 400, "long").when(F.col("id") < 550, "short").otherwise("none").alias("k"))
+    right = spark.createDataFrame([("long", "x" * 100_000), ("short", "y")], "k string, v string")
+    out = spread_left_join(left, right, ["k"], hot=right)
+    assert {(r.k, r.n): r["count"] for r in out.groupBy("k", F.length("v").alias("n")).count().collect()} == {("long", 100_000): 400, ("short", 1): 150, ("none", None): 50}
+    moved = [line for line in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "16384" in line]
+    assert moved  # the bound is part of the plan
+
+
+def test_broadcasts_are_bounded_by_rows_and_bytes(spark):
+    df = spark.range(100).select("id", F.repeat(F.lit("x"), 1000).alias("v"))
+    assert is_small(df) and is_small(df.limit(0)) and not is_small(df, max_rows=99) and not is_small(df, max_bytes=50_000)
+    assert is_small(df.select(F.lit(None).cast("string").alias("v")))
+
+
 def test_hot_and_missing_keys_stay_in_place(spark):
     keep = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
     try:
