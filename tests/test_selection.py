@@ -99,6 +99,26 @@ def test_language_on_both_join_paths(spark):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_language_by_either_path_and_any_number_of_languages(spark, monkeypatch):
+    """Codes beyond the basic plane, more languages than share a row, and a model too large for a broadcast."""
+    train = [(f"l{k:02d}", "the same" + f" {chr(0x1F600 + k)}{chr(228 + k)}x" * (1 + k % 3)) for k in range(19)]
+    texts = [t for _, t in train] + ["same the", "zz", "qqqq", chr(0x1F600) + chr(228) + "x the"]
+    model = language.language_model(spark.createDataFrame(train, "lang string, text string"))
+    docs = spark.createDataFrame([*enumerate(texts), (99, None)], "id bigint, text string")
+    for small in (True, False):
+        monkeypatch.setattr(language, "is_small", lambda df, small=small: small)
+        got = {r.id: r.detected for r in language.detect_language(docs, "id", model).collect()}
+        assert [got[i] for i in range(len(texts))] == brute_language(train, texts)
+        assert got[99] is None
+
+
+def test_language_cuts_trigrams_without_a_pattern_search(spark):
+    model = language.language_model(spark.createDataFrame([("de", "der hund")], "lang string, text string"))
+    docs = spark.createDataFrame([(1, "der hund")], "id bigint, text string")
+    plan = language.detect_language(docs, "id", model)._jdf.queryExecution().executedPlan().toString()
+    assert "regexp" not in plan and "sort_array" not in plan and "SortMergeJoin" not in plan
+
+
 def test_language_of_rows_that_the_model_has_not_seen(spark):
     """Fitted on some of the documents, right on nearly all of the others."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").where("length(text) > 200")
