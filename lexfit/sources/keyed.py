@@ -64,12 +64,12 @@ def add_new_keys(spark: SparkSession, name: str, batch: DataFrame, number: int,
     Of the batch, keys and order are exchanged to meet the buckets; the stored keys stay
     where they are. Only the rows that are new move, once, to their bucket's file.
     """
-    staged = stage(batch, "batch")
+    staged = stage(batch, "batch", codec="zstd")
     firsts = staged.groupBy(key).agg(F.min(order).alias("_order"))
     earlier = spark.table(name).where(F.col("batch_no") < number).select(key)
     fresh = stage(firsts.join(named_keys(earlier, firsts, key), key, "left_anti"), "fresh").withColumnRenamed(key, "_key")
     maybe = value_filter(fresh, "_key", "_order")(F.col(key), F.col(order))
     same = F.col(key).eqNullSafe(F.col("_key")) & F.col(order).eqNullSafe(F.col("_order"))
     rows = staged.where(maybe).join(fresh, same, "left_semi")
-    # rows of equal key and order: any one of them
-    write_part(spark, name, rows.dropDuplicates([key]), number, key, buckets=buckets)
+    # rows of equal key and order: any one of them; dealt as the part is, so that they move once
+    write_part(spark, name, rows.repartition(buckets, key).dropDuplicates([key]), number, key, buckets=buckets)

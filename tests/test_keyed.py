@@ -97,3 +97,22 @@ def test_reading_status_exchanges_nothing(spark, tmp_path):
     text = plan(status.read_status(spark, path, buckets=4))
     main = text.split("Subquery")[0]
     assert "Exchange hashpartitioning(url" not in main
+
+
+def test_new_rows_move_once(spark, tmp_path, monkeypatch):
+    """Whole rows of a batch are dealt to the buckets and made unique there, in one exchange; their staged copy is zstd."""
+    written, write_part = [], keyed.write_part
+
+    def kept(spark, name, rows, number, key, buckets):
+        written.append(rows.repartition(buckets, key))
+        return write_part(spark, name, rows, number, key, buckets=buckets)
+
+    monkeypatch.setattr(keyed, "write_part", kept)
+    rows = [("a", "x", 2), ("a", "y", 1), ("a", "y", 1), (None, "z", 3), (None, "n", 2), ("b", "w", 4)]
+    batch = spark.createDataFrame(rows, "url string, body string, pos long")
+    S.append_batch(spark, str(tmp_path / "store"), batch, 0)
+    plan = written[0]._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning\(url", plan)) == 1, plan
+    assert written[0].inputFiles() and all(".zstd." in f for f in written[0].inputFiles() if "/batch-" in f)
+    got = S.read_keyed_store(spark, str(tmp_path / "store"), batch.schema).select("url", "body", "pos").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([("a", "y", 1), (None, "n", 2), ("b", "w", 4)], key=str)
