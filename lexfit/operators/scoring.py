@@ -83,17 +83,19 @@ def score_features(
     counted = _with_counts(counted, text) if vectors else counted
     profiles = profiles if vectors else profiles.where("kind = 1")
     one, zero, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint"), F.lit(None).cast("string")
-    words = F.array_distinct(F.array_remove(F.split(text, " "), ""))
     held = value_filter(profiles, "token")
+    # Columns of their own, worked out once a text: what is inside of a generator's argument
+    # is worked out wherever it stands there.
+    counted = counted.withColumn("_words", F.array_distinct(F.array_remove(F.split(text, " "), "")))
+    squares = F.aggregate("counts", zero, lambda s, c: s + c["tf"] * c["tf"]) if vectors else zero
+    counted = counted.withColumns({"_square": squares, "_n_words": F.size("_words").cast("bigint")})
 
     def entry(kind: int, token: Column, tf: Column, size: Column = zero, name: Column = none) -> Column:
         name = [name.alias("section")] if sections else []
         return F.struct(*name, F.lit(kind).alias("kind"), token.alias("token"), tf.alias("tf"), size.alias("size"))
 
-    square = F.aggregate("counts", zero, lambda s, c: s + c["tf"] * c["tf"]) if vectors else zero
-    n_words = F.size(words).cast("bigint")
-    whole = F.array(*[entry(2, none, square, n_words, F.lit(s)) for s in sections or [""]])
-    entries = [whole, F.transform(words, lambda w: entry(1, w, one))]
+    whole = F.array(*[entry(2, none, F.col("_square"), F.col("_n_words"), F.lit(s)) for s in sections or [""]])
+    entries = [whole, F.transform("_words", lambda w: entry(1, w, one))]
     if vectors:
         entries.append(F.transform("counts", lambda c: entry(0, c["token"], c["tf"])))
     long = counted.select(*keys, *named, F.inline_outer(F.concat(*entries)))

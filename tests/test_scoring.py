@@ -278,3 +278,12 @@ def test_page_letters(spark):
     assert got["1234567"].address_block == "Platz 2\nStadt\n" and got["1234568"].address_block == "Weg 1\nOrt\n"
     assert got["1234567"].tasks_jaccard == 0.5 and got["1234567"].profile_jaccard == 1.0
     assert report.page_letters(store.limit(0), landed, firms, terms, texts, limits, **where).count() == 0
+
+
+def test_words_of_a_text_are_worked_out_once(spark):
+    """Not once more for each place that they have in a generator's argument."""
+    terms = spark.createDataFrame([("tasks", 0, 0, "kochen")], "section string, pos bigint, sub_pos int, term string")
+    texts = spark.createDataFrame([(1, "kochen und backen")], "id bigint, text string")
+    features = scoring.score_features(texts, ["id"], scoring.term_profiles(terms), sections=["tasks", "profile", "benefits"])
+    plan = features._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("array_distinct(") == 1, plan
