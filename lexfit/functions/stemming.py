@@ -1,8 +1,8 @@
 """German stemming of whole texts.
 
 Both stemmers take a string of lower-case tokens with single blanks between them
-and rewrite every token at once: each published rule is one pattern over the
-whole text, anchored at token edges. That keeps stemming a narrow projection in
+and rewrite every token at once: published rules are patterns over the whole
+text, anchored at token edges. That keeps stemming a narrow projection in
 generated code. The usual alternative - explode, join a stem dictionary, regroup
 - would shuffle every token of the corpus, and its join key is as skewed as
 language is.
@@ -13,13 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-VOWEL = "[aeiouyäöü]"
-# Region marks inside a token; letters are what is neither mark nor whitespace.
-R1, R2 = "\x01", "\x02"
-MARK = f"[{R1}{R2}]?"
-LETTER = rf"[^\s{R1}{R2}]"
-NON_VOWEL = rf"[^\s{R1}{R2}aeiouyäöü]"
-END = r"(?!\S)"
+VOWELS = "aeiouyäöü"
+# What \s stands for, letter by letter: a class of single letters is one table look-up.
+BLANKS = r" \t\n\x0B\f\r"
+VOWEL = f"[{VOWELS}]"
+NON_VOWEL = f"[^{BLANKS}{VOWELS}]"
+CAPITAL = "\x01"
 
 
 def _lead(text: Column) -> Column:
@@ -28,63 +27,54 @@ def _lead(text: Column) -> Column:
     return F.concat(F.lit(" "), text)
 
 
-def _drop(text: Column, pattern: str) -> Column:
-    return F.regexp_replace(text, pattern, "$1")
+def _replace_all(text: Column, pairs: list[tuple[str, str]]) -> Column:
+    """Each replacement in turn: plain searches, far cheaper than a look-up for each letter."""
+    for old, new in pairs:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
+
+
+def _cut_ends(text: Column, ends: str) -> Column:
+    """``ends``, a pattern over letters from right to left, cut off the end of each token.
+
+    The text is turned round for it, so that every search starts at a blank and goes through
+    the end of a token only.
+    """
+    cut = F.regexp_replace(_lead(F.reverse(text)), f" (?:{ends})", " ")
+    return F.reverse(F.substring(cut, 2, 2**31 - 1))
 
 
 def snowball_german(text: Column) -> Column:
     """German Snowball (Porter's published rules) on every token."""
     t = F.replace(F.lower(_lead(text)), F.lit("ß"), F.lit("ss"))
 
-    # u and y between vowels count as consonants: written as capitals. The vowel
-    # before is consumed, so a letter just capitalised is no vowel for the next.
-    t = F.regexp_replace(t, rf"({VOWEL})([uy])(?={VOWEL})", f"$1{R1}$2")
-    t = F.replace(F.replace(t, F.lit(R1 + "u"), F.lit("U")), F.lit(R1 + "y"), F.lit("Y"))
-
-    # R1 starts after the first non-vowel that follows a vowel, R2 after the next
-    # such place behind it; R1 itself leaves at least three letters in front.
-    to_region = rf"{NON_VOWEL}*+{VOWEL}++{NON_VOWEL}"
-    t = F.regexp_replace(t, rf" ({to_region}{to_region})(?={LETTER})", f" $1{R2}")
-    starts = [
-        rf"{NON_VOWEL}++{VOWEL}++{NON_VOWEL}",
-        rf"{VOWEL}{VOWEL}++{NON_VOWEL}",
-        rf"{VOWEL}{NON_VOWEL}{LETTER}",
-    ]
-    t = F.regexp_replace(t, rf" ({'|'.join(starts)})(?=\S)", f" $1{R1}")
-
-    # Step 1, inflections in R1. The earliest start is the longest ending; R2 may
-    # begin inside an ending or right after it, so the mark is allowed there.
+    # u and y between vowels count as consonants: written as capitals. A letter just
+    # capitalised is no vowel for the next, so a u or y right behind it is passed over.
+    t = F.regexp_replace(t, rf"[uy](?<={VOWEL}[uy])(?={VOWEL})[uy]?+", f"{CAPITAL}$0")
+    t = _replace_all(t, [(CAPITAL + "u", "U"), (CAPITAL + "y", "Y")])
+
+    # All patterns from here on read from right to left. R1 starts after the first non-vowel that
+    # follows a vowel and leaves at least three letters in front, R2 after the next such place
+    # behind it. So an ending lies in R1 if what is left of it has one such place and three letters.
+    r1 = rf"(?=\S{{3}})(?={VOWEL}*+{NON_VOWEL}++{VOWEL})"
+    r2 = f"(?={VOWEL}*+{NON_VOWEL}++{VOWEL}++{NON_VOWEL}++{VOWEL})"
+    # Step 1, inflections in R1: en, es, e and an s after nis; ern, em, er, en, es, e; s.
+    step1 = f"(?:[ns]?es(?=sin)|(?:nre|[mrns]e|e){r1}|s(?=[bdfghklmnrt]){r1})"
+    # Step 2, comparison and verb endings in R1: est, en, er; st.
+    step2 = rf"(?:(?:tse|[nr]e){r1}|ts(?=[bdfghklmnt]\S{{3}}){r1})"
+    # Step 3, derivations in R2: end, ung; isch, ig, ik; lich, heit; keit.
     endings = "|".join(
         [
-            rf"s(?<=n{MARK}i{MARK}s{MARK}s){MARK}e(?:{MARK}[ns])?",
-            rf"e(?:{MARK}r{MARK}n|{MARK}[mrns])?",
-            rf"s(?<=[bdfghklmnrt]{MARK}s)",
+            f"(?:dne|gnu){r2}(?:gi(?!e){r2})?+",
+            f"(?:hcsi|gi|ki)(?!e){r2}",
+            f"(?:hcil|tieh){r2}(?:[rn]e{r2})?+",
+            f"tiek{r2}(?:(?:hcil|gi){r2})?+",
         ]
     )
-    t = _drop(t, rf"({R1}\S*?)(?:{endings}){MARK}{END}")
+    step3 = f"(?:{endings})"
+    t = _cut_ends(t, f"{step1}{step2}?+{step3}?+|{step2}{step3}?+|{step3}")
 
-    # Step 2, comparison and verb endings in R1.
-    before_st = (LETTER + MARK) * 3 + f"[bdfghklmnt]{MARK}"
-    endings = "|".join(
-        [
-            rf"e(?:{MARK}s{MARK}t|{MARK}[nr])",
-            rf"s(?<={before_st}s){MARK}t",
-        ]
-    )
-    t = _drop(t, rf"({R1}\S*?)(?:{endings}){MARK}{END}")
-
-    # Step 3, derivations in R2.
-    endings = "|".join(
-        [
-            "(?:(?<!e)ig)?(?:end|ung)",
-            "(?<!e)(?:isch|ig|ik)",
-            "(?:e[rn])?(?:lich|heit)",
-            "(?:lich|ig)?keit",
-        ]
-    )
-    t = _drop(t, rf"({R2}\S*?)(?:{endings}){END}")
-
-    return F.ltrim(F.translate(t, f"äöüUY{R1}{R2}", "aouuy"))
+    return F.ltrim(_replace_all(t, [*zip("äöüUY", "aouuy")]))
 
 
 # Stand-ins for letter groups that count as one letter.
@@ -93,23 +83,16 @@ CISTEM_SYMBOLS = [("sch", "$"), ("ei", "%"), ("ie", "&")]
 
 def cistem(text: Column) -> Column:
     """CISTEM (Weissweiler and Fraser, 2017) on every token of a lower-cased text."""
-    t = F.translate(F.lower(_lead(text)), "äöü", "aou")
-    t = F.replace(t, F.lit("ß"), F.lit("ss"))
+    t = _replace_all(F.lower(_lead(text)), [*zip("äöü", "aou"), ("ß", "ss")])
     t = F.regexp_replace(t, r" ge(?=\S{4})", " ")
-    for group, symbol in CISTEM_SYMBOLS:
-        t = F.replace(t, F.lit(group), F.lit(symbol))
-    t = F.regexp_replace(t, r"(\S)\1", "$1*")
-
-    # The strip loop as one pattern. Read from the right, the last letter alone
-    # decides the ending (em, er, nd or t, e, s, n), so the loop's result is the
-    # shortest stem followed by endings only: three letters or more, four before
-    # a two-letter ending. Possessive repeats keep long runs off the Java stack.
-    t = _drop(
-        t,
-        rf"( \S{{3,}}?)(?:(?<=\S{{4}})(?:e[mr]|nd)|[tesn])(?:e[mr]|nd|[tesn])*+{END}",
-    )
+    t = _replace_all(t, CISTEM_SYMBOLS)
+    # The second of two equal letters is no ending. Endings of one letter and the e and n of those
+    # of two are all that matters: a second m, r or d follows no e or n anyway.
+    t = _replace_all(t, [(letter * 2, letter + "*") for letter in "tesn"])
+
+    # The strip loop: em, er, nd while four letters stay, t, e, s, n while three stay.
+    # Possessive repeats keep long runs off the Java stack.
+    t = _cut_ends(t, r"(?:[tesn](?=\S{3})|(?:[mr]e|dn)(?=\S{4}))++")
 
-    t = F.regexp_replace(t, r"(\S)\*", "$1$1")
-    for group, symbol in reversed(CISTEM_SYMBOLS):
-        t = F.replace(t, F.lit(symbol), F.lit(group))
-    return F.ltrim(t)
+    t = _replace_all(t, [(letter + "*", letter * 2) for letter in "tesn"])
+    return F.ltrim(_replace_all(t, [(symbol, group) for group, symbol in reversed(CISTEM_SYMBOLS)]))

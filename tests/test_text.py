@@ -120,6 +120,13 @@ def test_stemmers_match_the_rules(spark):
     assert " ".join(got).split(" ") == [plain.cistem(w) for w in words]
 
 
+def test_stems_count_letters_beyond_the_basic_plane(spark):
+    words = ["7xq\U0001d49cnd", "bs\U0001d49cern", "en\U0001d49cmmerlich", "\U0001d49c\U0001d49cs", "\U0001d49cb\U0001d49cs", "\U0001d49cabigkeit"]
+    text = [" " + " ".join(words) + "  ", None]
+    for stemmer, rule in ((snowball_german, plain.snowball), (cistem, plain.cistem)):
+        assert column(spark, text, stemmer(F.col("x"))) == [" ".join(rule(w) for w in words) + "  ", None]
+
+
 def test_known_stems(spark):
     pairs = {"aufeinanderfolgenden": "aufeinanderfolg", "kategorische": "kategor", "häuser": "haus", "verständnisse": "verstandnis"}
     assert column(spark, list(pairs), snowball_german(F.col("x"))) == list(pairs.values())
