@@ -65,23 +65,28 @@ def frequent(df: DataFrame, keys: list[str], share: int = 1000) -> DataFrame:
     return counts.where(F.col("count") * share > total).select(*keys)
 
 
-def value_filter(values: DataFrame, *columns: str) -> Callable[..., Column]:
-    """A test for values: false surely not among ``columns`` of ``values``, true among them or one of a few others.
-
-    The values are set as bits of an array of fixed size, whatever their number, so a large
-    table can be cut down in place before it is shuffled. The array is a subquery of the
-    plan that uses the test, worked out once. Use it outside of lambdas.
-    """
+def value_bits(values: DataFrame, *columns: str) -> Column:
+    """``columns`` of ``values`` as bits of an array of fixed size, whatever their number: a subquery of the
+    plan that uses it, worked out once. A lambda can have it by the name of a column only."""
     slot = F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS))
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (slot % 64).cast("int"))
     words = values.select(F.shiftright(slot, 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
     every = values.sparkSession.range(0, FILTER_BITS // 64, 1, 1).join(words, F.col("id") == F.col("word"), "left")
     rows = F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits"))))
-    bits = every.agg(F.transform(rows, lambda r: r["bits"])).scalar()
+    return every.agg(F.transform(rows, lambda r: r["bits"])).scalar()
+
 
-    def held(*values: Column) -> Column:
-        at = F.pmod(F.xxhash64(*values), F.lit(FILTER_BITS))
-        word = F.get(bits, F.shiftright(at, 6).cast("int"))
-        return F.call_function("shiftright", word, (at % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
+def may_hold(bits: Column, *values: Column) -> Column:
+    """False if ``values`` are surely not among those of ``bits``; true among them and for a few others."""
+    at = F.pmod(F.xxhash64(*values), F.lit(FILTER_BITS))
+    word = F.get(bits, F.shiftright(at, 6).cast("int"))
+    return F.call_function("shiftright", word, (at % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
 
-    return held
+
+def value_filter(values: DataFrame, *columns: str) -> Callable[..., Column]:
+    """A test for values: false surely not among ``columns`` of ``values``, true among them or one of a few others.
+
+    A large table can be cut down by it in place before it is shuffled. Use it outside of lambdas.
+    """
+    bits = value_bits(values, *columns)
+    return lambda *values: may_hold(bits, *values)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexfit.functions.stemming import cistem, snowball_german
 from lexfit.functions.text import clean_text, first_word, remove_stopwords
-from lexfit.operators.joins import value_filter
+from lexfit.operators.joins import may_hold, value_bits
 
 
 def stem_text(text: Column) -> Column:
@@ -15,25 +17,29 @@ def stem_text(text: Column) -> Column:
     return cistem(snowball_german(text))
 
 
-def _by_dictionary(df: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataFrame:
-    """``(key, words)``: the tokens of each text in order, each with its ``value`` from
-    ``dictionary(token, value)`` and whether it was found. ``key`` is unique.
+def _by_dictionary(df: DataFrame, key: str, text: str, dictionary: DataFrame, put: Callable[[Column, Column], Column]) -> DataFrame:
+    """``(key, text)``: the texts with each token of ``dictionary(token, value)`` replaced by the words of
+    ``put(token, value)``, an array. ``key`` is unique.
 
     A text stays one row. Beside it go only those of its distinct tokens that the dictionary
-    may hold, each once with all its places; the values are put back by place. A dictionary
+    may hold, each once with all its places; the words are put back by place. A dictionary
     entry that comes several times counts with its least value. The planner joins by
     broadcast or shuffle as the dictionary's bytes allow.
     """
     entries = dictionary.where("token is not null").groupBy("token").agg(F.min("value").alias("value"), F.lit(True).alias("listed"))
-    place = F.transform(F.split(text, " "), lambda w, i: F.struct(w.alias("token"), i.alias("pos")))
-    df = df.select(key, F.col(text).alias("_text"), F.sort_array(place).alias("_sorted"))
+    place = F.transform(F.split("_text", " "), lambda w, i: F.struct(w.alias("token"), i.alias("pos")))
+    df = df.select(key, F.col(text).alias("_text"), value_bits(entries, "token").alias("_bits"))
+    # tokens that are surely not listed are left out before anything is sorted
+    held = F.filter(place, lambda w: may_hold(F.col("_bits"), w["token"]))
+    df = df.select(key, "_text", F.sort_array(held).alias("_sorted"))
     s, n = F.col("_sorted"), F.size("_sorted")
     indexes = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     df = df.withColumn("_starts", F.filter(indexes, lambda i: (i == 0) | (F.get(s, i)["token"] != F.get(s, i - 1)["token"])))
     p = F.col("_starts")
 
     def own(i: Column, k: Column) -> Column:
-        places = F.transform(F.slice(s, i + 1, F.coalesce(F.get(p, k + 1), n) - i), lambda x: x["pos"])
+        # place by place: slice() goes through the whole array each time
+        places = F.transform(F.sequence(i, F.coalesce(F.get(p, k + 1), n) - 1), lambda j: F.get(s, j)["pos"])
         return F.struct(F.lit(False).alias("whole"), F.get(s, i)["token"].alias("token"), places.alias("places"), F.lit(None).cast("string").alias("text"))
 
     # the text's own row has a token that is no word and differs between texts
@@ -41,33 +47,34 @@ def _by_dictionary(df: DataFrame, key: str, text: str, dictionary: DataFrame) ->
     none = F.array().cast("array<int>")
     whole = F.array(F.struct(F.lit(True).alias("whole"), alone.alias("token"), none.alias("places"), F.col("_text").alias("text")))
     long = df.select(key, F.inline_outer(F.concat(whole, F.coalesce(F.transform(p, own), F.array().cast("array<struct<whole:boolean,token:string,places:array<int>,text:string>>")))))
-    long = long.where(F.col("whole") | value_filter(entries, "token")(F.col("token")))
     found = long.join(entries, "token", "left").where(F.col("whole") | F.col("listed"))
-    values = F.transform("places", lambda i: F.struct(i.alias("pos"), F.lit(0).alias("rank"), F.col("token").alias("token"), F.col("value").alias("value"), F.lit(True).alias("listed")))
-    grouped = found.groupBy(key).agg(F.first("text", ignorenulls=True).alias("_text"), F.flatten(F.collect_list(F.when(~F.col("whole"), values))).alias("_values"))
-    missing, unlisted = F.lit(None).cast("string").alias("value"), F.lit(None).cast("boolean").alias("listed")
-    words = F.transform(F.split("_text", " "), lambda w, i: F.struct(i.alias("pos"), F.lit(1).alias("rank"), w.alias("token"), missing, unlisted))
-    merged = F.sort_array(F.concat(words, "_values"))
-    grouped = grouped.select(key, merged.alias("_merged"))
-    m = F.col("_merged")
-    # of the two entries of a place the one from the dictionary comes first
-    return grouped.select(key, F.filter(m, lambda w, i: (i == 0) | (F.get(m, i - 1)["pos"] != w["pos"])).alias("words"))
+    values = F.transform("places", lambda i: F.struct(i.alias("pos"), F.col("token").alias("token"), F.col("value").alias("value")))
+    found = found.groupBy(key).agg(F.first("text", ignorenulls=True).alias("_text"), F.flatten(F.collect_list(F.when(~F.col("whole"), values))).alias("_values"))
+    found = found.select(key, "_text", F.sort_array("_values").alias("_values"))
+    v = F.col("_values")
+    found = found.withColumn("_values", F.filter(v, lambda x, i: (i == 0) | (F.get(v, i - 1)["pos"] != x["pos"])))
+    found = found.withColumn("_words", F.when(F.size("_values") > 0, F.split("_text", " ")))
+
+    def between(start: Column, end: Column) -> Column:
+        words = F.transform(F.sequence(start, end - 1), lambda j: F.get("_words", j))
+        return F.when(start < end, words).otherwise(F.array().cast("array<string>"))
+
+    pieces = F.transform(v, lambda x, i: F.concat(between(F.coalesce(F.get(v, i - 1)["pos"], F.lit(-1)) + 1, x["pos"]), put(x["token"], x["value"])))
+    tail = between(F.get(v, F.size(v) - 1)["pos"] + 1, F.size("_words"))
+    replaced = F.array_join(F.flatten(F.concat(pieces, F.array(tail))), " ")
+    return found.select(key, F.when(F.size(v) > 0, replaced).otherwise(F.col("_text")).alias(text))
 
 
 def lemmatize(df: DataFrame, key: str, text: str, lemmas: DataFrame) -> DataFrame:
     """``(key, text)`` with each token replaced by its entry in ``lemmas(token, lemma)``; null stays null."""
     dictionary = lemmas.select("token", F.col("lemma").alias("value"))
-    grouped = _by_dictionary(df, key, text, dictionary)
-    words = F.transform("words", lambda w: F.coalesce(w["value"], w["token"]))
-    return grouped.select(key, F.array_join(words, " ").alias(text))
+    return _by_dictionary(df, key, text, dictionary, lambda token, value: F.array(F.coalesce(value, token)))
 
 
 def drop_listed_tokens(df: DataFrame, key: str, text: str, words: DataFrame) -> DataFrame:
     """``(key, text)`` without the tokens of ``words(token)``, a stop list kept as a table."""
     dictionary = words.select("token", F.lit(None).cast("string").alias("value"))
-    grouped = _by_dictionary(df, key, text, dictionary)
-    kept = F.transform(F.filter("words", lambda w: w["listed"].isNull()), lambda w: w["token"])
-    return grouped.select(key, F.array_join(kept, " ").alias(text))
+    return _by_dictionary(df, key, text, dictionary, lambda token, value: F.array().cast("array<string>"))
 
 
 def vocabulary(df: DataFrame, text: str) -> DataFrame:

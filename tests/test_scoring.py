@@ -152,6 +152,18 @@ def test_dictionary_steps_on_both_join_paths(spark, corpus, threshold):
         assert len(re.findall(r"Exchange hashpartitioning\(id", text)) == 1
 
 
+def test_dictionary_work_per_text_is_linear(spark):
+    """Tokens that are not listed are left out before the sort; no step goes through the whole array per token."""
+    words = [f"w{i}" for i in range(20000)]
+    texts = spark.createDataFrame([(1, " ".join(words)), (2, "kein eintrag"), (3, "w0 w1 w0 eins")], "id bigint, text string")
+    lemmas = spark.createDataFrame([(w, "x") for w in words if w.endswith("1")], "token string, lemma string")
+    done = lemmatize(texts, "id", "text", lemmas)
+    got = {r.id: r.text for r in done.collect()}
+    assert got == {1: " ".join("x" if w.endswith("1") else w for w in words), 2: "kein eintrag", 3: "w0 x w0 eins"}
+    text = done._jdf.queryExecution().executedPlan().toString()
+    assert "slice(" not in text and "sort_array(filter(" in text
+
+
 def test_real_lemma_pairs(spark):
     """Inflected German forms; a token that is no entry stays as it is."""
     pairs = [("berichte", "bericht"), ("berichten", "bericht"), ("analysierte", "analysieren"), ("ging", "gehen"), ("häuser", "haus")]
