@@ -31,6 +31,8 @@ FAN_IN = 8
 #: A bin with no more room than this is done.
 NEARLY_FULL = 8
 CACHE_WORDS = 600_000
+#: Words that go to the tokenizer in one call: what it makes of a call takes some hundred bytes a token.
+LEARN_WORDS = 4096
 TAIL = b".,;:!?*&%$#|"
 
 
@@ -38,9 +40,9 @@ class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes, by a cache of words.
 
     The vocabulary never joins tokens across white space, so a text's ids are those of its
-    words in turn. Words seen for the first time are encoded in one call; a word of
-    letters and a tail of marks is two pieces to the tokenizer and is kept as such. The
-    cache is emptied when it is full; what it holds doesn't change any result.
+    words in turn. Words seen for the first time are encoded together, LEARN_WORDS a call; a
+    word of letters and a tail of marks is two pieces to the tokenizer and is kept as such.
+    The cache is emptied when it is full; what it holds doesn't change any result.
     """
 
     def __init__(self, path: str) -> None:
@@ -72,12 +74,13 @@ class Encoder:
             else:
                 self.cache[word] = self.whole(word)
         new = list({core for _, core, _ in split if core not in parts})
-        if new:
-            ids = np.array(self.tokenizer.encode_batch_fast([b"\n".join(new).decode()], add_special_tokens=False)[0].ids, "<u4")
+        for first in range(0, len(new), LEARN_WORDS):
+            some = new[first : first + LEARN_WORDS]
+            ids = np.array(self.tokenizer.encode_batch_fast([b"\n".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(new):
+            if len(stops) == len(some):
                 raw, at = ids.tobytes(), (4 * stops).tolist()
-                parts.update(zip(new, [raw[a:b] for a, b in zip([0, *at], at, strict=False)], strict=True))
+                parts.update(zip(some, [raw[a:b] for a, b in zip([0, *at], at, strict=False)], strict=True))
         for word, core, tail in split:
             ids = parts.get(core) or self.part(core)
             self.cache[word] = ids + (parts.get(tail) or self.part(tail)) if tail else ids
@@ -153,19 +156,14 @@ def pack(items: DataFrame, capacity: int = CAPACITY, rows_per_task: int = ROWS_P
     Every item is in one sequence; offsets in a sequence run from 0 without gaps. Repeated
     rows are items of their own, and no rows give no rows.
     """
-    spark = items.sparkSession
     columns = items.columns
 
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = TaskContext.get().partitionId() << 34
-        for batch in batches:
-            ids = np.arange(at, at + batch.num_rows)
-            at += batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids), pa.array(np.zeros(batch.num_rows, np.int64))], [*batch.schema.names, "_bin", "_offset"])
-
+    # numbered by Spark: the task that makes the items has a Python worker already, and a second one takes memory
+    number = F.monotonically_increasing_id()
+    own = F.shiftleft(F.shiftright(number, 33), 34) + number.bitwiseAND(F.lit((1 << 33) - 1))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields)
     schema = f"{fields}, _bin long, _offset long"
-    open_rows = stage(items.mapInArrow(numbered, schema), "pack-items")
+    open_rows = stage(items.select("*", own.alias("_bin"), F.lit(0).cast("long").alias("_offset")), "pack-items")
     count = open_rows.count()
     tasks, level, done = max(1, -(-count // rows_per_task)), 0, []
     while count:

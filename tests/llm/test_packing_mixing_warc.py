@@ -48,6 +48,38 @@ def test_packing_is_whole_and_gapless(make, awkward):
     assert [r.doc_id for r in packing.apply(make(["a", None], ids=[None, None]), queries.tokenizer_path()).collect()] == [None, None]
 
 
+def test_items_are_made_and_numbered_by_one_python_worker_a_task(make, monkeypatch):
+    staged = {}
+
+    def stage(df, name, *more):
+        staged.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name, *more)
+
+    real = packing.stage
+    monkeypatch.setattr(packing, "stage", stage)
+    rows = packing.apply(make(["a b c d", None, "", "e f"] * 30), queries.tokenizer_path(), 16).collect()
+    assert len(rows) == 120
+    assert staged["pack-items"].count("MapInArrow") == 1
+
+
+def test_the_tokenizer_gets_new_words_by_the_thousand(monkeypatch):
+    class Counting:
+        def encode_batch_fast(self, texts, **more):
+            calls.append(sum(len(t.split()) for t in texts))
+            return real.encode_batch_fast(texts, **more)
+
+        def __getattr__(self, name):
+            return getattr(real, name)
+
+    rng, calls = random.Random(23), []
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzäß") for _ in range(rng.randint(1, 9))) for _ in range(3 * packing.LEARN_WORDS)]
+    encoder = packing.Encoder(queries.tokenizer_path())
+    real, encoder.tokenizer = encoder.tokenizer, Counting()
+    (got,) = encoder.encode([" ".join(words)])
+    assert np.frombuffer(got, "<u4").tolist() == real.encode(" ".join(words), add_special_tokens=False).ids
+    assert 1 < len(calls) and max(calls) <= packing.LEARN_WORDS
+
+
 def test_packing_in_rounds(spark):
     rng = random.Random(22)
     lengths = [rng.randint(1, 2048) for _ in range(3000)]
