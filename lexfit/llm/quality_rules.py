@@ -5,6 +5,8 @@ documents, one over all documents. A document's score is the mean over its n-gra
 the log ratio of the two probabilities; it is kept if the base rules pass and the score
 is not below a fixed threshold. Counting combines inside the tasks, so that a shuffle
 sees at most two rows per bucket and task, whatever the corpus; scoring is a projection.
+Trusted ids are never sent to the driver: a filter of fixed size finds the texts that may
+be trusted, and only these move to meet the ids.
 
 Built on DataFrame functions alone; no Python code runs on the executors.
 """
@@ -16,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexfit.llm.common import WORD, let, lookup
+from lexfit.llm.common import WORD, let
 from lexfit.session import stage
 
 BUCKETS = 10_007
@@ -27,6 +29,10 @@ SMOOTHING = 1.0
 MIN_SCORE = -0.06
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
+#: Slots, as a power of two, that ids are hashed into to find the texts that may be trusted: 4 MB of bits, however many
+#: ids. More ids than slots mean more texts to move, not other rows. One of Spark's bitmaps has 2**MAP_BITS of them.
+SLOT_BITS = 25
+MAP_BITS = 15
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 
@@ -90,12 +96,50 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return by_id.where("q = 1 and coalesce(t, 0) = 0").select("doc_id")
 
 
+def slot(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(1 << SLOT_BITS))
+
+
+def slot_maps(ids: DataFrame) -> DataFrame:
+    """The slots of all ``ids`` as bitmaps of 4 KB, one for each block of slots: a table of fixed size at most."""
+    at = slot(F.col("doc_id"))
+    slots = ids.select(F.shiftright(at, MAP_BITS).alias("_block"), at.bitwiseAND((1 << MAP_BITS) - 1).alias("_at"))
+    return slots.repartition("_block").groupBy("_block").agg(F.bitmap_construct_agg("_at").alias("_map"))
+
+
+def is_set(bitmap: Column, at: Column) -> Column:
+    byte = F.conv(F.hex(F.substring(bitmap, (F.shiftright(at, 3) + 1).cast("int"), 1)), 16, 10).cast("int")
+    return F.call_function("shiftright", byte, at.bitwiseAND(7).cast("int")).bitwiseAND(1) == 1
+
+
+def marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """text and t, whether the id is among ``ids``, for every row of ``docs``; ``ids`` is staged, a row per id.
+
+    A text whose slot no id has is surely not trusted and stays where it is. The others are
+    joined to the ids by a sort-merge join, which holds no table in memory; the planner splits
+    an id that many rows share.
+    """
+    rows = docs.select("doc_id", "text")
+    # a join may cast ids of two types, but hashes of such ids differ
+    if docs.schema["doc_id"].dataType == ids.schema["doc_id"].dataType:
+        at = slot(F.col("doc_id"))
+        rows = rows.withColumns({"_block": F.shiftright(at, MAP_BITS), "_at": at.bitwiseAND((1 << MAP_BITS) - 1)})
+        rows = rows.join(F.broadcast(slot_maps(ids)), "_block", "left")
+        may_be = F.col("doc_id").isNotNull() & F.coalesce(is_set(F.col("_map"), F.col("_at")), F.lit(False))
+    else:
+        may_be = F.col("doc_id").isNotNull()
+    flag = ids.select("doc_id", F.lit(True).alias("_trusted")).hint("merge")  # else the planner may broadcast it
+    met = rows.where(may_be).select("doc_id", "text").join(flag, "doc_id", "left")
+    rest = rows.where(~may_be).select("text", F.lit(False).alias("t"))
+    return rest.unionByName(met.select("text", F.coalesce("_trusted", F.lit(False)).alias("t")))
+
+
 def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> list[float]:
     """The log ratio of each bucket, from all documents and all ``trusted`` ids; all 0 without trusted documents."""
-    flag = stage(trusted.select("doc_id", F.lit(True).alias("_trusted")), "trusted-ids")
-    flagged = lookup(docs.select("doc_id", "text"), flag, ["doc_id"], "left")
-    grams = flagged.select(F.coalesce("_trusted", F.lit(False)).alias("t"), let(word_hashes(F.col("text")), lambda h: gram_buckets(h, buckets)).alias("_grams"))
-    counts = grams.select("t", F.explode("_grams").alias("b")).groupBy("b", "t").count().collect()  # at most two rows a bucket
+    texts = marked(docs, stage(trusted.select("doc_id"), "trusted-ids"))
+    # exploded where they are made: of a column the planner asks first, below the joins, whether it is empty
+    grams = texts.select("t", F.explode(let(word_hashes(F.col("text")), lambda h: gram_buckets(h, buckets))).alias("b"))
+    counts = grams.groupBy("b", "t").count().collect()  # at most two rows a bucket
     seen, raw = [0.0] * buckets, [SMOOTHING] * buckets
     for b, is_trusted, n in counts:
         raw[b] += n

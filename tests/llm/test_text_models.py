@@ -6,8 +6,11 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexfit.llm import langid, pii, quality_gam, quality_rules
+from lexfit.llm.common import lookup
+from lexfit.session import stage
 
 WORDS = {
     "en": "the and of thing water house being street letter under".split(),
@@ -112,6 +115,54 @@ def test_log_ratio_keeps_the_trusted_kind(make, spark):
     assert set(ratios) == {0.0}
 
 
+@pytest.fixture
+def ran(monkeypatch, spark):
+    """The final plans of all collects."""
+    plans, kind = [], type(spark.range(1))
+    collect = kind.collect
+
+    def noted(self):
+        rows = collect(self)
+        plans.append(self._jdf.queryExecution().executedPlan().toString())
+        return rows
+
+    monkeypatch.setattr(kind, "collect", noted)
+    return plans
+
+
+@pytest.mark.parametrize("most", [0, 32 * 1024 * 1024])
+def test_trusted_ids_are_never_broadcast(make, spark, monkeypatch, ran, most):
+    monkeypatch.setattr("lexfit.llm.common.BROADCAST_BYTES", most)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    ratios = quality_rules.log_ratios(make(["a b c"] * 60), quality_rules.trusted_ids(labels), buckets=11)
+    assert len(ratios) == 11 and ran
+    assert not [line for plan in ran for line in plan.splitlines() if "BroadcastHashJoin [doc_id" in line]
+
+
+def test_salted_copies_are_never_broadcast(make, spark, monkeypatch):
+    monkeypatch.setattr("lexfit.llm.common.BROADCAST_BYTES", 0)
+    right = stage(spark.range(40).select(F.col("id").alias("doc_id"), F.lit(True).alias("found")), "few")
+    joined = lookup(make(["a"] * 60).select("doc_id", "text"), right, ["doc_id"], "left")
+    assert sorted((r.doc_id, r.found) for r in joined.collect()) == [(i, True if i < 40 else None) for i in range(60)]
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("bits", [3, 25])
+@pytest.mark.parametrize("kind", ["long", "int", "string"])
+def test_marked_equals_plain_membership(make, spark, monkeypatch, bits, kind):
+    monkeypatch.setattr(quality_rules, "SLOT_BITS", bits)  # with 3, ids that are not trusted share slots
+    trusted = {i for i in range(0, 900, 7)} | {-5, 2**40}
+    ids = [None, None, -5, 2**40, -(2**40), *[14] * 50, *[15] * 50, *range(1000)]
+    known = stage(spark.createDataFrame([(i,) for i in sorted(trusted) if kind != "int" or abs(i) < 2**31], "doc_id long").select(F.col("doc_id").cast(kind)), "known")
+    rows = quality_rules.marked(make([f"{i} {k}" for k, i in enumerate(ids)], ids=ids), known).collect()
+    held = trusted if kind != "int" else trusted - {2**40}
+    assert sorted((r.text, r.t) for r in rows) == sorted((f"{i} {k}", i in held) for k, i in enumerate(ids))
+    null = quality_rules.marked(make([None, ""], ids=[0, 1]), known).collect()
+    assert {(r.text, r.t) for r in null} == {(None, True), ("", False)}
+    none = quality_rules.marked(make(["x"]), known.limit(0)).collect()
+    assert [(r.text, r.t) for r in none] == [("x", False)]
+
+
 def plain_base(text):
     found = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     found += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m.group().split("."))]
